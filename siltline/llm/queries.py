@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm.common import table
+from siltline.llm.common import fold, table
 from siltline.llm.wordbpe import vocabulary_path
 
 
@@ -17,6 +17,30 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path())
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.toxicity import learn_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    net = learn_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", fold("k", 5) != 0)
+    scored = score_toxicity(docs, "text", net, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    crf = train_quality(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", fold("k", 4) != 2)
+    scored = score_quality(docs, "text", crf, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.token_files import read_token_files, write_token_files
 
@@ -25,7 +49,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op8_token_files": op8_token_files}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
