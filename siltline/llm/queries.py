@@ -48,8 +48,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.lm import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", fold("k", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op8_token_files": op8_token_files}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_language_model": op10_language_model}
 
 
 def oracle_sql() -> dict[str, str]:
