@@ -23,6 +23,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.vector_dups import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -32,6 +38,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.quality import score_quality, train_quality
 
@@ -56,7 +68,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_language_model": op10_language_model}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op4_vector_duplicates": op4_vector_duplicates, "op5_toxicity": op5_toxicity, "op6_top_k": op6_top_k, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_language_model": op10_language_model}
 
 
 def oracle_sql() -> dict[str, str]:
