@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltline.llm.common import binary_list, slices, text_bytes
 
@@ -201,7 +202,7 @@ def score_quality(docs: DataFrame, text: str, crf: LineCrf, keys: list[str], nam
     """The columns ``keys`` and the quality of each text, read whole."""
     kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rows = docs.select(*kept, text_bytes(text).alias("t"))
-    schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def score(batches):
         for batch in batches:
@@ -211,5 +212,5 @@ def score_quality(docs: DataFrame, text: str, crf: LineCrf, keys: list[str], nam
                 values[a:b] = quality_scores(texts[a:b], crf)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(values)], names=[*(f"k{i}" for i in range(len(keys))), "score"])
 
-    scored = rows.mapInArrow(score, f"{schema}, score double")
+    scored = rows.mapInArrow(score, schema)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("score").alias(name))

@@ -11,6 +11,21 @@ from siltline.llm.common import fold, table
 from siltline.llm.wordbpe import vocabulary_path
 
 
+#: A vector takes part if all its components are finite numbers.
+TOP_K_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.packing import pack_documents
 
@@ -23,6 +38,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.sentence_pieces import round_trips
+
+    done = round_trips(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path("piece_bpe_32k.model"))
+    return done.select(F.col("key").alias("doc_id"), F.col("n_ids").alias("n_tokens"), "ids_crc32", "text_crc32", "same")
+
+
 def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.vector_dups import near_vectors
 
@@ -60,6 +82,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.lm import score_texts
 
@@ -68,8 +96,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op4_vector_duplicates": op4_vector_duplicates, "op5_toxicity": op5_toxicity, "op6_top_k": op6_top_k, "op7_quality": op7_quality, "op8_token_files": op8_token_files, "op10_language_model": op10_language_model}
+    found = [op1_packing, op2_minhash, op3_sentence_pieces, op4_vector_duplicates, op5_toxicity, op6_top_k, op7_quality, op8_token_files, op9_licenses, op10_language_model]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, tokenise or hash; their tests compare with brute force or round trips."""
+    from siltline.llm.licenses import oracle
+
+    return {"op6_top_k": TOP_K_SQL, "op9_licenses": oracle()}

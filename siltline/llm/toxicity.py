@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltline.llm.common import binary_list, ragged, slices, text_bytes
 from siltline.llm.quality import fit_curve
@@ -371,7 +372,7 @@ def score_toxicity(docs: DataFrame, text: str, net: BiGru, keys: list[str], name
     """The columns ``keys`` and the toxicity of each text, read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], text_bytes(text).alias("t"))
-    schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def score(batches):
         lookup = Lookup(shared.value)
@@ -382,5 +383,5 @@ def score_toxicity(docs: DataFrame, text: str, net: BiGru, keys: list[str], name
                 values[a:b] = toxicity_scores(texts[a:b], lookup)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(values)], names=[*(f"k{i}" for i in range(len(keys))), "score"])
 
-    scored = rows.mapInArrow(score, f"{schema}, score double")
+    scored = rows.mapInArrow(score, schema)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("score").alias(name))
