@@ -3,14 +3,15 @@
 A document's set holds the hashes of its distinct word shingles; its sketch is the ``k`` smallest.
 Copies (equal sets) are one class from the start. For the classes:
 
-1. Inverted lists of the retained values give overlaps. Two sets of similarity 0.75 share about
-   three quarters of the k smallest values of their union; SHARED of a sketch is asked for, more
-   than four standard deviations below. So each sketch needs only its rarest values: enough that
-   two sketches which share SHARED of their values share one of these.
+1. Inverted lists of the retained values give overlaps. Sketches of two sets of similarity 0.75
+   share fewer than OVERLAP of their values in 1 of 40,000 trials. So each sketch needs only its
+   rarest values: enough that two sketches which share OVERLAP of their values share one of these.
 2. In each list all members meet one of them, drawn by hash and so another in each list. The union
-   sketch estimates the similarity; pairs that pass are verified on full sets, and linked.
-3. Members of a list that are not yet in one component all meet, in blocks of bounded size, with
-   the same estimate and check. Then no pair that shares a list is left out.
+   sketch estimates the similarity (below SHARED at 0.75: 1 of 40,000); pairs that pass are
+   verified on full sets, and linked.
+3. Members of a list that are not yet in one component all meet, in blocks of bounded size, each
+   pair in the first list that it shares. Wider sketches, which are the full sets of documents of
+   up to WIDE shingles, estimate them; then the same check. So no pair that shares a list is left out.
 
 Links are exact (full sets of 63-bit hashes). The result gives components, not all pairs.
 """
@@ -27,7 +28,9 @@ from siltline.llm.blocks import block_pairs, cells
 from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, text_bytes, words_of
 from siltline.llm.graph import components
 
-K, SHARED = 48, 0.5
+K, OVERLAP, SHARED = 48, 0.6, 0.5
+#: Values of the wider sketch, and standard deviations that its estimate may lie too low.
+WIDE, LOW = 192, 4.2
 #: Ids up to this number are broadcast to choose texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -85,31 +88,64 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return joined.where(F.col("both") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of different components within lists, in blocks: members has v, id, n, component, sketch."""
+def cross_pairs(members: DataFrame, percent: int, block: int = 1024, columns: int = 8192) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components within lists, estimated in blocks.
+
+    ``members`` has v, id, n, component, rare (the values whose lists the id is in) and wide.
+    """
+    share = percent / 100
+
+    def incidence(lists: pa.ListArray):
+        size = np.diff(lists.offsets.to_numpy())
+        value, at, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, at = np.repeat(np.arange(len(size)), size)[n[at] > 1], at[n[at] > 1]
+        column = np.cumsum(n > 1) - 1
+        return row, column[at], int((n > 1).sum()), value[n > 1]
 
     def compare(batches):
         for cell in cells(batches, ["v", "left_block", "right_block"]):
-            block, side = cell["block"].to_numpy(), cell["left_block"][0].as_py()
+            cell = cell.combine_chunks()
+            block, side, v = cell["block"].to_numpy(), cell["left_block"][0].as_py(), cell["v"][0].as_py()
             ids, n, component = (cell[c].to_numpy() for c in ("id", "n", "component"))
-            sketch = cell["sketch"].combine_chunks()
-            size = np.diff(sketch.offsets.to_numpy())
-            value, at = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-            has = np.zeros((len(ids), len(value)), np.float32)
-            has[np.repeat(np.arange(len(ids)), size), at] = 1
-            has = has[:, has.sum(0) > 1]
             left, right = np.flatnonzero(block == side), np.flatnonzero(block == cell["right_block"][0].as_py())
-            overlap = has[left] @ has[right].T
             small, great = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
-            fit = (component[left][:, None] != component[right][None, :]) & (100 * small >= percent * great) & (ids[left][:, None] != ids[right][None, :])
-            fit &= overlap >= SHARED * np.maximum.outer(np.minimum(size, k)[left], np.minimum(size, k)[right])
-            x, y = np.nonzero(fit)
+            fit = (component[left][:, None] != component[right][None, :]) & (100 * small >= percent * great)
+            if not fit.any():
+                continue
+            wide = cell["wide"].chunk(0)
+            edge = wide.offsets.to_numpy()
+            values, edge = wide.flatten().to_numpy(), edge - edge[0]
+            size = np.diff(edge)
+            row, at, width, _ = incidence(wide)
+            overlap = np.zeros(fit.shape, np.float32)
+            for a in range(0, width, columns):
+                own = (at >= a) & (at < a + columns)
+                has = np.zeros((len(ids), min(columns, width - a)), np.float32)
+                has[row[own], at[own] - a] = 1
+                overlap += has[left] @ has[right].T
+            # Up to the lower of the two largest values both sketches are complete, so there the union is known.
+            top = np.where(size < n, np.array([values[e - 1] for e in edge[1:]]), np.iinfo(np.int64).max)
+            below = lambda x, y: np.stack([np.searchsorted(values[edge[i] : edge[i + 1]], top[y], "right") for i in x])
+            union = np.minimum(below(left, right), size[left][:, None]) + np.minimum(below(right, left), size[right][:, None]).T - overlap
+            complete = (size >= n)[left][:, None] & (size >= n)[right][None, :]
+            slack = np.where(complete, 1 / np.maximum(union, 1), LOW * np.sqrt(share * (1 - share) / np.maximum(union, 1)))
+            x, y = np.nonzero(fit & (overlap >= (share - slack) * union))
             x, y = left[x], right[y]
+            once = ids[x] < ids[y] if side == cell["right_block"][0].as_py() else ids[x] != ids[y]
+            x, y = x[once], y[once]
+            if not len(x):
+                continue
+            row, at, width, value = incidence(cell["rare"].chunk(0))  # v is the first list that the pair shares
+            has = np.zeros((len(ids), max(width, 1)), bool)
+            has[row, at] = True
+            has = has[:, : int(np.searchsorted(value, v))]
+            first = np.concatenate([~(has[x[a : a + 4096]] & has[y[a : a + 4096]]).any(1) for a in range(0, len(x), 4096)])
+            x, y = x[first], y[first]
             a, b = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(n[a]), pa.array(n[b])], names=["a", "b", "na", "nb"])
 
-    return block_pairs(members, "v", "id").mapInArrow(compare, "a long, b long, na long, nb long").distinct()
+    return block_pairs(members, "v", "id", block).mapInArrow(compare, "a long, b long, na long, nb long")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, k: int = K) -> DataFrame:
@@ -127,7 +163,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     shared = saved(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     found = entries.join(shared, "v")
     by_doc = Window.partitionBy("id")
-    need = F.ceil(F.col("size") * SHARED)
+    need = F.ceil(F.col("size") * OVERLAP)
     ranked = found.withColumns({"matched": F.count("*").over(by_doc), "rank": F.row_number().over(by_doc.orderBy("df", "v"))})
     rare = ranked.where((F.col("matched") >= need) & (F.col("size") - F.col("matched") + F.col("rank") <= F.col("size") - need + 1))
     lists = saved(rare.select("v", "id", "n"), "rare-values")
@@ -141,9 +177,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     members = lists.join(first, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("component"))
     members = saved(members, "members")
     mixed = saved(members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high AND m > 2").select("v"), "mixed-lists")
-    rest = members.join(mixed, "v").join(reps.select("id", "sketch"), "id")
-    crossing = cross_pairs(rest, k, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    crossing = saved(estimated(crossing, reps, k, percent), "cross-pairs")
+    rest = saved(members.join(mixed, "v"), "mixed-members")
+    wanted = saved(rest.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("rare")), "mixed-ids")  # k lists at most
+    chosen = F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_IDS else wanted.select("id")
+    wide = shingle_sets(texts.join(chosen, "id", "left_semi").select("id", "t"), width, WIDE).dropDuplicates(["id"])
+    wide = saved(wide.select("id", F.transform("sketch", lambda x: F.shiftright(x, 31)).alias("wide")).join(wanted, "id"), "wide-sketches")
+    crossing = saved(cross_pairs(rest.join(wide, "id"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
     more = saved(verified(crossing, texts, width, percent), "cross-links")
     whole = components(links.union(more)) if not more.isEmpty() else first
 
