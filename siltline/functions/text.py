@@ -218,5 +218,5 @@ def swatch(name: Column, colours: int = 8) -> Column:
 def split_thinking(reply: Column) -> Column:
     """Struct of thinking and answer; a fence around the answer is taken off."""
     pattern = r"(?is)<think>(.*?)</think>"
-    answer = F.trim(F.regexp_replace(reply, pattern, ""))
+    answer = F.regexp_replace(F.regexp_replace(reply, pattern, ""), r"^\s+|\s+$", "")
     return F.struct(F.trim(F.regexp_extract(reply, pattern, 1)).alias("thinking"), F.regexp_replace(answer, r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1").alias("answer"))
