@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltline.config import Extract
 from siltline.functions import text as T
 from siltline.functions import urls as U
 from siltline.functions import vectors as V
@@ -354,11 +355,52 @@ def event_windows(spark, sf):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
+def summary_gate(spark, sf):
+    """Assistant turns as replies in the shape asked for; every fifth was cut off, every seventh article had failed."""
+    body = F.to_json(F.struct(F.col("text").alias("summary"), F.array().cast("array<string>").alias("key_points")))
+    rows = S.table(spark, sf, "conversations").where("role = 'assistant'").select(
+        "conv_id", "turn", F.when(F.col("conv_id") % 7 == 0, "failed").otherwise("ok").alias("article_status"), F.when(F.col("conv_id") % 5 == 0, "length").otherwise("stop").alias("finish_reason"), body.alias("content")
+    )
+    return articles.to_summaries(rows).select("conv_id", "turn", "status", "failure_detail", F.md5(F.col("summary").cast("binary")).alias("md5"))
+
+
+def fetch_outcome(spark, sf):
+    rows = S.table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % 600).cast("int").alias("status"), F.col("html").alias("body"))
+    done = articles.fetched(rows, None, "agent", Extract(body_cap_bytes=2000))
+    return done.select("page_id", "outcome", "body_truncated", F.length("body").alias("bytes"), U.article_status(F.col("outcome")).alias("article_status"))
+
+
+def route_decide(spark, sf):
+    """Orders as items: a chart of their lines' quantities, a chain of their flags, or none, by the order's number."""
+    rows = S.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity"))).alias("x"))  # 7 lines at most
+    facts = F.transform("x", lambda p: F.struct(p["l_quantity"].cast("decimal(38,10)").alias("value"), p["l_quantity"].cast("string").alias("raw"), p["l_returnflag"].alias("unit"), F.lit("").alias("context")))
+    points = F.transform("x", lambda p, i: F.struct(F.concat(F.lit("line "), p["l_linenumber"]).alias("label"), i.alias("fact_index")))
+    n = F.col("l_orderkey") % 4
+    rows = rows.select(
+        "l_orderkey", F.lit("ok").alias("summary_status"), F.when(F.col("l_orderkey") % 11 == 0, "length").otherwise("stop").alias("finish_reason"), F.lit(True).alias("shape_ok"),
+        F.when(n == 0, "none").when(n == 1, "diagram").otherwise("chart").alias("kind"), points.alias("points"), F.transform("x", lambda p: p["l_returnflag"]).alias("steps"), F.lit("cap").alias("caption"), F.lit("dull").alias("reason"), facts.alias("facts"),
+    )
+    return route.to_routes(rows).select("l_orderkey", "kind", "rationale", "spec_format", F.when(F.col("spec_format") == "mermaid", F.md5(F.col("spec").cast("binary"))).alias("md5"))
+
+
+def stream_append(spark, sf):
+    """Events streamed into a ledger that keeps one row per user and type; a second run over the same input adds none."""
+    from siltline.sources.shared import shared_folder
+    from siltline.streaming.append import append_stream
+
+    schema = S.table(spark, sf, "events").schema
+    path, state = shared_folder(spark, "stream-ledger"), shared_folder(spark, "stream-state")
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("key", F.concat_ws("/", "user_id", "event_type"))
+        append_stream(stream.select("key", "event_id"), path, state, "key", "event_id").awaitTermination()
+    return spark.read.schema("key string, event_id long").parquet(path)
+
+
 QUERIES: tuple[Query, ...] = (
     plan_day, vertical_plan, shard_assignment, visual_ordinals, url_canonical, url_dedupe, url_dialable, host_rollup, word_counts, lead_text, compression, extractiveness, verbatim_run, unsupported_numbers, hedge_dropped, lead_coverage, entities,
     counterweight_band, eval_row, chunk_scores, band_edges, band_by_date, console_day, console_worst, archive_days, day_notice, day_paging, latest_date, corpus_shape, boilerplate_ratio, cost_report, drift_alerts, extraction_rot, validation_decide,
     fingerprint_classify, ledger_append, digest_append, run_manifest, vertical_counts, search_topk, vector_roundtrip, chunk_windows, truncate_tokens, text_filter, status_classify, retention_report, sanitize_text, page_text, numeric_facts,
-    same_unit_bars, integrity_violations, event_windows,
+    same_unit_bars, integrity_violations, event_windows, summary_gate, fetch_outcome, route_decide, stream_append,
 )
 
 
