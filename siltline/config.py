@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 
@@ -94,3 +95,14 @@ class Settings:
     retention: Retention = field(default_factory=Retention)
     visuals: Visuals = field(default_factory=Visuals)
     search: Search = field(default_factory=Search)
+
+
+def load(text: str) -> Settings:
+    """Settings from JSON: sections by name, what is left out has its default, what is unknown is an error."""
+    kinds = {"collect": Collect, "extract": Extract, "evaluation": Evaluation, "drift": Drift, "retention": Retention, "visuals": Visuals, "search": Search}
+    raw = json.loads(text)
+    if unknown := set(raw) - set(kinds):
+        raise ValueError(f"unknown sections: {sorted(unknown)}")
+    if "tier_weights" in raw.get("collect", {}):
+        raw["collect"]["tier_weights"] = TierWeights(**raw["collect"]["tier_weights"])
+    return Settings(**{name: kinds[name](**{k: tuple(v) if isinstance(v, list) else v for k, v in own.items()}) for name, own in raw.items()})

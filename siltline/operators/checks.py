@@ -92,3 +92,21 @@ def check_lifecycle(rows: DataFrame, table: str, key: str) -> DataFrame:
 def check_routes(rows: DataFrame, key: str) -> DataFrame:
     none = F.col("kind") == "none"
     return broken(rows, "route", key, {"spec with a kind only": none == F.col("spec").isNull(), "format with a spec only": F.col("spec").isNull() == F.col("spec_format").isNull(), "a visual is described": none | F.col("alt_text").isNotNull()})
+
+
+def check_days(counters: DataFrame, items: DataFrame) -> DataFrame:
+    """Counters of published days against their items."""
+    counted = items.groupBy("day").agg(F.count("*").alias("found"))
+    rows = counters.join(counted, "day", "left").fillna(0, ["found"])
+    return violations(
+        broken(rows, "day", "day", {"published is what is there": F.col("items_published") == F.col("found"), "failed and published make planned": F.col("items_failed") + F.col("items_published") == F.col("items_planned"), "partial if some failed": F.col("partial") == (F.col("items_failed") > 0)}),
+        repeated(items, "day", ["day", "item_id"], "item ids are distinct"),
+    )
+
+
+def check_validation(rows: DataFrame) -> DataFrame:
+    return broken(rows, "validation", "model_id", {"a switch does not select the model in use": ~((F.col("verdict") == "switch_and_pause") & F.col("is_incumbent") & F.col("selected"))})
+
+
+def check_fingerprints(rows: DataFrame, rebuilt: Column) -> DataFrame:
+    return broken(rows, "fingerprint", "fingerprint", {"fingerprint is rebuilt from its inputs": F.col("fingerprint") == rebuilt, "it is a digest": F.col("fingerprint").rlike(SHA)})

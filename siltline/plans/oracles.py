@@ -197,6 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "summary_gate": f"WITH r AS (SELECT conv_id, turn, text, len({split_words('text')}) AS n FROM conversations WHERE role = 'assistant'), d AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN 'the article did not extract, so there was nothing to summarize' WHEN conv_id % 5 = 0 THEN 'the reply was cut off by the output budget, so it never closed its JSON' WHEN n < 40 OR n > 250 THEN 'summary is ' || n || ' words, outside the publishable range' END AS failure_detail FROM r) SELECT conv_id, turn, CASE WHEN failure_detail IS NULL THEN 'ok' ELSE 'failed' END AS status, failure_detail, CASE WHEN failure_detail IS NULL THEN md5(text) END AS md5 FROM d",
         "fetch_outcome": "WITH s AS (SELECT page_id, page_id % 600 AS status, octet_length(encode(html)) AS n FROM pages), c AS (SELECT *, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN 'transient' ELSE 'permanent' END AS outcome FROM s) SELECT page_id, outcome, n > 2000 AS body_truncated, CAST(least(n, 2000) AS INTEGER) AS bytes, CASE outcome WHEN 'ok' THEN 'ok' ELSE 'fetch_failed' END AS article_status FROM c",
         "route_decide": "WITH o AS (SELECT l_orderkey, count(*) AS n, list(l_returnflag ORDER BY l_linenumber, l_returnflag, l_quantity) AS steps FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, max(c) AS bars FROM (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY 1), r AS (SELECT *, CASE WHEN l_orderkey % 11 = 0 THEN 'the routing reply was cut off by the output budget' WHEN l_orderkey % 4 = 0 THEN 'dull' WHEN l_orderkey % 4 > 1 AND (bars < 3 OR bars > 8) THEN bars || ' of ' || n || ' bars measure the same thing, which is outside the publishable range' WHEN l_orderkey % 4 = 1 AND (n < 3 OR n > 6) THEN n || ' steps is outside the publishable range' END AS refusal FROM o JOIN g USING (l_orderkey)) SELECT l_orderkey, CASE WHEN refusal IS NOT NULL THEN 'none' WHEN l_orderkey % 4 = 1 THEN 'diagram' ELSE 'chart' END AS kind, coalesce(refusal, 'dull') AS rationale, CASE WHEN refusal IS NULL THEN CASE WHEN l_orderkey % 4 = 1 THEN 'mermaid' ELSE 'vega_lite' END END AS spec_format, CASE WHEN refusal IS NULL AND l_orderkey % 4 = 1 THEN md5('%% cap' || chr(10) || 'flowchart TD' || chr(10) || array_to_string(list_transform(steps, lambda x, i: '    n' || (i - 1) || '[\"' || x || '\"]'), chr(10)) || chr(10) || array_to_string(list_transform(steps[2:], lambda x, i: '    n' || (i - 1) || ' --> n' || i), chr(10))) END AS md5 FROM r",
+        "assembled_items": plan + "SELECT day, item_id, upper(vertical[1]) || vertical[2:] AS display_name, CASE WHEN CAST(source_id AS BIGINT) % 2 = 0 THEN 'user ' || source_id ELSE source_id END AS source_name, CASE WHEN CAST(source_id AS BIGINT) % 2 = 0 THEN 'community' ELSE 'reporting' END AS source_kind, CASE WHEN ordinal % 2 = 0 THEN 'medium' WHEN rank_score >= 2 THEN 'high' ELSE 'low' END AS band, item_id || '. summary of ' || item_id AS text, CASE WHEN tier = 1 THEN 'v/' || item_id END AS visual_path FROM plan WHERE carried_by > 1",
         "stream_append": "SELECT user_id || '/' || event_type AS key, min(event_id) AS event_id FROM events GROUP BY 1",
         "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(count(*) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
         "integrity_violations": "SELECT 'article' AS \"table\", CAST(doc_id AS VARCHAR) AS key, 'ok has text and title' AS rule FROM documents WHERE n_chars >= 200 AND n_chars < 300 UNION ALL SELECT 'article', CAST(doc_id AS VARCHAR), 'failed has a reason' FROM documents WHERE n_chars < 200 UNION ALL SELECT 'orders', o_custkey || '/' || o_orderstatus || '/' || o_orderpriority, 'one order of a kind' FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority HAVING count(*) > 1",

@@ -11,7 +11,7 @@ from siltline.config import Extract
 from siltline.functions import text as T
 from siltline.functions import urls as U
 from siltline.functions import vectors as V
-from siltline.operators import articles, boards, checks, corpus, decide, digest, drift, ledger, metrics, rank, retention, route, search
+from siltline.operators import articles, assemble, boards, checks, corpus, decide, digest, drift, ledger, metrics, rank, retention, route, search
 from siltline.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,11 +396,25 @@ def stream_append(spark, sf):
     return spark.read.schema("key string, event_id long").parquet(path)
 
 
+def assembled_items(spark, sf):
+    """Planned items; stories of several sources have summaries, odd numbers scores, first-tier stories visuals."""
+    plan, key = plan_day(spark, sf), assemble.KEY
+    own = plan.select(*key, "carried_by", "ordinal", "tier", "rank_score")
+    summaries = own.where("carried_by > 1").select(*key, F.concat(F.lit("summary of "), "item_id").alias("summary"))
+    evals = own.where("ordinal % 2 = 1").select(*key, F.when(F.col("rank_score") >= 2, "high").otherwise("low").alias("eval_band"))
+    routes = own.where("tier = 1").select(*key, F.lit("chart").alias("kind"), F.concat(F.lit("v/"), "item_id").alias("path"))
+    rows = assemble.joined(plan, own.select(*key), summaries, evals, routes)
+    sources = plan.where("source_id % 2 = 0").select("source_id", F.concat(F.lit("user "), "source_id").alias("source_name"), F.lit("community").alias("source_kind")).distinct()
+    rows = assemble.with_vertical(assemble.with_source(rows, sources), S.verticals(spark, sf))
+    drawn = assemble.visual(F.col("kind"), F.col("path"), F.lit("alt"), F.lit("absent"))
+    return rows.select("day", "item_id", "display_name", "source_name", "source_kind", assemble.band_or_fallback(F.col("eval_band"), F.lit("medium")).alias("band"), assemble.text_for(F.col("item_id"), F.col("summary")).alias("text"), drawn["path"].alias("visual_path"))
+
+
 QUERIES: tuple[Query, ...] = (
     plan_day, vertical_plan, shard_assignment, visual_ordinals, url_canonical, url_dedupe, url_dialable, host_rollup, word_counts, lead_text, compression, extractiveness, verbatim_run, unsupported_numbers, hedge_dropped, lead_coverage, entities,
     counterweight_band, eval_row, chunk_scores, band_edges, band_by_date, console_day, console_worst, archive_days, day_notice, day_paging, latest_date, corpus_shape, boilerplate_ratio, cost_report, drift_alerts, extraction_rot, validation_decide,
     fingerprint_classify, ledger_append, digest_append, run_manifest, vertical_counts, search_topk, vector_roundtrip, chunk_windows, truncate_tokens, text_filter, status_classify, retention_report, sanitize_text, page_text, numeric_facts,
-    same_unit_bars, integrity_violations, event_windows, summary_gate, fetch_outcome, route_decide, stream_append,
+    same_unit_bars, integrity_violations, event_windows, summary_gate, fetch_outcome, route_decide, stream_append, assembled_items,
 )
 
 

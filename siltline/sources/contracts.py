@@ -94,3 +94,12 @@ def digests(spark: SparkSession, paths: str) -> DataFrame:
 def day_path(date: str, root: str = "digest") -> str:
     year, month, day = date.split("-")
     return f"{root}/{year}/{month}/{day}"
+
+
+def asset_path(date: str, item_id: str, ordinal: int, suffix: str = "svg") -> str:
+    return f"{day_path(date)}/{item_id}-{ordinal:02d}.{suffix}"
+
+
+def results_in(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
+    """JSON results of a folder with the file each came from, in name order."""
+    return spark.read.schema(ddl).option("multiLine", True).json(folder).select(F.input_file_name().alias("file"), "*").orderBy("file")

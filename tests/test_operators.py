@@ -182,3 +182,38 @@ def test_streamed_append_writes_nothing_twice(spark, tmp_path):
     assert sorted(rows_of(spark.read.parquet(ledger_path))) == [("a", 1), ("b", 3), ("c", 5)]
     times = spark.createDataFrame([("u", "2026-01-01 00:00:00"), ("u", "2026-01-01 00:04:00"), ("u", "2026-01-01 01:00:00")], "g string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in sessions(times, "t", "g", "5 minutes").collect()) == [1, 2]
+
+
+def test_settings_from_json():
+    from siltline import config
+
+    own = config.load('{"collect": {"max_per_source": 1, "tier_weights": {"institution": 2.0}}, "visuals": {"enabled": ["diagram"]}}')
+    assert own.collect.max_per_source == 1 and own.collect.tier_weights.institution == 2.0 and own.visuals.enabled == ("diagram",) and own.search.limit == 10
+    for bad in ('{"x": {}}', '{"evaluation": {"band_high_min": 0.1}}'):
+        with pytest.raises(ValueError):
+            config.load(bad)
+
+
+def test_assembled_days(spark):
+    from siltline.operators import assemble
+
+    items = spark.createDataFrame([("d", "v-01", "a"), ("d", "v-02", "b")], "day string, item_id string, text string")
+    got = {r.item_id: r.vector for r in assemble.embedded(items, F.col("text"), lambda texts: [[1.0, 0.0] for _ in texts], 2).collect()}
+    assert set(got) == {"v-01", "v-02"} and len(set(got.values())) == 1
+    with pytest.raises(Exception, match="wide"):
+        assemble.embedded(items, F.col("text"), lambda texts: [[1.0] for _ in texts], 2).collect()
+    read = items.where("item_id = 'v-01'")
+    assert [r.item_id for r in assemble.hide_read(items, read, True).collect()] == ["v-02"] and assemble.hide_read(items, read, False).count() == 2
+    counters = spark.createDataFrame([("d", 3, 2, 1, True), ("e", 1, 1, 1, False)], "day string, items_planned long, items_published long, items_failed long, partial boolean")
+    assert {(r.key, r.rule) for r in checks.check_days(counters, items).collect()} == {("e", "published is what is there"), ("e", "failed and published make planned"), ("e", "partial if some failed")}
+
+
+def test_replies_and_benchmark_files(spark, tmp_path):
+    from siltline.sources import completions
+
+    reply = '{"choices": [{"message": {"content": "hi"}, "finish_reason": "length"}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}'
+    got = [r.x for r in spark.createDataFrame([(reply,), ('{"choices": []}',)], "t string").select(completions.parsed(F.col("t")).alias("x")).collect()]
+    assert got[0].content == "hi" and got[0].hit_the_budget and got[1].error == "the reply holds no choice" and not got[1].hit_the_budget
+    (tmp_path / "runs.json").write_text('[{"model_filename": "/m/a.gguf", "n_prompt": 512, "avg_ts": 9.5}]\n[{"model": "a.gguf", "n_gen": 64, "avg_ts": 3.0}, {"model": "a.gguf", "n_gen": 64, "avg_ts": 4.0}]')
+    rows = corpus.throughputs(completions.load_runs(spark, str(tmp_path)))
+    assert {(r.model, r.kind): r.speed for r in rows.collect()} == {("a.gguf", "prefill"): 9.5, ("a.gguf", "decode"): 4.0}
