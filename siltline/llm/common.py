@@ -6,6 +6,8 @@ Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; on UTF-8 bytes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -104,6 +106,38 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(total, dtype=np.int64)
 
 
+TEXTS_IN_BATCH = 2000
+
+
+def small_batches(spark: SparkSession, rows: int = TEXTS_IN_BATCH) -> None:
+    """Limits the session's Arrow batches: texts are large rows, and both sides hold some batches at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers live on, and the executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def thrifty(work):
+    """A mapInArrow function that gives back its memory when it ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of a text column of a batch; null counts as empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return column.to_pylist()
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.llm.blocks import block_pairs, cells
-from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, text_bytes, words_of
+from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, small_batches, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
 K, OVERLAP, SHARED = 48, 0.6, 0.5
@@ -55,7 +55,7 @@ def shingle_sets(rows: DataFrame, width: int, k: int | None) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=["id", "n", "digest", "sketch"])
 
-    return rows.mapInArrow(work, "id long, shingles array<long>" if k is None else "id long, n long, digest binary, sketch array<long>")
+    return rows.mapInArrow(thrifty(work), "id long, shingles array<long>" if k is None else "id long, n long, digest binary, sketch array<long>")
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -145,7 +145,7 @@ def cross_pairs(members: DataFrame, percent: int, block: int = 1024, columns: in
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(n[a]), pa.array(n[b])], names=["a", "b", "na", "nb"])
 
-    return block_pairs(members, "v", "id", block).mapInArrow(compare, "a long, b long, na long, nb long")
+    return block_pairs(members, "v", "id", block).mapInArrow(thrifty(compare), "a long, b long, na long, nb long")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, k: int = K) -> DataFrame:
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     A row whose id is null takes the component of its copies, if they have ids, and links no others;
     it is kept only where it has none.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("t"))
     rows = saved(shingle_sets(texts, width, k), "sketches")
     reps = saved(rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, saved, slices, text_bytes
+from siltline.llm.common import binary_list, saved, slices, small_batches, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long"
@@ -121,7 +121,8 @@ def cut_pieces(df: DataFrame, key: str, text: str, vocabulary: str, end: int, ca
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(counts[row], pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(rank, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    return df.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).mapInArrow(cut, PIECES)
+    small_batches(df.sparkSession)
+    return df.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).mapInArrow(thrifty(cut), PIECES)
 
 
 def pack_documents(df: DataFrame, key: str, text: str, vocabulary: str, end: int = 2, capacity: int = 4096) -> DataFrame:
@@ -147,4 +148,4 @@ def pack_documents(df: DataFrame, key: str, text: str, vocabulary: str, end: int
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2)), pa.array(length), *(batch.column(i) for i in (3, 4)), pa.array(plan["sequence"][slot] + rank - plan["first"][slot]), pa.array(plan["offset"][slot])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(thrifty(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

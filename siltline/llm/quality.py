@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import binary_list, slices, text_bytes
+from siltline.llm.common import bytes_of, slices, small_batches, text_bytes, thrifty
 
 BREAK = re.compile(rb"[\r\n]+")
 #: Classes of bytes: lower-case letters, capitals, digits, white space, sentence marks, other signs, bytes of non-ASCII letters.
@@ -200,17 +200,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
 def score_quality(docs: DataFrame, text: str, crf: LineCrf, keys: list[str], name: str = "score") -> DataFrame:
     """The columns ``keys`` and the quality of each text, read whole."""
-    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = docs.select(*kept, text_bytes(text).alias("t"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    small_batches(docs.sparkSession)
+    own = keys if text in keys else [*keys, text]  # a text among the columns kept is not sent twice
+    rows = docs.select(*[(F.col(c).cast("string") if c == text else F.col(c)).alias(f"k{i}") for i, c in enumerate(own)])
+    at, schema = own.index(text), T.StructType([*rows.schema.fields[: len(keys)], T.StructField("score", T.DoubleType())])
 
     def score(batches):
         for batch in batches:
-            texts = binary_list(batch.column(len(keys)))
+            texts = bytes_of(batch.column(at))
             values = np.empty(len(texts))
             for a, b in slices(texts):
                 values[a:b] = quality_scores(texts[a:b], crf)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(values)], names=[*(f"k{i}" for i in range(len(keys))), "score"])
 
-    scored = rows.mapInArrow(score, schema)
+    scored = rows.mapInArrow(thrifty(score), schema)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("score").alias(name))

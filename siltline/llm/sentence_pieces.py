@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, ragged, slices, text_bytes
+from siltline.llm.common import binary_list, ragged, slices, small_batches, text_bytes, thrifty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -194,6 +194,7 @@ def parity(path: str, texts: list[str]) -> list[int]:
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: key and ids of the whole text."""
+    small_batches(df.sparkSession)
 
     def work(batches):
         pieces = codec(path)
@@ -204,7 +205,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["key", "ids"])
 
-    return df.select(F.col(key).cast("long").alias("key"), text_bytes(text)).mapInArrow(work, "key long, ids array<int>")
+    return df.select(F.col(key).cast("long").alias("key"), text_bytes(text)).mapInArrow(thrifty(work), "key long, ids array<int>")
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
@@ -217,11 +218,12 @@ def decode_ids(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
             texts = [pieces.decode(np.array(x or [], np.int64)) for x in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode() for t in texts], pa.string())], names=["key", "text"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(ids).alias("ids")).mapInArrow(work, "key long, text string")
+    return df.select(F.col(key).cast("long").alias("key"), F.col(ids).alias("ids")).mapInArrow(thrifty(work), "key long, text string")
 
 
 def round_trips(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: key, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), text_crc32 of the decoded text, same."""
+    small_batches(df.sparkSession)
 
     def work(batches):
         pieces = codec(path)
@@ -237,4 +239,4 @@ def round_trips(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
                     pa.array([zlib.crc32(t) for t in back], pa.int64()), pa.array([t == u for t, u in zip(back, texts[a:b], strict=True)]),
                 ], names=["key", "n_ids", "ids_crc32", "text_crc32", "same"])
 
-    return df.select(F.col(key).cast("long").alias("key"), text_bytes(text)).mapInArrow(work, "key long, n_ids long, ids_crc32 long, text_crc32 long, same boolean")
+    return df.select(F.col(key).cast("long").alias("key"), text_bytes(text)).mapInArrow(thrifty(work), "key long, n_ids long, ids_crc32 long, text_crc32 long, same boolean")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, shared_folder, slices, text_bytes
+from siltline.llm.common import binary_list, shared_folder, slices, small_batches, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 SKIPPABLE, DIRECTORY, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -137,6 +137,7 @@ def write_token_files(df: DataFrame, key: str, text: str, vocabulary: str, end:
     Returns one row per file: path, part, n_rows, n_ids. A task writes under a name of its own
     and moves the whole file in place, so a repeated task leaves the same files.
     """
+    small_batches(df.sparkSession)
     folder = folder or shared_folder(df.sparkSession, "token-files")
 
     def write(batches):
@@ -165,7 +166,7 @@ def write_token_files(df: DataFrame, key: str, text: str, vocabulary: str, end:
 
     rows = df.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t"))
     rows = rows.withColumn("tie", F.xxhash64("t")).repartitionByRange("k", "tie").sortWithinPartitions("k", "tie")
-    files = rows.select("k", "t").mapInArrow(write, "path string, part long, n_rows long, n_ids long")
+    files = rows.select("k", "t").mapInArrow(thrifty(write), "path string, part long, n_rows long, n_ids long")
     manifest = files.collect()  # one row per file
     return df.sparkSession.createDataFrame([(f"{folder}/{r.path.rsplit('/', 1)[1]}", r.part, r.n_rows, r.n_ids) for r in manifest], "path string, part long, n_rows long, n_ids long")
 
@@ -196,4 +197,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
     names = spark.createDataFrame(listed, "path string, base long")
     if listed:
         names = names.repartition(len(listed))
-    return names.mapInArrow(read, "key long, start long, n_ids long, ids_crc32 long")
+    return names.mapInArrow(thrifty(read), "key long, start long, n_ids long, ids_crc32 long")

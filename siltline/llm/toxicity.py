@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import binary_list, ragged, slices, text_bytes
+from siltline.llm.common import bytes_of, ragged, slices, small_batches, text_bytes, thrifty
 from siltline.llm.quality import fit_curve
 
 WINDOW, STEP = 32, 24
@@ -176,7 +176,7 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Lookup(dict):
     """Word -> row of a table of projected inputs of both sides; row 0 is no word at all."""
 
-    def __init__(self, net: BiGru, most: int = 250_000):
+    def __init__(self, net: BiGru, most: int = 120_000):
         super().__init__()
         self.net, self.most = net, most
         self.rows = np.zeros((1024, 6 * HIDDEN), np.float32)
@@ -277,7 +277,8 @@ def gradients(net: BiGru, table: tuple, number: np.ndarray, mask: np.ndarray, y:
 
 def train_toxicity(texts: list[bytes], labels: np.ndarray, rounds: int = 4, passes: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 11) -> BiGru:
     rng = np.random.default_rng(seed)
-    words = [[core(w) for w in text.split()] for text in texts]
+    same: dict[bytes, bytes] = {}
+    words = [[same.setdefault(c, c) for c in map(core, text.split())] for text in texts]
     in_docs: dict[bytes, list[int]] = {}
     for own, y in zip(words, labels.tolist(), strict=True):
         for w in set(own):
@@ -371,17 +372,19 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
 def score_toxicity(docs: DataFrame, text: str, net: BiGru, keys: list[str], name: str = "score") -> DataFrame:
     """The columns ``keys`` and the toxicity of each text, read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], text_bytes(text).alias("t"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    small_batches(docs.sparkSession)
+    own = keys if text in keys else [*keys, text]  # a text among the columns kept is not sent twice
+    rows = docs.select(*[(F.col(c).cast("string") if c == text else F.col(c)).alias(f"k{i}") for i, c in enumerate(own)])
+    at, schema = own.index(text), T.StructType([*rows.schema.fields[: len(keys)], T.StructField("score", T.DoubleType())])
 
     def score(batches):
         lookup = Lookup(shared.value)
         for batch in batches:
-            texts = binary_list(batch.column(len(keys)))
+            texts = bytes_of(batch.column(at))
             values = np.empty(len(texts))
             for a, b in slices(texts, 2 << 20):
                 values[a:b] = toxicity_scores(texts[a:b], lookup)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(values)], names=[*(f"k{i}" for i in range(len(keys))), "score"])
 
-    scored = rows.mapInArrow(score, schema)
+    scored = rows.mapInArrow(thrifty(score), schema)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("score").alias(name))
