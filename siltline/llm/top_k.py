@@ -1,7 +1,7 @@
 """Exact top-k by inner product: a dual-tree search over cover trees.
 
-Candidates are dealt into compact blocks (nearest of a few pivots, then by hash), and each block
-is a tree whose nodes hold a centre point and a covering radius; queries likewise. A task meets one
+Candidates are dealt into compact blocks (nearest of a few pivots, then by hash), queries by hash,
+and each block is a tree whose nodes hold a centre point and a covering radius. A task meets one
 block of queries with some blocks of candidates. Node pairs are expanded together and pruned when
 
     <q, c> <= <q0, c0> + |q0| rc + |c0| rq + rq rc
@@ -22,16 +22,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.llm.blocks import cells
-from siltline.llm.common import saved
+from siltline.llm.common import ragged, saved, thrifty
 from siltline.llm.vector_dups import finite
 
-LEAF, FAN = 64, 16
+LEAF, QUERY_LEAF, FAN = 128, 256, 16
+#: Candidates that are scored in one step.
+STEP = 1024
 
 
 class CoverTree:
-    """Points in tree order; leaves are ranges of them. Built from the top by farthest-first centres."""
+    """Points in tree order; leaves are ranges of them. Built from the top by farthest-first centres.
 
-    def __init__(self, points: np.ndarray):
+    A node's centres lie more than half its radius from one another until they cover it to that
+    half, or are FAN. Groups too small for a leaf of their own share one, and a node that hardly
+    splits is halved along the line of its two farthest centres; radii are measured, so they hold.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(points))
         centre, radius, span, child = [], [], [], []
         queue = [(0, len(points), self._centre(points))]
@@ -44,19 +51,25 @@ class CoverTree:
             radius.append(float(far.max()))
             span.append((a, b))
             child.append((0, 0))
-            if b - a > LEAF and far.max() > 0:
-                heads, near, label = [int(self.order[a + int(np.argmin(far))])], far.copy(), np.zeros(b - a, np.int64)
+            if b - a > leaf and far.max() > 0:
+                heads, near, label = [int(np.argmin(far))], far.copy(), np.zeros(b - a, np.int64)
                 while len(heads) < FAN and near.max() > radius[node] / 2:
-                    heads.append(int(self.order[a + int(np.argmax(near))]))
-                    to = np.sqrt(((own - points[heads[-1]]) ** 2).sum(1))
+                    heads.append(int(np.argmax(near)))
+                    to = np.sqrt(((own - own[heads[-1]]) ** 2).sum(1))
                     label[to < near] = len(heads) - 1
                     near = np.minimum(near, to)
-                if len(heads) > 1:
-                    by = np.argsort(label, kind="stable")
-                    self.order[a:b] = self.order[a:b][by]
-                    edge = a + np.searchsorted(label[by], np.arange(len(heads) + 1))
-                    child[node] = (node + len(queue) + 1, len(heads))
-                    queue += [(int(edge[i]), int(edge[i + 1]), heads[i]) for i in range(len(heads))]
+                size = np.bincount(label, minlength=len(heads))
+                label = np.where(size[label] < leaf // 8, -1, label)
+                kinds, label, size = np.unique(label, return_inverse=True, return_counts=True)
+                if len(kinds) == 1 or size.max() > 0.9 * len(own):
+                    along = own @ (own[heads[-1]] - own[heads[0]])
+                    label = np.zeros(b - a, np.int64)
+                    label[np.argsort(along, kind="stable")[(b - a) // 2 :]] = 1
+                by = np.argsort(label, kind="stable")
+                self.order[a:b] = self.order[a:b][by]
+                edge = a + np.searchsorted(label[by], np.arange(label.max() + 2))
+                child[node] = (node + len(queue) + 1, len(edge) - 1)
+                queue += [(int(x), int(y), int(self.order[x + self._centre(points[self.order[x:y]])])) for x, y in zip(edge, edge[1:], strict=False)]
         self.points = points[self.order]
         self.centre, self.radius, self.span, self.child = points[centre], np.array(radius), np.array(span), np.array(child)
         self.norm = np.sqrt((self.centre**2).sum(1))
@@ -130,11 +143,12 @@ def search(queries: CoverTree, query_ids: np.ndarray, candidates: CoverTree, can
         order = np.argsort(-limit, kind="stable")
         own, limit = own[order], limit[order]
         rows = slice(*map(int, queries.span[leaf]))
+        size = np.diff(candidates.span[own], axis=1)[:, 0]
         at = 0
         while at < len(own) and limit[at] >= answers.best[rows, -1].min():
-            some = own[at : at + 8]
-            at += 8
-            place = np.concatenate([np.arange(*candidates.span[c]) for c in some])
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + STEP]), STEP)))
+            place = ragged(candidates.span[own[at:end], 0], size[at:end])
+            at = end
             scores = queries.points[rows] @ candidates.points[place].T
             scores[query_ids[rows][:, None] == candidate_ids[place][None, :]] = -np.inf
             answers.offer(rows, scores, candidate_ids[place])
@@ -162,7 +176,7 @@ def blocks_of(rows: DataFrame, size: int, spread: bool) -> DataFrame:
                         out[own] = np.argmin((heads**2).sum(1)[None, :] - 2 * x @ heads.T, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], names=["id", "x", "dimension", "pivot"])
 
-        rows = saved(rows.select("id", "x", "dimension").mapInArrow(nearest, "id long, x array<double>, dimension int, pivot int"), "near-pivots")
+        rows = saved(rows.select("id", "x", "dimension").mapInArrow(thrifty(nearest), "id long, x array<double>, dimension int, pivot int"), "near-pivots")
         group = ["dimension", "pivot"]
     sizes = saved(rows.groupBy(*group).agg(F.ceil(F.count("*") / size).alias("parts")), "block-counts")
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
@@ -180,7 +194,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, s
     rows = df.select(F.col(key).cast("long").alias("id"), whole.alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
     rows = rows.withColumn("dimension", F.size("x"))
     points = blocks_of(rows, candidate_block, True)
-    asked = blocks_of(points.where(is_query).select("id", "x", "dimension").dropDuplicates(["id"]), query_block, True)
+    asked = blocks_of(points.where(is_query).select("id", "x", "dimension").dropDuplicates(["id"]), query_block, False)
     query_blocks = saved(asked.groupBy("block", "dimension").count().select(F.col("block").alias("q"), "dimension"), "query-blocks")
     candidate_blocks = saved(points.groupBy("block", "dimension").count().select(F.col("block").alias("c"), "dimension"), "candidate-blocks")
     # Every block of queries meets every block of candidates of its length: pairs of blocks, not of rows.
@@ -202,7 +216,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, s
         for part in cells(batches, cell):
             own, x = part["id"].to_numpy(), part["x"].combine_chunks()
             points = x.flatten().to_numpy().reshape(len(own), -1)
-            made = CoverTree(points)
+            made = CoverTree(points, LEAF if part["role"][0].as_py() else QUERY_LEAF)
             if part["role"][0].as_py() == 0:
                 if answers is not None:
                     yield answer()
@@ -212,6 +226,6 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, s
         if answers is not None:
             yield answer()
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(thrifty(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
