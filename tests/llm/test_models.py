@@ -142,6 +142,12 @@ def test_base_scores_by_hand(docs, awkward, monkeypatch):
         assert got == want and np.isfinite(out.score).all() and (out.score < 0).all()
 
 
+def test_nothing_to_score_or_to_learn_from(docs, awkward):
+    assert lm.score_texts(docs.where("false"), "doc_id", "text", F.lit(True)).count() == 0
+    out = lm.score_texts(docs, "doc_id", "text", F.lit(False)).toPandas()
+    assert len(out) == len(awkward) and (out.train_tokens == 0).all() and (out.n_known == 0).all() and np.isfinite(out.score).all()
+
+
 def test_model_sums_to_one(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(i, prose(rng, 200).encode()) for i in range(60)], "k long, t binary")
