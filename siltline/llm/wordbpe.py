@@ -37,7 +37,7 @@ def byte_signs() -> dict[int, str]:
 class WordEncoder(dict):
     """bytes of a word -> its number; the ids of word i are flat[start[i] : start[i] + length[i]]."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
