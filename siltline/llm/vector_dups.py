@@ -39,6 +39,13 @@ def finite(vector: str | Column) -> Column:
     return F.when(c.isNotNull() & ~bad, c)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def directions(dimension: int, n: int, seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed + dimension).standard_normal((dimension, n)).astype(np.float32)
 
@@ -77,12 +84,12 @@ def collisions(dx: np.ndarray, vx: np.ndarray, dy: np.ndarray, vy: np.ndarray, r
 
 def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, projections: int = PROJECTIONS, recall: float = 0.999, block: int = 256) -> DataFrame:
     """Per row of ``df``: vec_id, n_links (other vectors linked directly), component_id, kept."""
-    rows = saved(df.select(F.col(key).cast("long").alias("id"), finite(vector).cast("array<double>").alias("x")), "vectors")
+    rows = saved(df.select(F.col(key).cast("long").alias("id"), finite(vector).alias("x")), "vectors")
     usable = rows.where("id IS NOT NULL AND x IS NOT NULL AND exists(x, v -> v <> 0)")
     classes = saved(usable.groupBy("x").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies")), "vector-classes")
     sizes = [r.d for r in classes.select(F.size("x").alias("d")).distinct().collect()]  # the lengths that occur
     retained = {d: calibrated(d, threshold, directions(d, projections), recall) for d in sizes}
-    reach = window(threshold)
+    reach, kind = window(threshold), classes.schema["x"].dataType.simpleString()
 
     def project(batches):
         for batch in batches:
@@ -90,18 +97,16 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
             for d in np.unique(length):
                 own = np.flatnonzero(length == d)
                 part = batch.take(pa.array(own))
-                x = part.column(1).flatten().to_numpy().reshape(len(own), d)
-                unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                top, value = strongest(unit, directions(int(d), projections), retained[int(d)])
+                top, value = strongest(unit_rows(part.column(1).flatten().to_numpy().reshape(len(own), d)), directions(int(d), projections), retained[int(d)])
                 two = list(itertools.combinations(range(top.shape[1]), 2))
                 keys = np.stack([(np.int64(d) << 40) + top[:, a].astype(np.int64) * (2 * projections) + top[:, b] for a, b in two], 1)
                 edge = lambda n: pa.array(np.arange(len(own) + 1) * n, pa.int32())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(2), pa.ListArray.from_arrays(edge(d), pa.array(unit.reshape(-1))), pa.ListArray.from_arrays(edge(top.shape[1]), pa.array(top.reshape(-1))),
+                    part.column(0), part.column(2), part.column(1), pa.ListArray.from_arrays(edge(top.shape[1]), pa.array(top.reshape(-1))),
                     pa.ListArray.from_arrays(edge(top.shape[1]), pa.array(value.astype(np.float32).reshape(-1))), pa.ListArray.from_arrays(edge(keys.shape[1]), pa.array(keys.reshape(-1))),
-                ], names=["id", "copies", "unit", "top", "value", "keys"])
+                ], names=["id", "copies", "x", "top", "value", "keys"])
 
-    projected = saved(classes.select("id", "x", "copies").mapInArrow(project, "id long, copies long, unit array<double>, top array<int>, value array<float>, keys array<long>"), "projections")
+    projected = saved(classes.select("id", "x", "copies").mapInArrow(project, f"id long, copies long, x {kind}, top array<int>, value array<float>, keys array<long>"), "projections")
     met = saved(projected.select("id", F.explode("keys").alias("key")), "window-keys")
     shared = saved(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     met = met.join(shared, "key").join(projected.drop("keys"), "id")
@@ -109,7 +114,8 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
     def check(batches):
         for cell in cells(batches, ["key", "left_block", "right_block"]):
             ids, copies, side, other = cell["id"].to_numpy(), cell["copies"].to_numpy(), cell["left_block"][0].as_py(), cell["right_block"][0].as_py()
-            unit, top, value = (cell[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("unit", "top", "value"))
+            x, top, value = (cell[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("x", "top", "value"))
+            unit = unit_rows(x)
             left, right = np.flatnonzero(cell["block"].to_numpy() == side), np.flatnonzero(cell["block"].to_numpy() == other)
             near = unit[left] @ unit[right].T >= threshold
             a, b = np.nonzero(near)
