@@ -41,13 +41,19 @@ def every_tenth(rows: DataFrame, last: int) -> DataFrame:
     return rows.where(F.col("canonical_url").endswith(str(last))).select("url_key").distinct()
 
 
+def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    """``rows`` over all cores where a table of few splits would keep most of them idle; else as they are, unshuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if scan.rdd.getNumPartitions() < cores else rows
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document and a summary that holds some of it: its 2nd, 4th and 6th sentence and the next document's first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.col("text").alias("source_text"))
     own = T.sentences(F.col("source_text"))
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.element_at(own, 1).alias("next"))
     picked = F.filter(F.array(F.try_element_at(own, F.lit(2)), F.try_element_at(own, F.lit(4)), F.try_element_at(own, F.lit(6)), F.col("next")), lambda s: s.isNotNull())
-    return docs.join(following, "doc_id", "left").withColumn("summary", F.array_join(picked, " ")).drop("next")
+    return spread(docs.join(following, "doc_id", "left").withColumn("summary", F.array_join(picked, " ")).drop("next"), docs)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
