@@ -1,17 +1,30 @@
 """Licence scans: known sentences first, ordered rules second.
 
-A text is cut into sentences (at line breaks, and at spaces after a full stop, semicolon or
-colon), each is normalised to lower-case words and numbers, and looked up among the sentences of
-known licences. A rule names sentences that must follow one another in order, with at most ``gap``
-other sentences between two. Matches of one rule in one text do not overlap: each starts at its
-first sentence and takes the nearest next one. Knowledge is two small tables, of fixed size.
-
-Texts without any opening word of the knowledge are set aside before they are cut: every known
-sentence holds one of ANCHORS. Null and empty texts match nothing. Repeated rows are each scanned.
+A text is cut into pieces (at line breaks, and at spaces after a full stop, semicolon or colon),
+each normalised to lower-case words and numbers. A known sentence is found where one piece, or
+several that follow one another, hold exactly its words: so hard-wrapped text, with or without
+comment signs, and sentences with a colon or semicolon in them are found; where lines break does
+not matter. Of sentences of one name that start at one piece the longest counts. A rule names
+sentences that must follow one another in order, with at most ``gap`` other pieces between two.
+Matches of one rule in one text do not overlap: each starts at its first sentence and takes the
+nearest next one. Positions are those of pieces.
+
+Pieces that are part of a known sentence are found in a table of all its runs of words, which
+grows with the square of its length; knowledge is of fixed size. A piece that starts at word o of
+the text and holds words a to b of a sentence says that the sentence starts at o - a; where the
+pieces that say so hold all its words, it is there.
+
+Texts without any opening word of the knowledge (ANCHORS) are set aside before they are cut. Null and empty texts match nothing. Repeated rows are each scanned.
+
+``SQL`` states the narrower rule of one piece for each sentence of SENTENCES: its rows are among
+these, and equal where no known sentence is wrapped and none of WORDINGS occurs.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +52,15 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "all-rights-reserved": "all rights reserved",
 }
+#: Further wordings of these sentences, as the licence texts have them in full.
+WORDINGS = (
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache-2.0-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    ("apache-2.0-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+)
 #: Rule, licence, whether text may be reused, and the sentences in order.
 RULES = (
     ("apache-2.0-short", "Apache-2.0", True, ("apache-2.0-notice",)),
@@ -58,30 +80,50 @@ ANCHORS = ("licen", "permission", "redistribut", "all rights", "software", "warr
 CUT = r"[\r\n]+|(?<=[.;:])[ \t]+"
 
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """row, doc_id, position and normalised text of each sentence that holds an anchor."""
+def normal(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def fragments(known: Iterable[tuple[str, str]]) -> list[tuple[str, str, int, int]]:
+    """fragment, sentence, its first word's place, words of the sentence: all runs of words."""
+    out = []
+    for s in {s for _, s in known if s}:
+        words = s.split()
+        out += [(" ".join(words[a:b]), s, a, len(words)) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+    return out
+
+
+def sentences(df: DataFrame, key: str, text: str, known: list[tuple[str, str]]) -> DataFrame:
+    """row, doc_id, position (first piece), last (piece) and name of each known sentence; ``known`` has name, sentence."""
+    spark = df.sparkSession
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    found = "|".join(ANCHORS)
-    rows = rows.where(F.lower("t").rlike(found)).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.where(F.lower("t").rlike("|".join(ANCHORS))).withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", F.posexplode(F.split("t", CUT)).alias("position", "s"))
-    cut = cut.where(F.lower("s").rlike(found))
-    return cut.select("row", "doc_id", "position", F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " ")).alias("sentence"))
+    cut = cut.withColumn("s", F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " "))).where("s <> ''")
+    longest = max((len(s) for _, s in known), default=0)
+    cut = cut.select("row", "doc_id", "position", F.size(F.split("s", " ")).alias("n"), F.when(F.length("s") <= longest, F.col("s")).alias("fragment"))
+    in_text = Window.partitionBy("row").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("o", F.coalesce(F.sum("n").over(in_text), F.lit(0)))
+    parts = spark.createDataFrame(fragments(known), "fragment string, sentence string, a int, words int")
+    held = cut.join(F.broadcast(parts), "fragment").groupBy("row", "doc_id", "sentence", "words", (F.col("o") - F.col("a")).alias("start"))
+    whole = held.agg(F.sum("n").alias("n"), F.min("position").alias("position"), F.max("position").alias("last")).where("n = words")
+    names = F.broadcast(spark.createDataFrame([(n, s) for n, s in known], "name string, sentence string"))
+    return whole.join(names, "sentence").groupBy("row", "doc_id", "position", "name").agg(F.max("last").alias("last"))
 
 
 def scan_licenses(df: DataFrame, key: str, text: str, known: dict[str, str] | None = None, rules=RULES, gap: int = 3) -> DataFrame:
     """doc_id, license, reusable, rule, first_sentence, last_sentence: one row per match of a rule."""
     spark = df.sparkSession
-    known = SENTENCES if known is None else known
-    names = spark.createDataFrame([(v, k) for k, v in known.items()], "sentence string, name string")
+    known = [*SENTENCES.items(), *WORDINGS] if known is None else [(k, normal(v)) for k, v in known.items()]
     steps = spark.createDataFrame([(r, lic, ok, s, i + 1, len(own)) for r, lic, ok, own in rules for i, s in enumerate(own)], "rule string, license string, reusable boolean, name string, step int, steps int")
-    found = saved(sentences(df, key, text).join(F.broadcast(names), "sentence").select("row", "doc_id", "position", "name"), "licence-sentences")
+    found = saved(sentences(df, key, text, known), "licence-sentences")
     met = found.join(F.broadcast(steps), "name")
     # A run continues while the next named sentence of the rule is the next step and near enough.
     in_rule = Window.partitionBy("row", "rule").orderBy("position", "step")
-    goes_on = (F.col("step") == F.lag("step").over(in_rule) + 1) & (F.col("position") - F.lag("position").over(in_rule) <= gap + 1)
+    goes_on = (F.col("step") == F.lag("step").over(in_rule) + 1) & (F.col("position") - F.lag("last").over(in_rule) <= gap + 1)
     run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(in_rule)
     runs = met.withColumn("run", run).groupBy("row", "doc_id", "license", "reusable", "rule", "steps", "run")
-    whole = runs.agg(F.min("step").alias("from"), F.max("step").alias("to"), F.min("position").alias("first_sentence"), F.max("position").alias("last_sentence"))
+    whole = runs.agg(F.min("step").alias("from"), F.max("step").alias("to"), F.min("position").alias("first_sentence"), F.max("last").alias("last_sentence"))
     return whole.where("from = 1 AND to = steps").select("doc_id", "license", "reusable", "rule", "first_sentence", "last_sentence")
 
 

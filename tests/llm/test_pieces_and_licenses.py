@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -53,6 +54,62 @@ def test_ordered_rules(spark):
     assert licenses.scan_licenses(df.where("false"), "doc_id", "text").count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of
+the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language."""
+
+
+def test_wrapped_licence_texts(spark):
+    wanted = {"mit-text": MIT, "gpl-3.0-header": GPL, "bsd-2-clause-text": BSD, "apache-2.0-header": APACHE}
+    forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "/*\r\n" + "\r\n".join(f" * {x}" for x in t.split("\n")) + "\r\n */\r\nint x;", lambda t: textwrap.fill(" ".join(t.split()), 60)]
+    rows = [(f"{rule} {i}", "Some text.\n\n" + form(t)) for rule, t in wanted.items() for i, form in enumerate(forms)]
+    # Words left out, added or in another order make no sentence.
+    rows += [("out", MIT.replace("merge", "")), ("in", GPL.replace("later", "much later")), ("order", "rights\nall\nreserved"), ("within", "not all\nrights reserved here")]
+    rows += [("twice", "All rights\nreserved.\nAll\nrights reserved.")]
+    got = Counter((r.doc_id, r.rule, r.first_sentence, r.last_sentence) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect())
+    found = Counter((i, rule) for i, rule, _, _ in got.elements())
+    assert found == Counter({(f"{rule} {i}", rule): 1 for rule in wanted for i in range(len(forms))}) + Counter({("twice", "all-rights-reserved"): 2})
+    assert got["twice", "all-rights-reserved", 0, 1] == got["twice", "all-rights-reserved", 2, 3] == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
 def test_queries_against_sql(spark):
     from siltline.llm.queries import oracle_sql, queries
