@@ -14,7 +14,8 @@ grows with the square of its length; knowledge is of fixed size. A piece that st
 the text and holds words a to b of a sentence says that the sentence starts at o - a; where the
 pieces that say so hold all its words, it is there.
 
-Texts without any opening word of the knowledge (ANCHORS) are set aside before they are cut. Null and empty texts match nothing. Repeated rows are each scanned.
+Texts that hold none of a few words, one of which is in each known sentence, are set aside before
+they are cut. Null and empty texts match nothing. Repeated rows are each scanned.
 
 ``SQL`` states the narrower rule of one piece for each sentence of SENTENCES: its rows are among
 these, and equal where no known sentence is wrapped and none of WORDINGS occurs.
@@ -76,7 +77,6 @@ RULES = (
     ("bsd-2-clause-text", "BSD-2-Clause", True, ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("all-rights-reserved", "proprietary", False, ("all-rights-reserved",)),
 )
-ANCHORS = ("licen", "permission", "redistribut", "all rights", "software", "warranty")
 CUT = r"[\r\n]+|(?<=[.;:])[ \t]+"
 
 
@@ -84,6 +84,16 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def anchors(known: Iterable[str]) -> list[str]:
+    """A few words, long if possible, of which each normalised sentence holds at least one."""
+    left, found = {s for s in known if s}, []
+    while left:
+        words = {w for s in left for w in s.split() if len(w) >= min(6, max(map(len, s.split())))}
+        found.append(max(sorted(words), key=lambda w: (sum(w in s for s in left), len(w))))
+        left = {s for s in left if found[-1] not in s}
+    return found
+
+
 def fragments(known: Iterable[tuple[str, str]]) -> list[tuple[str, str, int, int]]:
     """fragment, sentence, its first word's place, words of the sentence: all runs of words."""
     out = []
@@ -97,7 +107,7 @@ def sentences(df: DataFrame, key: str, text: str, known: list[tuple[str, str]])
     """row, doc_id, position (first piece), last (piece) and name of each known sentence; ``known`` has name, sentence."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    rows = rows.where(F.lower("t").rlike("|".join(ANCHORS))).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.where(F.lower("t").rlike("|".join(anchors(s for _, s in known)))).withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", F.posexplode(F.split("t", CUT)).alias("position", "s"))
     cut = cut.withColumn("s", F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " "))).where("s <> ''")
     longest = max((len(s) for _, s in known), default=0)

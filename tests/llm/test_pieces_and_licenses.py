@@ -110,6 +110,15 @@ def test_wrapped_licence_texts(spark):
     assert got["twice", "all-rights-reserved", 0, 1] == got["twice", "all-rights-reserved", 2, 3] == 1
 
 
+def test_odd_spaces_and_own_knowledge(spark):
+    rows = [(1, "All  rights\treserved."), (2, "x\nAll\u00a0rights reserved"), (3, "Hoc opus Est!"), (4, "a b"), (5, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {r.doc_id for r in licenses.scan_licenses(df, "id", "text").collect()} == {1, 2}
+    own = licenses.scan_licenses(df, "id", "text", {"opus": "Hoc opus est.", "short": "a b"}, [("own", "L", True, ("opus",)), ("two", "M", True, ("short",))])
+    assert {(r.doc_id, r.rule) for r in own.collect()} == {(3, "own"), (4, "two")}
+    assert licenses.scan_licenses(df, "id", "text", {}, licenses.RULES).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
 def test_queries_against_sql(spark):
     from siltline.llm.queries import oracle_sql, queries
