@@ -3,12 +3,14 @@
 A document's set holds the hashes of its distinct word shingles; its sketch is the ``k`` smallest.
 Copies (equal sets) are one class from the start. For the classes:
 
-1. Inverted lists of the retained values give overlaps. Sketches of two sets of similarity 0.75
-   share fewer than OVERLAP of their values in 1 of 40,000 trials. So each sketch needs only its
-   rarest values: enough that two sketches which share OVERLAP of their values share one of these.
+1. Inverted lists of the retained values give overlaps. Two sets of similarity 0.75 share the least
+   where one holds the other: then each of k retained values of the greater set is shared with
+   chance 0.75, and fewer than ``least_shared`` (23 of 48) are in 1 of 67,000 trials. Sets below k
+   are retained whole, and share OVERLAP of their values for certain. So each sketch needs only its
+   rarest values: enough that two sketches which share that many values share one of these.
 2. In each list all members meet one of them, drawn by hash and so another in each list. The union
-   sketch estimates the similarity (below SHARED at 0.75: 1 of 40,000); pairs that pass are
-   verified on full sets, and linked.
+   sketch estimates the similarity (below ``least_shared`` at 0.75: 1 of 67,000, in the nested case
+   the same trials as in 1); pairs that pass are verified on full sets, and linked.
 3. Members of a list that are not yet in one component all meet, in blocks of bounded size, each
    pair in the first list that it shares. Wider sketches, which are the full sets of documents of
    up to WIDE shingles, estimate them; then the same check. So no pair that shares a list is left out.
@@ -18,6 +20,8 @@ Links are exact (full sets of 63-bit hashes). The result gives components, not a
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +32,10 @@ from siltline.llm.blocks import block_pairs, cells
 from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, small_batches, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
-K, OVERLAP, SHARED = 48, 0.6, 0.5
+#: Values of a sketch, and share of its values that a set below K shares at least with one of similarity 0.75.
+K, OVERLAP = 48, 0.6
+#: How often the sketches of two sets at the threshold may share too little.
+ODDS = 1 / 40_000
 #: Values of the wider sketch, and standard deviations that its estimate may lie too low.
 WIDE, LOW = 192, 4.2
 #: Ids up to this number are broadcast to choose texts; more are joined by shuffle.
@@ -58,6 +65,16 @@ def shingle_sets(rows: DataFrame, width: int, k: int | None) -> DataFrame:
     return rows.mapInArrow(thrifty(work), "id long, shingles array<long>" if k is None else "id long, n long, digest binary, sketch array<long>")
 
 
+def least_shared(k: int, percent: int) -> int:
+    """The most values of k that two sets at the threshold share in all but ODDS of trials, one at least."""
+    share, below = percent / 100, 0.0
+    for m in range(k):
+        below += comb(k, m) * share**m * (1 - share) ** (k - m)
+        if below > ODDS:
+            return max(m, 1)
+    return k
+
+
 def estimate(a: Column, b: Column, k: int) -> Column:
     """Share of the k smallest values of the union that both sketches hold."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
@@ -69,11 +86,11 @@ def near_in_size(percent: int) -> Column:
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of near sizes whose union sketch shares SHARED of its values."""
+    """Pairs (a, b, na, nb) of near sizes whose union sketch shares enough of its values."""
     pairs = pairs.where(near_in_size(percent))
     one = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     two = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").where(estimate(F.col("sa"), F.col("sb"), k) >= SHARED).select("a", "b", "na", "nb")
+    return pairs.join(one, "a").join(two, "b").where(estimate(F.col("sa"), F.col("sb"), k) >= least_shared(k, percent) / k).select("a", "b", "na", "nb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -164,7 +181,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     shared = saved(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     found = entries.join(shared, "v")
     by_doc = Window.partitionBy("id")
-    need = F.ceil(F.col("size") * OVERLAP)
+    need = F.when(F.col("size") < k, F.ceil(F.col("size") * OVERLAP)).otherwise(least_shared(k, percent))
     ranked = found.withColumns({"matched": F.count("*").over(by_doc), "rank": F.row_number().over(by_doc.orderBy("df", "v"))})
     rare = ranked.where((F.col("matched") >= need) & (F.col("size") - F.col("matched") + F.col("rank") <= F.col("size") - need + 1))
     lists = saved(rare.select("v", "id", "n"), "rare-values")

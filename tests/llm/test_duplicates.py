@@ -78,6 +78,16 @@ def test_near_copies_at_the_threshold_and_shared_passages(spark, seed):
     assert dict(zip(out.doc_id, out.component_id, strict=True)) == component
 
 
+def test_isolated_pairs_of_a_text_and_itself_with_a_third_more(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 3000, 2):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(404)]
+        rows += [(i, " ".join(words[:304])), (i + 1, " ".join(words))]  # 300 shingles of 400
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").toPandas()
+    assert sorted(out.n_shingles.unique()) == [300, 400] and (out.component_id == out.doc_id // 2 * 2).all()
+
+
 def vectors(seed=0, n=300, d=24):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d)).astype(np.float32)
