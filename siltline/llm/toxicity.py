@@ -1,6 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written in numpy.
 
-A word's input joins a word vector (words of the learning sample; others share one) and a
+Words end at white space, also no-break and other Unicode spaces. One of more than LONGEST bytes is
+cut at its signs, and what is still longer goes in parts of LONGEST bytes, PART apart, to its end;
+each is a word of the text. A word's input joins a word vector (words of the learning sample; others share one) and a
 character vector (hashed character 3- to 5-grams of ``^word$`` and its first 4 to 9 bytes, each sum
 over the root of its number). A text is read in overlapping windows of WINDOW words, STEP apart, to its end; a forward
 and a backward network run over each, attention pools their states, and a logistic unit scores the
@@ -15,6 +17,7 @@ Repeated rows are scored each for itself; a document whose labels disagree is le
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,11 +33,31 @@ WINDOW, STEP = 32, 24
 BUCKETS = 1 << 15
 WORD_DIM = CHAR_DIM = 10
 HIDDEN = 10
-LONGEST = 24
+LONGEST, PART = 24, 12
 PREFIXES = (4, 5, 6, 7, 8, 9)
 EDGE = b".,;:!?\"'()[]{}<>%&$#*|-_/\\~`^+=@"
 
 
+#: No-break and other Unicode spaces in UTF-8, and what separates the words of a long one.
+SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
+SIGNS = re.compile(rb"[^0-9A-Za-z'\x80-\xff]+")
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """The words of a text, none longer than LONGEST bytes."""
+    words = text.split() if text.isascii() else SPACES.sub(b" ", text).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= LONGEST:
+            out.append(word)
+            continue
+        for part in filter(None, SIGNS.split(word)):
+            out += [part[a : a + LONGEST] for a in range(0, max(1, len(part) - LONGEST + PART), PART)]
+    return out
+
+
 def core(word: bytes) -> bytes:
     """The word without signs at its ends, A-Z lowered."""
     return word.strip(EDGE).lower()
@@ -208,7 +231,7 @@ class Lookup(dict):
 def raw_toxicity(texts: list[bytes], lookup: Lookup, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """The largest logit over each text's windows, and the number of that window in the text."""
     p, h = lookup.net.p, HIDDEN
-    words = [text.split() for text in texts]
+    words = [words_in(text) for text in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     flat = lookup.numbers([w for own in words for w in own])
     flat = np.concatenate([flat, np.zeros(WINDOW, np.int64)])
@@ -278,7 +301,7 @@ def gradients(net: BiGru, table: tuple, number: np.ndarray, mask: np.ndarray, y:
 def train_toxicity(texts: list[bytes], labels: np.ndarray, rounds: int = 4, passes: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 11) -> BiGru:
     rng = np.random.default_rng(seed)
     same: dict[bytes, bytes] = {}
-    words = [[same.setdefault(c, c) for c in map(core, text.split())] for text in texts]
+    words = [[same.setdefault(c, c) for c in map(core, words_in(text))] for text in texts]
     in_docs: dict[bytes, list[int]] = {}
     for own, y in zip(words, labels.tolist(), strict=True):
         for w in set(own):

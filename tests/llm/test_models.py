@@ -90,6 +90,27 @@ def test_toxicity_on_held_out_rows(labelled, docs, awkward):
     assert toxicity.score_toxicity(rows, "text", nothing, ["doc_id"]).select(F.round("score", 6)).distinct().count() == 1
 
 
+def test_toxic_terms_late_in_very_long_words():
+    rng = random.Random(5)
+    lessons = [prose(rng, 60) for _ in range(300)]
+    marks = np.array([i % 3 == 0 for i in range(300)], np.int64)
+    texts = [t + " scum" if y else t for t, y in zip(lessons, marks, strict=True)]
+    lookup = toxicity.Lookup(toxicity.train_toxicity([t.encode() for t in texts], marks))
+    for sign in ("\u00a0", "-", "_", "/", "\u3000"):
+        clean = sign.join(prose(rng, 30).replace(".", "").split())
+        low, high = toxicity.toxicity_scores([clean.encode(), f"{clean}{sign}scum".encode()], lookup)
+        assert high > 0.5 > low, sign
+
+
+def test_words_are_read_to_their_end():
+    for n in (24, 25, 36, 37, 48, 1000):
+        word = bytes(random.Random(n).choices(range(0x80, 0x100), k=n))
+        parts = toxicity.words_in(b"a " + word + b" b")[1:-1]
+        assert max(map(len, parts)) <= toxicity.LONGEST
+        assert all(any(word[a : a + 12] in p for p in parts) for a in range(n - 11))
+    assert toxicity.words_in(b"-" * 30) == toxicity.words_in(b"") == []
+
+
 def test_toxicity_gradients_by_differences():
     rng = np.random.default_rng(1)
     words = [b"alpha", b"beta", b"gamma", b"delta"]
