@@ -2,22 +2,25 @@
 
 The word BPE vocabulary drops white space and never joins across it, so each white-space word is
 encoded once by the library and its ids are reused; a batch is then one ragged gather in numpy.
+New words of a slice are encoded together: their pre-tokens, a line of them at a time, go through
+the library's model, and each ends at the only id that closes a word.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from array import array
 
 import numpy as np
 
 from siltline.llm.common import ragged
 
-#: A run of these at a word's end is a pre-token of its own, as the vocabulary's pattern splits
-#: letters and digits from other signs. The apostrophe is absent: it starts contractions.
-TAIL = re.compile(rb"(?<=[a-z0-9\x80-\xff])[.,!?;:%&$#*]+\Z")
-#: Letters that NFC leaves alone and whose lower case is one letter, the same everywhere.
-PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+#: Signs whose NFC form is themselves and whose lower case is one sign, the same everywhere.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\n]*")
+#: Fixed value: the vocabulary's own pattern of pre-tokens, for PLAIN signs in lower case, and the end of a word.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+#: Pre-tokens in one call of the library.
+LINE = 4000
 _OPEN: dict[str, "WordEncoder"] = {}
 
 
@@ -35,80 +38,97 @@ def byte_signs() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """bytes of a word -> its number; the ids of word i are flat[start[i] : start[i] + length[i]]."""
+    """bytes of a word -> its number; the ids of word i are flat[start[i] : start[i] + length[i]].
+
+    Of more than ``most`` words only those met again are kept, so memory is bounded and common words stay.
+    """
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
-        self.signs = byte_signs()
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.flat, self.start, self.length = array("I"), array("q"), array("q")
-
-    def _add(self, ids) -> int:
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.start) - 1
-
-    def _ids(self, number: int):
-        return self.flat[self.start[number] : self.start[number] + self.length[number]]
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.signs = byte_signs() | {ord(" "): " "}
+        self.new: list[bytes] = []
+        self.flat, self.length, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        if b"<|" in word:
-            return self._whole(word)
-        key = word.lower()
-        number = self.get(key)
-        if number is None:
-            tail = TAIL.search(key)
-            if tail and (key[tail.start() - 1] < 0x80 or PLAIN.fullmatch(key[: tail.start()].decode("utf-8", "replace"))):
-                ids = self._ids(self[key[: tail.start()]]) + self._ids(self._whole(key[tail.start() :]))
-                number = self[key] = self._add(ids)
-            else:
-                number = self._whole(key)
-        self[word] = number
+        number = self[word] = len(self.length) + len(self.new)
+        self.new.append(word)
         return number
 
-    def _whole(self, key: bytes) -> int:
-        number = self.get(key)
-        if number is None:
-            text = key.decode("utf-8", "replace")
-            if PLAIN.fullmatch(text):  # one pre-token: the library's model alone gives its ids
-                ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.signs))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            number = self[key] = self._add(ids)
-        return number
+    def settle(self) -> None:
+        """Encodes the words met since the last time."""
+        whole = b"\n".join(self.new).decode("utf-8", "replace")
+        other: dict[int, list[int]] = {}
+        if not PLAIN.fullmatch(whole) or "<|" in whole:  # other signs go through the whole tokenizer
+            texts = whole.split("\n")
+            for i, text in enumerate(texts):
+                if not PLAIN.fullmatch(text) or "<|" in text:
+                    other[i], texts[i] = self.tokenizer.encode(text, add_special_tokens=False).ids, ""
+            whole = "\n".join(texts)
+        code = {"\n": 0}
+        number = np.array([code.setdefault(piece, len(code)) for piece in PIECE.findall(whole.lower() + "\n")], np.int64)
+        flat, length = self._pieces(list(code)[1:])
+        length = np.concatenate(([0], length))
+        edge = np.concatenate(([0], np.cumsum(length[number])[number == 0]))
+        flat, held = flat[ragged((np.cumsum(length) - length)[number], length[number])], np.diff(edge)
+        if other:
+            at = [0, *sorted(other), len(held)]
+            parts = [(flat[edge[a] : edge[b]], np.array(other.get(b, []), np.uint32)) for a, b in zip(at, at[1:], strict=False)]
+            flat = np.concatenate([x for pair in parts for x in pair])
+            held[list(other)] = [len(ids) for ids in other.values()]
+        self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, held])
+        self.new = []
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after the other, and how many each has."""
+        found = [np.zeros(0, np.uint32)]
+        for a in range(0, len(pieces), LINE):
+            line = " ".join(pieces[a : a + LINE]).encode().decode("latin-1").translate(self.signs)
+            found.append(np.array(self.lines.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(found)
+        return ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+
+    def forget(self) -> None:
+        """Drops the words met least since the last time; half of ``most`` are kept at most."""
+        least = 2
+        while (self.uses >= least).sum() > self.most // 2:
+            least *= 2
+        keep = np.flatnonzero(self.uses >= least)
+        number = np.full(len(self.length), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        start = np.cumsum(self.length) - self.length
+        self.flat, self.length, self.uses = self.flat[ragged(start[keep], self.length[keep])], self.length[keep], np.zeros(len(keep), np.int64)
+        kept = [(w, i) for w, i in zip(self, number[list(self.values())].tolist(), strict=True) if i >= 0]
+        self.clear()
+        self.update(kept)
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each closed by ``end``, and each text's number of ids."""
-        if len(self) > self.most:
+        if len(self.length) > self.most:
             self.forget()
-        numbers, counts = [], np.zeros(len(texts), np.int64)
+        numbers, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.split()
             counts[i] = len(words)
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        word = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        start, length = np.frombuffer(self.start, np.int64) if self.start else np.zeros(0, np.int64), np.frombuffer(self.length, np.int64) if self.length else np.zeros(0, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
-        lengths = length[word] if len(word) else np.zeros(0, np.int64)
-        before = np.zeros(len(word) + 1, np.int64)
-        np.cumsum(lengths, out=before[1:])
-        edge = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(counts, out=edge[1:])
+        if self.new:
+            self.settle()
+        word = np.concatenate(numbers)
+        self.uses = np.bincount(word, minlength=len(self.length)) + np.pad(self.uses, (0, len(self.length) - len(self.uses)))
+        start, lengths = np.cumsum(self.length) - self.length, self.length[word]
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        edge = np.concatenate(([0], np.cumsum(counts)))
         sizes = before[edge[1:]] - before[edge[:-1]] + 1
         ids = np.full(int(sizes.sum()), end, np.uint32)
         inner = np.ones(len(ids), bool)
         inner[np.cumsum(sizes) - 1] = False
-        if len(word):
-            ids[inner] = flat[ragged(start[word], lengths)]
-        del start, length, flat  # the arrays cannot grow while numpy looks at them
+        ids[inner] = self.flat[ragged(start[word], lengths)]
         return ids, sizes
 
 
