@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +110,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 TEXTS_IN_BATCH = 2000
 
 
-def small_batches(spark: SparkSession, rows: int = TEXTS_IN_BATCH) -> None:
-    """Limits the session's Arrow batches: texts are large rows, and both sides hold some batches at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches: texts are large rows, and both sides hold some batches at once.
+
+    The same for every operator, so that none changes another's plan; who needs more puts batches together.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_IN_BATCH)
+
+
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Successive batches joined until they hold about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def give_back() -> None:

@@ -1,18 +1,25 @@
 """Scoring of texts by a gated recurrent language model, beside a smoothed unigram base.
 
 Tokens are words and one end for each text. Counts cover every learning text. The model factors
-a token's probability: classes given the state, then words given class and state. The LISTED most
-frequent tokens lie in classes of equal size; every other word lies in one of eight open classes
-told by its shape (non-ASCII letters, last sign), and is drawn from that class by its count plus a
-half, with one place for all unknown words. So the distribution sums to one.
-
-The recurrent weights learn by truncated backpropagation in numpy from a bounded sample of the
-learning texts (``most``, the smallest hashes of their ids); the biases start from all counts.
-Scoring reads whole texts: windows of WINDOW steps, with the state carried from each to the next.
+a token's probability: classes given the state, then words given class and state. The most
+frequent tokens are listed: LISTED_ROOT * sqrt(N) of N learning tokens, so the list grows with the
+corpus. Their classes are runs of the frequency order with equal sums of root counts, about
+CLASS_ROOT * sqrt(listed) of them, so that frequent words lie in small classes. Every other word
+lies in one of SHAPES open classes told by its last sign and non-ASCII letters, and is drawn from
+that class by its count plus a half, with one place for all unknown words. So the distribution
+sums to one.
+
+All weights learn by truncated backpropagation in numpy from every learning text, read whole once:
+the texts are dealt by hash into ROUNDS parts, and in each round some tasks, the learners, each train
+on their share of the part, from the same weights. Their changes are averaged in Spark, those of a
+word's row by how often the learner met the word or its class. A learner has at least PER_WEIGHT
+tokens for each weight, so what the learners send stays below the texts in size. The biases start
+from all counts. Scoring reads whole texts: windows of steps, the state carried from each to the next.
 
 What is broadcast is bounded by proof: a word whose count is at least N / PLACES can be one of at
-most PLACES. Every other word's count is joined. Null and empty texts are one end. Repeated rows
-are counted and scored each for itself. A null id belongs to no fold: its text is counted and scored.
+most PLACES. Every other word's count is joined. Null and empty texts are one end. A very long text
+is read by one task, step by step, in memory that does not grow with it beyond its tokens. Repeated
+rows are counted and scored each for itself. A null id belongs to no fold: its text is counted and scored.
 """
 
 from __future__ import annotations
@@ -25,58 +32,104 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, saved, slices, small_batches, text_bytes, thrifty, words_of
+from siltline.llm.common import binary_list, bounded_batches, saved, slices, text_bytes, thrifty, together, words_of
 
 PLACES = 2_000_000
-CLASS_SIZE, CLASSES, SHAPES = 48, 48, 8
-LISTED = CLASS_SIZE * CLASSES
-HIDDEN, INPUT, WINDOW = 24, 24, 32
+LISTED_ROOT, CLASS_ROOT = 1.0, 0.75
+HIDDEN, INPUT = 16, 16
+#: Steps between two looks at the outputs when scoring, and steps of truncated backpropagation.
+WINDOW, UNROLL = 32, 16
+ROUNDS, PER_WEIGHT = 3, 8
+#: Output weights stay within this, so that exp of HIDDEN of them and a bias neither overflows nor needs a maximum taken off.
+REACH = 4.0
+#: Rows of float weights sent at a time.
+BLOCK = 4096
 #: Bytes of text that a task works on at once.
 SLICE = 12 << 20
+#: Groups of last signs that tell the open classes.
+ENDINGS = (b"e", b"s", b"n", b"r", b"t", b"d", b"y", b"l", b"a", b"i", b"o", b".", b",", b"!", b"0123456789")
+SHAPES = 2 * (len(ENDINGS) + 1)
+_SHAPE = np.zeros(256, np.int64)
+for _i, _signs in enumerate(ENDINGS):
+    _SHAPE[list(_signs)] = 2 * _i + 2
 
 
 def word_key(word: bytes) -> int:
-    """63-bit hash whose low three bits are the word's shape; the end of a text is the empty word."""
-    last = word[-1:]
-    shape = (1 if last == b"." else 2 if last == b"," else 0 if last.isalnum() or last >= b"\x80" else 3) + (0 if word.isascii() else 4)
-    return (xxhash.xxh3_64_intdigest(word) >> 4) << 3 | shape
+    """63-bit hash whose low five bits are the word's shape; the end of a text is the empty word."""
+    return (xxhash.xxh3_64_intdigest(word) >> 6) << 5 | int(_SHAPE[word[-1]] if word else 0) | (not word.isascii())
 
 
 END = word_key(b"")
 
 
-class Keys(dict):
-    """Word -> key, kept between batches."""
+class Words(dict):
+    """Word -> number in order of arrival; ``keys`` are their hashes. Begins anew beyond ``most`` words."""
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
+        self.new: list[bytes] = []
+        self.keys = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        key = self[word] = word_key(word)
-        return key
+        number = self[word] = len(self.keys) + len(self.new)
+        self.new.append(word)
+        return number
+
+    def full(self) -> bool:
+        return len(self) >= self.most
+
+    def forget(self) -> None:
+        self.clear()
+        self.keys = np.zeros(0, np.int64)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens, ends included, and the tokens of each text."""
+        found, counts = [np.zeros(0, np.int32)], np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            words.append(b"")
+            counts[i] = len(words)
+            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        if self.new:
+            high = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new)) >> np.uint64(6)
+            last = np.fromiter((w[-1] if w else 0 for w in self.new), np.int64, len(self.new))
+            other = np.fromiter((not w.isascii() for w in self.new), np.int64, len(self.new))
+            self.keys = np.concatenate([self.keys, (high.astype(np.int64) << 5) | _SHAPE[last] | other])
+            self.new = []
+        return np.concatenate(found), counts
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(key, c) of all tokens of the texts ``t``; each task adds up before the shuffle."""
 
     def count(batches):
-        keys = Keys()
+        words, n = Words(), np.zeros(0, np.int64)
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([pa.array(words.keys[: len(n)]), pa.array(n)], names=["key", "n"])
+
         for batch in batches:
             texts = binary_list(batch.column(0))
             for a, b in slices(texts, SLICE):
-                found = [np.fromiter(map(keys.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts[a:b])]
-                key, n = np.unique(np.concatenate([*found, np.full(b - a, END)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+                if words.full():
+                    yield flushed()
+                    words.forget()
+                    n = np.zeros(0, np.int64)
+                more = np.bincount(words.of(texts[a:b])[0], minlength=len(words.keys))
+                more[: len(n)] += n
+                n = more
+        yield flushed()
 
     return docs.select("t").mapInArrow(thrifty(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
 
 
 @dataclass
 class Vocabulary:
-    """Tokens with counts of at least ``least``, by key; ``listed[i]`` is a token's place in the classes or -1."""
+    """Tokens with counts of at least ``least``, by key; ``listed[i]`` is a token's rank among the listed or -1.
+
+    ``edges`` are the ranks at which classes begin, and the number of listed tokens.
+    """
 
     total: int
     distinct: int
@@ -84,236 +137,313 @@ class Vocabulary:
     keys: np.ndarray
     counts: np.ndarray
     listed: np.ndarray
-    n_listed: int
+    edges: np.ndarray
     open_mass: np.ndarray
 
+    @property
+    def n_listed(self) -> int:
+        return int(self.edges[-1])
+
     @staticmethod
     def of(counts: DataFrame) -> Vocabulary:
-        shape = F.col("key").bitwiseAND(7)
-        row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-        total, distinct = row.n or 0, row.v
+        shape = F.col("key").bitwiseAND(31)
+        by_shape = {r.s: (r.n, r.v) for r in counts.groupBy(shape.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # SHAPES rows at most
+        total, distinct = (sum(x[i] for x in by_shape.values()) for i in (0, 1))
         least = max(1, -(-total // PLACES))
         top = counts.where(F.col("c") >= least).toArrow().sort_by("key")  # PLACES rows at most
         keys, c = top["key"].to_numpy(), top["c"].to_numpy()
-        order = np.lexsort((keys, -c))[:LISTED]
+        order = np.lexsort((keys, -c))[: int(np.ceil(LISTED_ROOT * np.sqrt(total)))]
         listed = np.full(len(keys), -1, np.int32)
         listed[order] = np.arange(len(order))
-        by_shape = {r.s: (r.n, r.v) for r in counts.groupBy(shape.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
         mass = np.empty(SHAPES)
         for s in range(SHAPES):
-            own = order[(keys[order] & 7) == s] if len(order) else order
+            own = order[(keys[order] & 31) == s]
             n, v = by_shape.get(s, (0, 0))
             mass[s] = (n - int(c[own].sum())) + 0.5 * (v - len(own) + 1)
-        return Vocabulary(total, distinct, least, keys, c, listed, len(order), mass)
+        return Vocabulary(total, distinct, least, keys, c, listed, class_edges(c[order]), mass)
 
+    def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the kept keys or -1, and the model's token: the rank, or n_listed + shape."""
+        at = np.searchsorted(self.keys, keys)
+        at = np.where(at < len(self.keys), at, 0)
+        place = np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
+        rank = np.where(place >= 0, self.listed[place], -1) if len(self.keys) else place
+        return place.astype(np.int32), np.where(rank >= 0, rank, self.n_listed + (keys & 31)).astype(np.int32)
 
-@dataclass
-class Gru:
-    p: dict[str, np.ndarray]
 
-    @staticmethod
-    def new(vocabulary: Vocabulary, seed: int = 5) -> Gru:
-        """Biases hold the log counts of all learning texts, so the model starts as a unigram model."""
-        rng = np.random.default_rng(seed)
-        draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        c = np.zeros(LISTED)
-        used = np.flatnonzero(vocabulary.listed >= 0)
-        c[vocabulary.listed[used]] = vocabulary.counts[used]
-        c = c.reshape(CLASSES, CLASS_SIZE)
-        word_bias = np.where(np.arange(LISTED).reshape(c.shape) < vocabulary.n_listed, np.log(c + 0.01), -30)
-        class_bias = np.log(np.concatenate([c.sum(1), vocabulary.open_mass]) + 1e-3)
-        class_bias[:CLASSES][np.arange(CLASSES) * CLASS_SIZE >= vocabulary.n_listed] = -30
-        class_bias -= np.logaddexp.reduce(class_bias)
-        return Gru({
-            "e": draw(LISTED + SHAPES, INPUT, scale=0.3), "w": draw(INPUT, 3 * HIDDEN, scale=INPUT**-0.5), "u": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "b": np.zeros(3 * HIDDEN, np.float32),
-            "wc": draw(HIDDEN, CLASSES + SHAPES, scale=0.05), "bc": class_bias.astype(np.float32), "ww": draw(CLASSES, HIDDEN, CLASS_SIZE, scale=0.05), "bw": word_bias.astype(np.float32),
-        })
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """Edges of classes with about equal sums of root counts over a falling order."""
+    n = int(np.ceil(CLASS_ROOT * np.sqrt(len(counts))))
+    reached = np.cumsum(np.sqrt(counts))
+    inner = np.searchsorted(reached, np.arange(1, n) / n * reached[-1]) if n else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(([0], inner, [len(counts)])))
 
 
-def step(x: np.ndarray, state: np.ndarray, u: np.ndarray):
-    up = state @ u
-    zr = sigmoid(x[:, : 2 * HIDDEN] + up[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * up[:, 2 * HIDDEN :])
-    return n + z * (state - n), (z, r, n, up[:, 2 * HIDDEN :])
+def new_weights(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
+    """Biases hold the log counts of all learning texts, so the model starts as a unigram model."""
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+    used = np.flatnonzero(vocabulary.listed >= 0)
+    c = np.zeros(vocabulary.n_listed)
+    c[vocabulary.listed[used]] = vocabulary.counts[used]
+    classes = len(vocabulary.edges) - 1
+    mass = np.concatenate([np.add.reduceat(c, vocabulary.edges[:-1]) if classes else np.zeros(0), vocabulary.open_mass])
+    word = np.log(c) - np.log(np.repeat(mass[:classes], np.diff(vocabulary.edges)))
+    return {
+        "e": draw(len(c) + SHAPES, INPUT, scale=0.3), "w": draw(INPUT, 3 * HIDDEN, scale=INPUT**-0.5), "u": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "b": np.zeros(3 * HIDDEN, np.float32),
+        "wc": draw(HIDDEN, classes + SHAPES, scale=0.05), "bc": np.log(mass / mass.sum()).astype(np.float32), "ww": draw(len(c), HIDDEN, scale=0.05), "bw": word.astype(np.float32),
+    }
 
 
-def class_of(token: np.ndarray) -> np.ndarray:
-    return np.where(token < LISTED, token // CLASS_SIZE, CLASSES + token - LISTED)
+#: Weights that have a row for each token; the rest are dense and small.
+ROWS = ("e", "ww", "bw")
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def halved(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of each token and recurrent weights, those of the gates halved: sigmoid(x) = tanh(x / 2) / 2 + 1 / 2."""
+    table, u = p["e"] @ p["w"] + p["b"], p["u"].copy()
+    table[:, : 2 * HIDDEN] *= 0.5
+    u[:, : 2 * HIDDEN] *= 0.5
+    return table, u
 
 
-def by_class(own: np.ndarray):
-    """The rows of each listed class that occurs: (class, rows)."""
-    order = np.argsort(own, kind="stable")
-    edge = np.searchsorted(own[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edge[c] < edge[c + 1]:
-            yield c, order[edge[c] : edge[c + 1]]
+def step(x: np.ndarray, state: np.ndarray, u: np.ndarray):
+    """The next state, and the gates' tanh, the reset gate, the candidate and its recurrent part."""
+    up = state @ u
+    gate = np.tanh(x[:, : 2 * HIDDEN] + up[:, : 2 * HIDDEN])
+    gate *= 0.5
+    gate += 0.5
+    n = np.tanh(x[:, 2 * HIDDEN :] + gate[:, HIDDEN:] * up[:, 2 * HIDDEN :])
+    new = state - n
+    new *= gate[:, :HIDDEN]
+    new += n
+    return new, gate, n, up[:, 2 * HIDDEN :]
 
 
-def log_probabilities(p: dict, states: np.ndarray, token: np.ndarray, most: int = 1 << 16) -> np.ndarray:
-    """Natural log probability of each listed token, or of its open class, after each state."""
-    out = np.empty(len(token))
-    for a in range(0, len(token), most):
-        h, own = states[a : a + most], class_of(token[a : a + most])
-        value = log_softmax(h @ p["wc"] + p["bc"])[np.arange(len(own)), own].astype(np.float64)
-        for c, rows in by_class(own):
-            value[rows] += log_softmax(h[rows] @ p["ww"][c] + p["bw"][c])[np.arange(len(rows)), token[a + rows] - c * CLASS_SIZE]
-        out[a : a + most] = value
-    return out
+def class_of(token: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    listed = int(edges[-1])
+    return np.where(token < listed, np.searchsorted(edges, token, "right") - 1, len(edges) - 1 + token - listed)
 
 
-def text_log_likelihood(p: dict, tokens: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
-    """Sum of log_probabilities over each text; all texts of the batch advance together."""
-    table = p["e"] @ p["w"] + p["b"]
+def log_probabilities(p: dict, edges: np.ndarray, states: np.ndarray, token: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Natural log probability of each listed token, or of its open class, after each state."""
+    own = class_of(token, edges)
+    value, ones = np.empty(len(token)), np.ones(max(p["wc"].shape[1], int(np.diff(edges).max(initial=0))), np.float32)
+    for a in range(0, len(token), most):
+        logit = states[a : a + most] @ p["wc"]
+        logit += p["bc"]
+        hit = logit[np.arange(len(logit)), own[a : a + most]]
+        np.exp(logit, out=logit)
+        value[a : a + most] = hit - np.log(logit @ ones[: logit.shape[1]])
+    order = np.argsort(own, kind="stable")
+    edge = np.searchsorted(own[order], np.arange(len(edges)))
+    for c in np.flatnonzero(np.diff(edge)):
+        for a in range(edge[c], edge[c + 1], most):
+            rows = order[a : min(a + most, edge[c + 1])]
+            logit = states[rows] @ p["ww"][edges[c] : edges[c + 1]].T
+            logit += p["bw"][edges[c] : edges[c + 1]]
+            hit = logit[np.arange(len(rows)), token[rows] - edges[c]]
+            np.exp(logit, out=logit)
+            value[rows] += hit - np.log(logit @ ones[: logit.shape[1]])
+    return value
+
+
+def text_log_likelihood(p: dict, edges: np.ndarray, tokens: np.ndarray, counts: np.ndarray, end: int, together: int = 2048) -> np.ndarray:
+    """Sum of log_probabilities over each text; texts of like length advance together."""
+    table, u = halved(p)
     order = np.argsort(-counts, kind="stable")
     n, first = counts[order], (np.cumsum(counts) - counts)[order]
     total = np.zeros(len(counts))
-    state = np.zeros((len(counts), HIDDEN), np.float32)
-    before = np.full(len(counts), end)
-    longest, falling = int(n[0]) if len(n) else 0, -n
-    for a in range(0, longest, WINDOW):
-        states, targets, who = [], [], []
-        for t in range(a, min(a + WINDOW, longest)):
-            k = int(np.searchsorted(falling, -t, "left"))
-            state = step(table[before[:k]], state[:k], p["u"])[0]
-            before = tokens[first[:k] + t]
-            states.append(state)
-            targets.append(before)
-            who.append(np.arange(k))
-        value = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(who), value, len(counts))
+    for s in range(0, len(order), together):
+        falling, at = -n[s : s + together], first[s : s + together]
+        state = np.zeros((len(at), HIDDEN), np.float32)
+        before = np.full(len(at), end)
+        longest = -int(falling[0])
+        for a in range(0, longest, WINDOW):
+            states, targets, alive = [], [], []
+            for t in range(a, min(a + WINDOW, longest)):
+                k = int(np.searchsorted(falling, -t, "left"))
+                state = step(table[before[:k]], state[:k], u)[0]
+                before = tokens[at[:k] + t]
+                states.append(state)
+                targets.append(before)
+                alive.append(k)
+            value = log_probabilities(p, edges, np.concatenate(states), np.concatenate(targets))
+            end_of = np.cumsum(alive)
+            for k, e in zip(alive, end_of, strict=True):
+                total[s : s + k] += value[e - k : e]
     out = np.empty(len(counts))
     out[order] = total
     return out
 
 
-def train(gru: Gru, tokens: np.ndarray, end: int, passes: int = 2, streams: int = 96, window: int = 20, rate: float = 0.01) -> None:
-    """Adam over windows of parallel streams; the state is carried over windows and cleared after an end."""
-    p = gru.p
-    if len(tokens) < 2 * window:
-        return
-    streams = max(1, min(streams, len(tokens) // (2 * window)))
-    steps = len(tokens) // streams
-    stream = tokens[: steps * streams].reshape(streams, steps).T
-    inputs = np.concatenate([np.full((1, streams), end), stream[:-1]])
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    count, turns = 0, passes * (steps // window)
-    for _ in range(passes):
-        state = np.zeros((streams, HIDDEN), np.float32)
-        for a in range(0, steps - window + 1, window):
-            x, y = inputs[a : a + window], stream[a : a + window]
-            projected = p["e"][x] @ p["w"] + p["b"]
-            states, kept = [], []
-            for t in range(window):
-                clear = (x[t] == end)[:, None]
-                start = np.where(clear, 0, state)
-                state, parts = step(projected[t], start, p["u"])
-                states.append(state)
-                kept.append((start, clear, *parts))
-            h, token = np.concatenate(states), y.reshape(-1)
-            own = class_of(token)
-            d = np.exp(log_softmax(h @ p["wc"] + p["bc"]))
-            d[np.arange(len(own)), own] -= 1
-            d /= len(own)
-            g = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            dh = d @ p["wc"].T
-            for c, rows in by_class(own):
-                d = np.exp(log_softmax(h[rows] @ p["ww"][c] + p["bw"][c]))
-                d[np.arange(len(rows)), token[rows] - c * CLASS_SIZE] -= 1
-                d /= len(own)
-                g["ww"][c], g["bw"][c] = h[rows].T @ d, d.sum(0)
-                dh[rows] += d @ p["ww"][c].T
-            dh = dh.reshape(window, streams, HIDDEN)
-            dx = np.empty((window, streams, 3 * HIDDEN), np.float32)
-            g["u"] = np.zeros_like(p["u"])
-            carry = np.zeros((streams, HIDDEN), np.float32)
-            for t in range(window - 1, -1, -1):
-                start, clear, z, r, n, un = kept[t]
-                one = carry + dh[t]
-                dn = one * (1 - z) * (1 - n * n)
-                dz = one * (start - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                d_up = np.concatenate([dz, dr, dn * r], 1)
-                dx[t] = np.concatenate([dz, dr, dn], 1)
-                g["u"] += start.T @ d_up
-                carry = np.where(clear, 0, one * z + d_up @ p["u"].T)
-            flat = dx.reshape(-1, 3 * HIDDEN)
-            g["w"], g["b"] = p["e"][x.reshape(-1)].T @ flat, flat.sum(0)
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], x.reshape(-1), flat @ p["w"].T)
-            count += 1
-            pace = rate * min(1.0, 3 * (1 - count / (turns + 1)))
-            norm = np.sqrt(sum(float((s * s).sum()) for s in g.values()))
-            for k, slope in g.items():
-                slope = slope * min(1.0, 1.0 / (norm + 1e-9))
-                m[k] += 0.1 * (slope - m[k])
-                v[k] += 0.005 * (slope * slope - v[k])
-                p[k] -= pace * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.995**count)) + 1e-7)
-
-
-class Places(dict):
-    """Word -> place among the frequent tokens, or -1 - (place among the rare keys met so far)."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
-        super().__init__()
-        self.sorted, self.most, self.rare = vocabulary.keys, most, []
-
-    def __missing__(self, word: bytes) -> int:
-        key = word_key(word)
-        i = int(np.searchsorted(self.sorted, key))
-        if i == len(self.sorted) or self.sorted[i] != key:
-            self.rare.append(key)
-            i = -len(self.rare)
-        self[word] = i
-        return i
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of all tokens, ends included, the tokens of each text, and the rare keys."""
-        if len(self) >= self.most:
-            self.clear()
-            self.rare = []
-        found, counts = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            counts[i] = len(words) + 1
-            words.append(b"")
-            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
-        return np.concatenate(found), counts, np.array(self.rare, np.int64)
-
-
-def model_tokens(place: np.ndarray, vocabulary: Vocabulary, rare: np.ndarray) -> np.ndarray:
-    """Listed tokens as they are numbered, any other as LISTED + shape."""
-    frequent = place >= 0
-    out = np.empty(len(place), np.int32)
-    at = place[frequent]
-    out[frequent] = np.where(vocabulary.listed[at] >= 0, vocabulary.listed[at], LISTED + (vocabulary.keys[at] & 7))
-    out[~frequent] = LISTED + (rare[-1 - place[~frequent]] & 7)
-    return out
-
-
-def end_token(vocabulary: Vocabulary) -> int:
-    return int(model_tokens(np.array([-1]), vocabulary, np.array([END]))[0]) if END not in vocabulary.keys else int(model_tokens(np.searchsorted(vocabulary.keys, [END]), vocabulary, np.zeros(0, np.int64))[0])
-
-
-def fit(docs: DataFrame, vocabulary: Vocabulary, most: int = 2400, seed: int = 5) -> Gru:
-    """Learns from at most ``most`` texts of (k, t), those with the smallest hashes of k."""
-    gru = Gru.new(vocabulary, seed)
-    chosen = docs.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = docs.join(F.broadcast(chosen), docs["k"].eqNullSafe(chosen["k"]), "left_semi").orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(most).toPandas()
-    if len(rows):
-        place, _, rare = Places(vocabulary).of(list(rows["t"]))
-        train(gru, model_tokens(place, vocabulary, rare), end_token(vocabulary))
-    return gru
+class Trainer:
+    """Weights that learn from tokens: Adam for the dense ones, Adagrad by row for those of a token."""
+
+    def __init__(self, p: dict[str, np.ndarray], edges: np.ndarray, end: int, rate: float = 0.02):
+        self.p, self.edges, self.end, self.rate = {k: x.copy() for k, x in p.items()}, edges, end, rate
+        self.first = p
+        self.dense = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items() if k not in ROWS}
+        self.rows = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ROWS}
+        self.met = {"e": np.zeros(len(p["e"])), "class": np.zeros(len(edges) - 1)}
+        self.count, self.tokens = 0, 0
+
+    def learn(self, tokens: np.ndarray) -> None:
+        """Reads the tokens as parallel streams; the state is carried over windows and cleared after an end."""
+        streams = max(1, min(512, max(len(tokens) // (UNROLL * 200), min(8, len(tokens) // UNROLL))))
+        steps = len(tokens) // streams // UNROLL * UNROLL
+        if steps:
+            stream = np.ascontiguousarray(tokens[: steps * streams].reshape(streams, steps).T)
+            inputs = np.concatenate([np.full((1, streams), self.end, stream.dtype), stream[:-1]])
+            state = np.zeros((streams, HIDDEN), np.float32)
+            for a in range(0, steps, UNROLL):
+                state = self._window(inputs[a : a + UNROLL], stream[a : a + UNROLL], state)
+        rest = tokens[steps * streams :]  # what does not fill a window of every stream
+        if len(rest) >= UNROLL:
+            self.learn(rest)
+        elif len(rest):
+            self._window(np.concatenate([[self.end], rest[:-1]])[:, None], rest[:, None], np.zeros((1, HIDDEN), np.float32))
+
+    def _window(self, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> np.ndarray:
+        p, edges, h3 = self.p, self.edges, 3 * HIDDEN
+        kinds, back = np.unique(x, return_inverse=True)
+        own_table = p["e"][kinds] @ p["w"] + p["b"]
+        own_table[:, : 2 * HIDDEN] *= 0.5
+        u = p["u"].copy()
+        u[:, : 2 * HIDDEN] *= 0.5
+        projected = own_table[back.reshape(x.shape)]
+        live = (x != self.end).astype(np.float32)[:, :, None]
+        states, kept = np.empty((*x.shape, HIDDEN), np.float32), []
+        for t in range(len(x)):
+            start = state * live[t]
+            state, gate, n, un = step(projected[t], start, u)
+            states[t] = state
+            kept.append((start, gate, n, un))
+        flat_h, token = states.reshape(-1, HIDDEN), y.reshape(-1)
+        own = class_of(token, edges)
+        share = np.float32(1 / len(token))
+        order = np.argsort(own, kind="stable")
+        flat_h, token, own = flat_h[order], token[order], own[order]
+        d = flat_h @ p["wc"]
+        d += p["bc"]
+        np.exp(d, out=d)
+        d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+        d[np.arange(len(own)), own] -= share
+        slopes = {"wc": flat_h.T @ d, "bc": d.sum(0)}
+        dh = d @ p["wc"].T
+        edge = np.searchsorted(own, np.arange(len(edges)))
+        for c in np.flatnonzero(np.diff(edge)):
+            part, words = slice(edge[c], edge[c + 1]), slice(edges[c], edges[c + 1])
+            h = flat_h[part]
+            d = h @ p["ww"][words].T
+            d += p["bw"][words]
+            np.exp(d, out=d)
+            d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+            d[np.arange(len(h)), token[part] - edges[c]] -= share
+            dh[part] += d @ p["ww"][words]
+            self._row_step("ww", words, d.T @ h)
+            self._row_step("bw", words, d.sum(0))
+            self.met["class"][c] += len(h)
+        by_place = np.empty_like(dh)
+        by_place[order] = dh
+        dh = by_place.reshape(*x.shape, HIDDEN)
+        dx = np.empty((*x.shape, h3), np.float32)
+        du, carry = np.zeros_like(u), np.zeros_like(state)
+        for t in range(len(x) - 1, -1, -1):
+            start, gate, n, un = kept[t]
+            z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
+            one = carry + dh[t]
+            dn = one * (1 - z) * (1 - n * n)
+            out = dx[t]
+            out[:, :HIDDEN] = one * (start - n) * z * (1 - z)
+            out[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
+            out[:, 2 * HIDDEN :] = dn
+            up = out.copy()
+            up[:, 2 * HIDDEN :] *= r
+            du += start.T @ up
+            carry = (one * z + up @ p["u"].T) * live[t]
+        by = np.argsort(back.reshape(-1), kind="stable")
+        met = np.bincount(back.reshape(-1), minlength=len(kinds))
+        by_kind = np.add.reduceat(dx.reshape(-1, h3)[by], np.cumsum(met) - met)
+        slopes |= {"u": du, "w": p["e"][kinds].T @ by_kind, "b": by_kind.sum(0)}
+        self._row_step("e", kinds, by_kind @ p["w"].T)
+        self.met["e"][kinds] += met
+        self.count += 1
+        self.tokens += len(token)
+        norm = np.sqrt(sum(float((s * s).sum()) for s in slopes.values()))
+        pace = self.rate * min(1.0, self.count / 20)
+        for k, slope in slopes.items():
+            m, v = self.dense[k]
+            slope *= min(1.0, 1.0 / (norm + 1e-9))
+            m += 0.1 * (slope - m)
+            v += 0.005 * (slope * slope - v)
+            p[k] -= pace * (m / (1 - 0.9**self.count)) / (np.sqrt(v / (1 - 0.995**self.count)) + 1e-7)
+        np.clip(p["wc"], -REACH, REACH, out=p["wc"])
+        return state
+
+    def _row_step(self, name: str, rows, slope: np.ndarray) -> None:
+        """Adagrad with one sum of squares for each row."""
+        square = slope * slope
+        self.rows[name][rows] += square if square.ndim == 1 else square @ np.full(square.shape[1], 1 / square.shape[1], np.float32)
+        size = 2.5 * self.rate / np.sqrt(self.rows[name][rows])
+        moved = self.p[name][rows] - slope * (size if slope.ndim == 1 else size[:, None])
+        self.p[name][rows] = moved if name == "e" else np.clip(moved, -REACH * HIDDEN, REACH) if name == "bw" else np.clip(moved, -REACH, REACH)
+
+    def changes(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """By name: how far each row of weights has moved, and what that counts in the average."""
+        by_word = np.repeat(self.met["class"], np.diff(self.edges))
+        weight = {"e": self.met["e"], "ww": by_word, "bw": by_word}
+        return {k: (x - self.first[k], weight.get(k, np.full(len(x), float(self.tokens)))) for k, x in self.p.items()}
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
+    """Weights from all texts ``t``: rounds of local training whose changes are averaged."""
+    spark, p = docs.sparkSession, new_weights(vocabulary, seed)
+    if not vocabulary.total:
+        return p
+    weights = sum(x.size for x in p.values())
+    learners = max(1, min(docs.rdd.getNumPartitions(), vocabulary.total // ROUNDS // (PER_WEIGHT * weights)))
+    turn = F.pmod(F.xxhash64("t"), F.lit(ROUNDS))
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((vocabulary, p))
+
+        def learn(batches, r=r, shared=shared):
+            vocabulary, p = shared.value
+            words = Words()
+            trainer = Trainer(p, vocabulary.edges, int(vocabulary.tokens(np.array([END]))[1][0]), rate=0.02 * 0.4**r)
+            for batch in batches:
+                texts = binary_list(batch.column(0))
+                for a, b in slices(texts, SLICE):
+                    if words.full():
+                        words.forget()
+                    number = words.of(texts[a:b])[0]
+                    trainer.learn(vocabulary.tokens(words.keys)[1][number])
+            for name, (moved, weight) in trainer.changes().items():
+                for a in range(0, len(moved), BLOCK):
+                    w = weight[a : a + BLOCK].astype(np.float32)
+                    total = moved[a : a + BLOCK] * (w if moved.ndim == 1 else w[:, None])
+                    yield pa.RecordBatch.from_pydict({"name": [name], "at": [a], "weight": [w.tobytes()], "total": [total.tobytes()]})
+
+        def add(batches):
+            found: dict[tuple, list] = {}
+            for batch in batches:
+                for name, at, weight, total in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    own = found.setdefault((name, at), [0.0, 0.0])
+                    own[0] = own[0] + np.frombuffer(weight, np.float32).astype(np.float64)
+                    own[1] = own[1] + np.frombuffer(total, np.float32).astype(np.float64)
+            for (name, at), (weight, total) in found.items():
+                moved = total / np.maximum(np.repeat(weight, len(total) // len(weight)), 1e-9)
+                yield pa.RecordBatch.from_pydict({"name": [name], "at": [at], "moved": [moved.astype(np.float32).tobytes()]})
+
+        moves = docs.where(turn == r).select("t").coalesce(learners).mapInArrow(thrifty(learn), "name string, at long, weight binary, total binary")
+        mean = saved(moves, "lm-moves").repartition("name", "at").mapInArrow(add, "name string, at long, moved binary")
+        p = {k: x.copy() for k, x in p.items()}
+        for row in mean.collect():  # one model
+            moved = np.frombuffer(row.moved, np.float32)
+            rows = p[row.name][row.at : row.at + BLOCK]
+            rows += moved.reshape(rows.shape)
+        shared.destroy()
+    return p
 
 
 def score_texts(docs: DataFrame, key: str, text: str, learn: Column) -> DataFrame:
@@ -322,37 +452,36 @@ def score_texts(docs: DataFrame, key: str, text: str, learn: Column) -> DataFram
     ``learn`` is a condition on the id, called k, that marks the learning texts.
     """
     spark = docs.sparkSession
-    small_batches(spark, 10_000)  # texts advance together, so a batch takes as many steps as its longest text
+    bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t"))
     lessons = rows.where(F.coalesce(learn, F.lit(True)))
     counts = saved(token_counts(lessons), "token-counts")
     vocabulary = Vocabulary.of(counts)
-    gru = fit(lessons, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, gru.p))
+    shared = spark.sparkContext.broadcast((vocabulary, fit(lessons, vocabulary)))
 
     def score(batches):
         from pyspark import TaskContext
 
         vocabulary, p = shared.value
-        places, end, row = Places(vocabulary), end_token(vocabulary), TaskContext.get().partitionId() << 36
-        log_count = np.log10(vocabulary.counts + 0.5)
-        log_open = np.log10(vocabulary.open_mass)
-        for batch in batches:
+        words, row = Words(), TaskContext.get().partitionId() << 36
+        end = int(vocabulary.tokens(np.array([END]))[1][0])
+        log_count = np.concatenate([np.log10(vocabulary.counts + 0.5), [0.0]])  # place -1 is rare: added by the join
+        log_open = np.concatenate([np.zeros(vocabulary.n_listed), np.log10(vocabulary.open_mass)])
+        for batch in together(batches, SLICE):
             texts = binary_list(batch.column(1))
             for a, b in slices(texts, SLICE):
-                place, n, rare = places.of(texts[a:b])
-                token = model_tokens(place, vocabulary, rare)
-                who = np.repeat(np.arange(len(n)), n)
-                frequent = place >= 0
-                in_count = np.zeros(len(place))
-                in_count[frequent] = log_count[place[frequent]]
-                is_open = token >= LISTED
-                in_class = np.where(is_open, in_count - log_open[np.where(is_open, token - LISTED, 0)], 0)
-                model = text_log_likelihood(p, token, n, end) / np.log(10) + np.bincount(who, in_class, len(n))
-                own = rare[-1 - place[~frequent]] if len(rare) else np.zeros(0, np.int64)
-                left = np.bincount(who[~frequent], minlength=len(n))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(n - left), pa.array(np.bincount(who, in_count, len(n))), pa.array(model), lists], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
+                if words.full():
+                    words.forget()
+                number, n = words.of(texts[a:b])
+                place, token = vocabulary.tokens(words.keys)
+                in_count, listed, rare = log_count[place], token < vocabulary.n_listed, place < 0
+                in_class = np.where(listed, 0, in_count - log_open[token])
+                first = np.cumsum(n) - n
+                model = text_log_likelihood(p, vocabulary.edges, token[number], n, end) / np.log(10) + np.add.reduceat(in_class[number], first)
+                is_rare = rare[number]
+                left = np.add.reduceat(is_rare, first, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(words.keys[number[is_rare]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(n - left), pa.array(np.add.reduceat(in_count[number], first)), pa.array(model), lists], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
                 row += len(n)
 
     part = saved(rows.mapInArrow(thrifty(score), "doc_id long, row long, n_tokens long, known long, base double, model double, rare array<long>"), "scores")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.llm.blocks import block_pairs, cells
-from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, small_batches, text_bytes, thrifty, words_of
+from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, bounded_batches, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
 #: Values of a sketch, and share of its values that a set below K shares at least with one of similarity 0.75.
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     A row whose id is null takes the component of its copies, if they have ids, and links no others;
     it is kept only where it has none.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("t"))
     rows = saved(shingle_sets(texts, width, k), "sketches")
     reps = saved(rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")

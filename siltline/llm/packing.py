@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, saved, slices, small_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, saved, slices, bounded_batches, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long"
@@ -121,7 +121,7 @@ def cut_pieces(df: DataFrame, key: str, text: str, vocabulary: str, end: int, ca
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(counts[row], pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(rank, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).mapInArrow(thrifty(cut), PIECES)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import bytes_of, slices, small_batches, text_bytes, thrifty
+from siltline.llm.common import bytes_of, slices, bounded_batches, text_bytes, thrifty
 
 BREAK = re.compile(rb"[\r\n]+")
 #: Classes of bytes: lower-case letters, capitals, digits, white space, sentence marks, other signs, bytes of non-ASCII letters.
@@ -200,7 +200,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
 def score_quality(docs: DataFrame, text: str, crf: LineCrf, keys: list[str], name: str = "score") -> DataFrame:
     """The columns ``keys`` and the quality of each text, read whole."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = keys if text in keys else [*keys, text]  # a text among the columns kept is not sent twice
     rows = docs.select(*[(F.col(c).cast("string") if c == text else F.col(c)).alias(f"k{i}") for i, c in enumerate(own)])
     at, schema = own.index(text), T.StructType([*rows.schema.fields[: len(keys)], T.StructField("score", T.DoubleType())])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, ragged, slices, small_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, ragged, slices, bounded_batches, text_bytes, thrifty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -194,7 +194,7 @@ def parity(path: str, texts: list[str]) -> list[int]:
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: key and ids of the whole text."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def work(batches):
         pieces = codec(path)
@@ -223,7 +223,7 @@ def decode_ids(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
 
 def round_trips(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: key, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), text_crc32 of the decoded text, same."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def work(batches):
         pieces = codec(path)

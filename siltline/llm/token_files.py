@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, shared_folder, slices, small_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, shared_folder, slices, bounded_batches, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 SKIPPABLE, DIRECTORY, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -137,7 +137,7 @@ def write_token_files(df: DataFrame, key: str, text: str, vocabulary: str, end:
     Returns one row per file: path, part, n_rows, n_ids. A task writes under a name of its own
     and moves the whole file in place, so a repeated task leaves the same files.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     folder = folder or shared_folder(df.sparkSession, "token-files")
 
     def write(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import bytes_of, ragged, slices, small_batches, text_bytes, thrifty
+from siltline.llm.common import bytes_of, ragged, slices, bounded_batches, text_bytes, thrifty
 from siltline.llm.quality import fit_curve
 
 WINDOW, STEP = 32, 24
@@ -395,7 +395,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
 def score_toxicity(docs: DataFrame, text: str, net: BiGru, keys: list[str], name: str = "score") -> DataFrame:
     """The columns ``keys`` and the toxicity of each text, read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = keys if text in keys else [*keys, text]  # a text among the columns kept is not sent twice
     rows = docs.select(*[(F.col(c).cast("string") if c == text else F.col(c)).alias(f"k{i}") for i, c in enumerate(own)])
     at, schema = own.index(text), T.StructType([*rows.schema.fields[: len(keys)], T.StructField("score", T.DoubleType())])
