@@ -5,9 +5,10 @@ each normalised to lower-case words and numbers. A known sentence is found where
 several that follow one another, hold exactly its words: so hard-wrapped text, with or without
 comment signs, and sentences with a colon or semicolon in them are found; where lines break does
 not matter. Of sentences of one name that start at one piece the longest counts. A rule names
-sentences that must follow one another in order, with at most ``gap`` other pieces between two.
-Matches of one rule in one text do not overlap: each starts at its first sentence and takes the
-nearest next one. Positions are those of pieces.
+sentences that must follow one another in order, with at most ``gap`` other pieces between two: each
+occurrence of a step follows the nearest earlier one of the step before, so repeated sentences and
+other sentences between hide nothing. A match is a chain from a first to a last step. Chains that
+share a sentence share their first, and only the one that ends first counts. Positions are those of pieces.
 
 Pieces that are part of a known sentence are found in a table of all its runs of words, which
 grows with the square of its length; knowledge is of fixed size. A piece that starts at word o of
@@ -15,10 +16,11 @@ the text and holds words a to b of a sentence says that the sentence starts at o
 pieces that say so hold all its words, it is there.
 
 Texts that hold none of a few words, one of which is in each known sentence, are set aside before
-they are cut. Null and empty texts match nothing. Repeated rows are each scanned.
+they are cut. Null and empty texts match nothing. Repeated rows are each scanned, and a null id is
+returned as null. A very long text is cut and matched by built-in expressions in one task's partition.
 
-``SQL`` states the narrower rule of one piece for each sentence of SENTENCES: its rows are among
-these, and equal where no known sentence is wrapped and none of WORDINGS occurs.
+``SQL`` states the narrower rule of one piece for each known sentence: its rows are among these, and
+equal where no known sentence goes over several pieces.
 """
 
 from __future__ import annotations
@@ -45,12 +47,42 @@ SENTENCES = {
     "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
-    "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
-    "cc-by-4.0-notice": "licensed under cc by 4 0",
-    "cc-by-sa-4.0-notice": "licensed under cc by sa 4 0",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zero-bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl-2.1-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gnu-library-no-warranty": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gnu-copy": "you should have received a copy of the gnu general public license along with this program",
+    "gnu-lesser-copy": "you should have received a copy of the gnu lesser general public license along with this library",
+    "gnu-affero-copy": "you should have received a copy of the gnu affero general public license along with this program",
+    "mpl-2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "public-domain": "dedicated to the public domain",
+    "cc0-waiver": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "epl-2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "wtfpl-do": "you just do what the fuck you want to",
+    "cddl-subject": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "ofl-1.1-notice": "this font software is licensed under the sil open font license version 1 1",
+    "ofl-1.1-grant": "permission is hereby granted free of charge to any person obtaining a copy of the font software to use study copy merge embed modify redistribute and sell modified and unmodified copies of the font software subject to the following conditions",
+    "ncsa-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "eupl-notice": "licensed under the eupl",
+    "confidential": "unauthorized copying of this file via any medium is strictly prohibited",
+    "proprietary": "proprietary and confidential",
     "all-rights-reserved": "all rights reserved",
 }
 #: Further wordings of these sentences, as the licence texts have them in full.
@@ -62,6 +94,42 @@ WORDINGS = (
     ("apache-2.0-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-2.0-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
 )
+#: Public identifiers of licences, whether text may be reused under them, and the names that notices use.
+NAMED = {
+    "0BSD": (True, "bsd zero clause license"), "AFL-3.0": (True, "academic free license version 3 0"), "AGPL-3.0-only": (True, "gnu affero general public license version 3"), "AGPL-3.0-or-later": (True, None), "Apache-1.1": (True, "apache software license version 1 1"),
+    "Apache-2.0": (True, "apache license 2 0"), "APSL-2.0": (True, "apple public source license version 2 0"), "Artistic-2.0": (True, "artistic license 2 0"), "BSD-2-Clause": (True, "bsd 2 clause license"), "BSD-3-Clause": (True, "bsd 3 clause license"), "BSD-4-Clause": (True, None),
+    "BSL-1.0": (True, "boost software license version 1 0"), "BUSL-1.1": (False, "business source license 1 1"), "CC0-1.0": (True, "cc0 1 0 universal"), "CDDL-1.0": (True, "common development and distribution license version 1 0"), "CDDL-1.1": (True, None), "CECILL-2.1": (True, None), "CPL-1.0": (True, "common public license version 1 0"),
+    "ECL-2.0": (True, "educational community license version 2 0"), "EPL-1.0": (True, "eclipse public license 1 0"), "EPL-2.0": (True, "eclipse public license 2 0"), "EUPL-1.2": (True, "european union public licence v 1 2"), "GFDL-1.3-only": (True, "gnu free documentation license version 1 3"), "GPL-2.0-only": (True, "gnu general public license version 2"), "GPL-2.0-or-later": (True, None),
+    "GPL-3.0-only": (True, None), "GPL-3.0-or-later": (True, None), "HPND": (True, None), "IPL-1.0": (True, "ibm public license version 1 0"), "ISC": (True, "isc license"), "LGPL-2.1-only": (True, "gnu lesser general public license version 2 1"), "LGPL-2.1-or-later": (True, None), "LGPL-3.0-only": (True, "gnu lesser general public license version 3"), "LGPL-3.0-or-later": (True, None), "LPPL-1.3c": (True, None),
+    "MIT": (True, None), "MIT-0": (True, "mit no attribution license"), "MPL-1.1": (True, "mozilla public license 1 1"), "MPL-2.0": (True, "mozilla public license 2 0"), "MS-PL": (True, "microsoft public license"), "MS-RL": (True, "microsoft reciprocal license"), "NCSA": (True, None), "ODbL-1.0": (True, "open data commons open database license"), "OFL-1.1": (True, "sil open font license version 1 1"), "OSL-3.0": (True, "open software license version 3 0"),
+    "PostgreSQL": (True, "postgresql license"), "PSF-2.0": (True, "python software foundation license version 2"), "Ruby": (True, "ruby license"), "SSPL-1.0": (False, "server side public license version 1"), "Unlicense": (True, None), "UPL-1.0": (True, "universal permissive license v 1 0"), "Vim": (True, None), "WTFPL": (True, None), "Zlib": (True, "zlib license"), "ZPL-2.1": (True, "zope public license version 2 1"),
+}
+#: Creative Commons terms and versions: those with "nc" or "nd" do not allow reuse.
+TERMS, VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("2.0", "2.5", "3.0", "4.0")
+#: How a notice names its licence.
+NOTICES = ("licensed under the {}", "released under the {}", "distributed under the {}", "this work is licensed under the {}", "this project is licensed under the {}", "this software is licensed under the {}")
+
+
+def named_rules() -> tuple[dict[str, str], list[tuple[str, str, bool, tuple[str, ...]]]]:
+    """Sentences and rules of one sentence for tags and notices that name a licence."""
+    sentences, rules = {}, []
+
+    def add(name: str, licence: str, free: bool, sentence: str) -> None:
+        sentences[name] = normal(sentence)
+        rules.append((name, licence, free, (name,)))
+
+    for licence, (free, title) in NAMED.items():
+        add(f"{licence.lower()}-tag", licence, free, f"SPDX-License-Identifier: {licence}")
+        for i, notice in enumerate(NOTICES if title else ()):
+            add(f"{licence.lower()}-notice-{i}", licence, free, notice.format(title))
+    for terms in TERMS:
+        for version in VERSIONS:
+            licence, free = f"CC-{terms.replace(' ', '-').upper()}-{version}", "nc" not in terms and "nd" not in terms
+            add(f"{licence.lower()}-tag", licence, free, f"SPDX-License-Identifier: {licence}")
+            add(f"{licence.lower()}-short", licence, free, f"licensed under cc {terms} {version}")
+    return sentences, rules
+
+
 #: Rule, licence, whether text may be reused, and the sentences in order.
 RULES = (
     ("apache-2.0-short", "Apache-2.0", True, ("apache-2.0-notice",)),
@@ -71,10 +139,30 @@ RULES = (
     ("mit-text", "MIT", True, ("mit-grant", "mit-keep", "as-is")),
     ("gpl-3.0-short", "GPL-3.0", True, ("gpl-3-notice",)),
     ("gpl-3.0-header", "GPL-3.0", True, ("gpl-3-free", "gpl-no-warranty")),
-    ("cc-by-nc-4.0-short", "CC-BY-NC-4.0", False, ("cc-by-nc-4.0-notice",)),
-    ("cc-by-4.0-short", "CC-BY-4.0", True, ("cc-by-4.0-notice",)),
-    ("cc-by-sa-4.0-short", "CC-BY-SA-4.0", True, ("cc-by-sa-4.0-notice",)),
     ("bsd-2-clause-text", "BSD-2-Clause", True, ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("bsd-3-clause-text", "BSD-3-Clause", True, ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("isc-text", "ISC", True, ("isc-grant", "isc-as-is")),
+    ("0bsd-text", "0BSD", True, ("zero-bsd-grant", "isc-as-is")),
+    ("ncsa-text", "NCSA", True, ("ncsa-grant", "bsd-source", "bsd-binary")),
+    ("gpl-2.0-header", "GPL-2.0-or-later", True, ("gpl-2-free", "gpl-no-warranty")),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", True, ("lgpl-2.1-free", "gnu-library-no-warranty")),
+    ("lgpl-3.0-header", "LGPL-3.0-or-later", True, ("lgpl-3-free", "gnu-library-no-warranty")),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", True, ("agpl-3-free", "gpl-no-warranty")),
+    ("mpl-2.0-header", "MPL-2.0", True, ("mpl-2-subject", "mpl-2-copy")),
+    ("unlicense-text", "Unlicense", True, ("unlicense-free", "unlicense-anyone")),
+    ("public-domain-notice", "public-domain", True, ("public-domain",)),
+    ("cc0-text", "CC0-1.0", True, ("cc0-waiver",)),
+    ("zlib-text", "Zlib", True, ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("bsl-1.0-short", "BSL-1.0", True, ("boost-notice",)),
+    ("bsl-1.0-text", "BSL-1.0", True, ("boost-grant",)),
+    ("epl-2.0-header", "EPL-2.0", True, ("epl-2-notice",)),
+    ("wtfpl-text", "WTFPL", True, ("wtfpl-do",)),
+    ("cddl-header", "CDDL-1.0", True, ("cddl-subject", "apache-2.0-may-not-use")),
+    ("postgresql-text", "PostgreSQL", True, ("postgresql-grant",)),
+    ("ofl-1.1-short", "OFL-1.1", True, ("ofl-1.1-notice",)),
+    ("ofl-1.1-text", "OFL-1.1", True, ("ofl-1.1-grant",)),
+    ("eupl-short", "EUPL-1.2", True, ("eupl-notice",)),
+    ("proprietary-notice", "proprietary", False, ("confidential", "proprietary")),
     ("all-rights-reserved", "proprietary", False, ("all-rights-reserved",)),
 )
 CUT = r"[\r\n]+|(?<=[.;:])[ \t]+"
@@ -84,6 +172,12 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def knowledge() -> tuple[list[tuple[str, str]], list[tuple[str, str, bool, tuple[str, ...]]]]:
+    """All known sentences by name, and all rules."""
+    more, rules = named_rules()
+    return [*SENTENCES.items(), *more.items(), *WORDINGS], [*RULES, *rules]
+
+
 def anchors(known: Iterable[str]) -> list[str]:
     """A few words, long if possible, of which each normalised sentence holds at least one."""
     left, found = {s for s in known if s}, []
@@ -121,45 +215,58 @@ def sentences(df: DataFrame, key: str, text: str, known: list[tuple[str, str]])
     return whole.join(names, "sentence").groupBy("row", "doc_id", "position", "name").agg(F.max("last").alias("last"))
 
 
-def scan_licenses(df: DataFrame, key: str, text: str, known: dict[str, str] | None = None, rules=RULES, gap: int = 3) -> DataFrame:
+def scan_licenses(df: DataFrame, key: str, text: str, known: dict[str, str] | None = None, rules=None, gap: int = 3) -> DataFrame:
     """doc_id, license, reusable, rule, first_sentence, last_sentence: one row per match of a rule."""
     spark = df.sparkSession
-    known = [*SENTENCES.items(), *WORDINGS] if known is None else [(k, normal(v)) for k, v in known.items()]
+    own_known, own_rules = knowledge()
+    known = own_known if known is None else [(k, normal(v)) for k, v in known.items()]
+    rules = own_rules if rules is None else rules
     steps = spark.createDataFrame([(r, lic, ok, s, i + 1, len(own)) for r, lic, ok, own in rules for i, s in enumerate(own)], "rule string, license string, reusable boolean, name string, step int, steps int")
     found = saved(sentences(df, key, text, known), "licence-sentences")
     met = found.join(F.broadcast(steps), "name")
-    # A run continues while the next named sentence of the rule is the next step and near enough.
-    in_rule = Window.partitionBy("row", "rule").orderBy("position", "step")
-    goes_on = (F.col("step") == F.lag("step").over(in_rule) + 1) & (F.col("position") - F.lag("last").over(in_rule) <= gap + 1)
-    run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(in_rule)
-    runs = met.withColumn("run", run).groupBy("row", "doc_id", "license", "reusable", "rule", "steps", "run")
-    whole = runs.agg(F.min("step").alias("from"), F.max("step").alias("to"), F.min("position").alias("first_sentence"), F.max("last").alias("last_sentence"))
-    return whole.where("from = 1 AND to = steps").select("doc_id", "license", "reusable", "rule", "first_sentence", "last_sentence")
+    before = Window.partitionBy("row", "rule").orderBy("position", "step").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("first", F.when(F.col("step") == 1, F.col("position")))
+    for k in range(2, max((len(own) for _, _, _, own in rules), default=1) + 1):
+        nearest = F.last(F.when(F.col("step") == k - 1, F.struct("last", "first")), ignorenulls=True).over(before)
+        met = met.withColumn("nearest", nearest)
+        near = F.col("position") - F.col("nearest.last") <= gap + 1
+        met = met.withColumn("first", F.when(F.col("step") == k, F.when(near, F.col("nearest.first"))).otherwise(F.col("first"))).drop("nearest")
+    ends = met.where("step = steps AND first IS NOT NULL").groupBy("row", "doc_id", "license", "reusable", "rule", F.col("first").alias("first_sentence"))
+    return ends.agg(F.min("last").alias("last_sentence")).select("doc_id", "license", "reusable", "rule", "first_sentence", "last_sentence")
 
 
 #: DuckDB has no look-behind: the place after the sign is marked before the cut.
 SQL = """
-WITH known(name, sentence) AS (VALUES {known}),
+WITH RECURSIVE known(name, sentence) AS (VALUES {known}),
 steps(rule, license, reusable, name, step, steps) AS (VALUES {steps}),
 cut AS (
   SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS position
   FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[\\r\\n]+', chr(1), 'g'), '([.;:])[ \\t]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
 ),
 met AS (
-  SELECT doc_id, position, step, steps, rule, license, reusable
+  SELECT DISTINCT doc_id, position, step, steps, rule, license, reusable
   FROM cut JOIN known ON known.sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) JOIN steps USING (name)
 ),
-marked AS (
-  SELECT *, CASE WHEN step = lag(step) OVER w + 1 AND position - lag(position) OVER w <= 4 THEN 0 ELSE 1 END AS starts
-  FROM met WINDOW w AS (PARTITION BY doc_id, rule ORDER BY position, step)
+-- Of each step, the nearest earlier place of the step before.
+follows AS (
+  SELECT b.doc_id, b.rule, b.position, b.step, max(a.position) AS before
+  FROM met b JOIN met a ON a.doc_id = b.doc_id AND a.rule = b.rule AND a.step = b.step - 1 AND a.position < b.position
+  GROUP BY b.doc_id, b.rule, b.position, b.step
 ),
-runs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, rule ORDER BY position, step) AS run FROM marked)
-SELECT doc_id, license, reusable, rule, CAST(min(position) AS INTEGER) AS first_sentence, CAST(max(position) AS INTEGER) AS last_sentence
-FROM runs GROUP BY doc_id, license, reusable, rule, steps, run HAVING min(step) = 1 AND max(step) = steps
+chain AS (
+  SELECT doc_id, rule, position, step, position AS first FROM met WHERE step = 1
+  UNION ALL
+  SELECT f.doc_id, f.rule, f.position, f.step, c.first
+  FROM chain c JOIN follows f ON f.doc_id = c.doc_id AND f.rule = c.rule AND f.step = c.step + 1 AND f.before = c.position
+  WHERE f.position - f.before - 1 <= 3
+)
+SELECT doc_id, license, reusable, rule, CAST(first AS INTEGER) AS first_sentence, CAST(min(position) AS INTEGER) AS last_sentence
+FROM chain JOIN met USING (doc_id, rule, position, step) WHERE step = steps GROUP BY doc_id, license, reusable, rule, first
 """
 
 
 def oracle() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-    steps = ", ".join(f"('{r}', '{lic}', {str(ok).lower()}, '{s}', {i + 1}, {len(own)})" for r, lic, ok, own in RULES for i, s in enumerate(own))
+    sentences, rules = knowledge()
+    known = ", ".join(f"('{k}', '{v}')" for k, v in sentences)
+    steps = ", ".join(f"('{r}', '{lic}', {str(ok).lower()}, '{s}', {i + 1}, {len(own)})" for r, lic, ok, own in rules for i, s in enumerate(own))
     return SQL.format(known=known, steps=steps)

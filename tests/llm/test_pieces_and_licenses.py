@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import textwrap
 from collections import Counter
 
@@ -54,6 +55,40 @@ def test_ordered_rules(spark):
     assert licenses.scan_licenses(df.where("false"), "doc_id", "text").count() == 0
 
 
+def walk(steps, gap):
+    """Matches in a list of (position, step) of a rule of three steps, by looking back from every last step."""
+    found = {}
+    for end, last in steps:
+        at, want = end, 2
+        while last == 3 and want and (before := [p for p, s in steps if s == want and p < at]) and at - max(before) - 1 <= gap:
+            at, want = max(before), want - 1
+        if last == 3 and want == 0:
+            found[at] = min(end, found.get(at, end))
+    return sorted(found.items())
+
+
+def test_rule_walks_against_brute_force(spark):
+    known, rules = {str(i): f"known sentence number {i} here" for i in (1, 2, 3)}, [("r", "L", True, ("1", "2", "3"))]
+    orders = ["1223", "1213", "123123", "1 2 3", "1    23", "12233", "11233", "321", "12x1x23", "13", "122    3", "1232312323", "1 1 2    2 3"]
+    orders += ["".join(random.Random(i).choices("123 ", k=14)) for i in range(60)]
+    rows = [(i, "\n".join(known.get(c, "filler") for c in order)) for i, order in enumerate(orders)]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, text string"), "id", "text", known, rules).collect():
+        got.setdefault(r.doc_id, []).append((r.first_sentence, r.last_sentence))
+    for i, order in enumerate(orders):
+        assert sorted(got.get(i, [])) == walk([(p, int(c)) for p, c in enumerate(order) if c in known], 3), order
+    assert got[0] == [(0, 3)] and got[2] == [(0, 2), (3, 5)] and 1 in got
+
+
+def test_tags_and_notices_name_many_licences(spark):
+    rows = [(1, "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;"), (2, "This project is licensed under the Mozilla Public License 2.0."), (3, "Licensed under CC BY-NC-ND 3.0."), (4, "# SPDX-License-Identifier: CC0-1.0"), (5, "dedicated to the public domain"), (6, "SPDX-License-Identifier: Nonsense")]
+    got = {(r.doc_id, r.license, r.reusable) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(1, "LGPL-2.1-or-later", True), (2, "MPL-2.0", True), (3, "CC-BY-NC-ND-3.0", False), (4, "CC0-1.0", True), (5, "public-domain", True)}
+    sentences, rules = licenses.knowledge()
+    assert len({lic for _, lic, _, _ in rules}) > 60 and len({n for n, _ in sentences}) == len({n for n, _ in sentences} | {s for *_, own in rules for s in own})
+    assert len({r for r, *_ in rules}) == len(rules)
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
