@@ -108,6 +108,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 TEXTS_IN_BATCH = 2000
+#: Ids up to this number are broadcast, after they are counted; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from siltline.llm.common import saved
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """One row (id, component) per vertex that is not its component's smallest; ``edges`` has a, b.
 
     Each round hangs every vertex's larger neighbours on its smallest one, then its smaller ones.
     Both sides of each join are plain tables, so a vertex with very many edges is split by the
-    engine; the minima are pre-aggregated. Loops and repeated edges change nothing.
+    engine; the minima are pre-aggregated. Loops and repeated edges change nothing. The sum of all labels
+    falls in each round that is not the last, so the rounds end.
     """
     edge = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = saved(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
@@ -27,4 +28,3 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         above = edge.select(F.col("u").alias("x")).distinct()
         if edge.join(above, edge["v"] == above["x"], "left_semi").limit(1).count() == 0:
             return edge.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.llm.blocks import block_pairs, cells
-from siltline.llm.common import WordHashes, binary_list, saved, shingle_hashes, bounded_batches, text_bytes, thrifty, words_of
+from siltline.llm.common import BROADCAST_IDS, WordHashes, binary_list, bounded_batches, saved, shingle_hashes, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
 #: Values of a sketch, and share of its values that a set below K shares at least with one of similarity 0.75.
@@ -38,8 +38,6 @@ K, OVERLAP = 48, 0.6
 ODDS = 1 / 40_000
 #: Values of the wider sketch, and standard deviations that its estimate may lie too low.
 WIDE, LOW = 192, 4.2
-#: Ids up to this number are broadcast to choose texts; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(rows: DataFrame, width: int, k: int | None) -> DataFrame:

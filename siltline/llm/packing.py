@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, saved, slices, bounded_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, bounded_batches, saved, slices, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import bytes_of, slices, bounded_batches, text_bytes, thrifty
+from siltline.llm.common import bounded_batches, bytes_of, slices, text_bytes, thrifty
 
 BREAK = re.compile(rb"[\r\n]+")
 #: Classes of bytes: lower-case letters, capitals, digits, white space, sentence marks, other signs, bytes of non-ASCII letters.

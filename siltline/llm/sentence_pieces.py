@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, ragged, slices, bounded_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, bounded_batches, ragged, slices, text_bytes, thrifty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

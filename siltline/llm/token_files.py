@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, shared_folder, slices, bounded_batches, text_bytes, thrifty
+from siltline.llm.common import binary_list, bounded_batches, shared_folder, slices, text_bytes, thrifty
 from siltline.llm.wordbpe import encoder
 
 SKIPPABLE, DIRECTORY, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import bytes_of, ragged, slices, bounded_batches, text_bytes, thrifty
+from siltline.llm.common import bounded_batches, bytes_of, ragged, slices, text_bytes, thrifty
 from siltline.llm.quality import fit_curve
 
 WINDOW, STEP = 32, 24

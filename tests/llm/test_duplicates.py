@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltline.llm.graph import components
 from siltline.llm.minhash import near_duplicates
 from siltline.llm.top_k import top_k
-from siltline.llm.vector_dups import near_vectors
+from siltline.llm.vector_dups import near_vectors, retained_for
 
 from .conftest import prose
 
@@ -99,10 +99,12 @@ def vectors(seed=0, n=300, d=24):
     return rows + odd, x
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("light", [64, 6])
+def test_near_vectors(spark, light):
+    """Few members make a run of places heavy in the second case: it meets in blocks."""
     rows, x = vectors()
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, id int, x double")
-    out = near_vectors(df, "vec_id", "embedding").toPandas()
+    out = near_vectors(df, "vec_id", "embedding", light=light, block=64 if light == 64 else 10).toPandas()
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
@@ -117,6 +119,20 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_vectors_of_one_id_count_once(spark):
+    near = [[1.0, 0.1, 0.0], [1.0, 0.12, 0.0], [1.0, 0.14, 0.01]]
+    rows = [(5, near[0]), (5, near[1]), (6, near[2]), (5, None), (None, near[0]), (7, [0.0, 0.0, 1.0])]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").toPandas()
+    got = sorted((r.vec_id if r.vec_id == r.vec_id else -1, r.n_links, r.component_id if r.component_id == r.component_id else -1, r.kept) for r in out.itertuples())
+    assert got == [(-1, 0, -1, True), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
+def test_calibration_says_where_it_fails():
+    assert retained_for(64, 0.95, 2048, 0.999) <= retained_for(64, 0.9, 2048, 0.999)
+    with pytest.raises(ValueError, match="recall"):
+        retained_for(64, 0.2, 2048, 0.999)
+
+
 @pytest.mark.parametrize("blocks", [(2048, 4096, 8), (16, 32, 2)])
 def test_top_k_is_exact(spark, blocks):
     rows, x = vectors(3)
