@@ -28,11 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import binary_list, bounded_batches, saved, slices, text_bytes, thrifty, together, words_of
+from siltline.llm.common import binary_list, bounded_batches, mixed, saved, slices, text_bytes, thrifty, together
 
 PLACES = 2_000_000
 LISTED_ROOT, CLASS_ROOT = 1.0, 0.75
@@ -49,77 +48,91 @@ SLICE = 12 << 20
 #: Groups of last signs that tell the open classes.
 ENDINGS = (b"e", b"s", b"n", b"r", b"t", b"d", b"y", b"l", b"a", b"i", b"o", b".", b",", b"!", b"0123456789")
 SHAPES = 2 * (len(ENDINGS) + 1)
-_SHAPE = np.zeros(256, np.int64)
+#: Bytes whose words are hashed in one step.
+STRIDE = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SHAPE = np.zeros(256, np.int64)
 for _i, _signs in enumerate(ENDINGS):
-    _SHAPE[list(_signs)] = 2 * _i + 2
+    SHAPE[list(_signs)] = 2 * _i + 2
+SHAPE = SHAPE[LOWER]
+_random = np.random.default_rng(71)
+VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
+BASE = int(_random.integers(1 << 62, 1 << 63)) | 1
+
+
+def powers(base: int) -> np.ndarray:
+    out = np.full(STRIDE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWER, BACK = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+#: The end of a text.
+END = 0
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A polynomial in random values of its lower-cased bytes for each word raw[start:stop], then mixed."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        last = max(at + 1, int(np.searchsorted(stop, start[at] + STRIDE, "right")))
+        a, b = int(start[at]), int(stop[last - 1])
+        if b - a <= STRIDE:
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(VALUE[raw[a:b]] * POWER[: b - a], out=total[1:])
+            s, e = start[at:last] - a, stop[at:last] - a
+            out[at:last] = (total[e] - total[s]) * BACK[s]
+        else:  # one word longer than a step: the sum of its steps
+            steps = range(a, b, STRIDE)
+            sums = np.array([(VALUE[raw[c : min(c + STRIDE, b)]] * POWER[: min(STRIDE, b - c)]).sum(dtype=np.uint64) for c in steps], np.uint64)
+            out[at] = (sums * np.array([pow(BASE, c - a, 1 << 64) for c in steps], np.uint64)).sum(dtype=np.uint64)
+        at = last
+    return mixed(out + (stop - start).astype(np.uint64))
+
+
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens, an end after each text's words, and the tokens of each text.
+
+    A word's key is a 63-bit hash whose low five bits are its shape.
+    """
+    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    space = SPACE[raw]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, stop = turns[::2], turns[1::2]
+    edge = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    words = np.diff(np.searchsorted(start, edge))
+    keys = np.full(len(start) + len(texts), END, np.int64)
+    if len(start):
+        other = np.maximum.reduceat(raw, start) >= 0x80
+        inner = np.ones(len(keys), bool)
+        inner[np.cumsum(words + 1) - 1] = False
+        keys[inner] = (word_hashes(raw, start, stop) >> np.uint64(6)).astype(np.int64) << 5 | SHAPE[raw[stop - 1]] | other
+    return keys, words + 1
 
 
 def word_key(word: bytes) -> int:
-    """63-bit hash whose low five bits are the word's shape; the end of a text is the empty word."""
-    return (xxhash.xxh3_64_intdigest(word) >> 6) << 5 | int(_SHAPE[word[-1]] if word else 0) | (not word.isascii())
-
-
-END = word_key(b"")
-
-
-class Words(dict):
-    """Word -> number in order of arrival; ``keys`` are their hashes. Begins anew beyond ``most`` words."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-        self.new: list[bytes] = []
-        self.keys = np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.keys) + len(self.new)
-        self.new.append(word)
-        return number
-
-    def full(self) -> bool:
-        return len(self) >= self.most
-
-    def forget(self) -> None:
-        self.clear()
-        self.keys = np.zeros(0, np.int64)
+    return int(token_keys([word])[0][0])
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens, ends included, and the tokens of each text."""
-        found, counts = [np.zeros(0, np.int32)], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            words.append(b"")
-            counts[i] = len(words)
-            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
-        if self.new:
-            high = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new)) >> np.uint64(6)
-            last = np.fromiter((w[-1] if w else 0 for w in self.new), np.int64, len(self.new))
-            other = np.fromiter((not w.isascii() for w in self.new), np.int64, len(self.new))
-            self.keys = np.concatenate([self.keys, (high.astype(np.int64) << 5) | _SHAPE[last] | other])
-            self.new = []
-        return np.concatenate(found), counts
 
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(key, c) of all tokens of the texts ``t``; each task adds up before the shuffle."""
+def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
+    """(key, c) of all tokens of the texts ``t``; each task adds up what it holds before the shuffle."""
 
     def count(batches):
-        words, n = Words(), np.zeros(0, np.int64)
-
-        def flushed():
-            return pa.RecordBatch.from_arrays([pa.array(words.keys[: len(n)]), pa.array(n)], names=["key", "n"])
-
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             texts = binary_list(batch.column(0))
             for a, b in slices(texts, SLICE):
-                if words.full():
-                    yield flushed()
-                    words.forget()
-                    n = np.zeros(0, np.int64)
-                more = np.bincount(words.of(texts[a:b])[0], minlength=len(words.keys))
-                more[: len(n)] += n
-                n = more
-        yield flushed()
+                new, met = np.unique(token_keys(texts[a:b])[0], return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, met]), len(keys)).astype(np.int64)
+                if len(keys) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+                    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     return docs.select("t").mapInArrow(thrifty(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
 
@@ -220,32 +233,42 @@ def step(x: np.ndarray, state: np.ndarray, u: np.ndarray):
     return new, gate, n, up[:, 2 * HIDDEN :]
 
 
-def class_of(token: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    listed = int(edges[-1])
-    return np.where(token < listed, np.searchsorted(edges, token, "right") - 1, len(edges) - 1 + token - listed)
+def class_table(edges: np.ndarray) -> np.ndarray:
+    """The class of each token, open ones after those of the listed."""
+    classes = len(edges) - 1
+    return np.concatenate([np.repeat(np.arange(classes), np.diff(edges)), classes + np.arange(SHAPES)]).astype(np.int16 if classes + SHAPES < 1 << 15 else np.int32)
+
+
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.concatenate([weights, bias[None]]))
 
 
 def log_probabilities(p: dict, edges: np.ndarray, states: np.ndarray, token: np.ndarray, most: int = 4096) -> np.ndarray:
-    """Natural log probability of each listed token, or of its open class, after each state."""
-    own = class_of(token, edges)
-    value, ones = np.empty(len(token)), np.ones(max(p["wc"].shape[1], int(np.diff(edges).max(initial=0))), np.float32)
+    """Natural log probability of each listed token, or of its open class, after each state; all logits lie far below 88."""
+    own = class_table(edges)[token]
+    h, ones = np.ones((len(states), HIDDEN + 1), np.float32), np.ones(max(p["wc"].shape[1], int(np.diff(edges).max(initial=0))), np.float32)
+    order = np.argsort(own, kind="stable")
+    h[:, :HIDDEN] = states[order]
+    own, token = own[order], token[order]
+    value, weights = np.empty(len(token)), with_bias(p["wc"], p["bc"])
     for a in range(0, len(token), most):
-        logit = states[a : a + most] @ p["wc"]
-        logit += p["bc"]
+        logit = h[a : a + most] @ weights
         hit = logit[np.arange(len(logit)), own[a : a + most]]
         np.exp(logit, out=logit)
         value[a : a + most] = hit - np.log(logit @ ones[: logit.shape[1]])
-    order = np.argsort(own, kind="stable")
-    edge = np.searchsorted(own[order], np.arange(len(edges)))
+    edge = np.searchsorted(own, np.arange(len(edges)))
     for c in np.flatnonzero(np.diff(edge)):
+        words = slice(edges[c], edges[c + 1])
+        weights = with_bias(p["ww"][words].T, p["bw"][words])
         for a in range(edge[c], edge[c + 1], most):
-            rows = order[a : min(a + most, edge[c + 1])]
-            logit = states[rows] @ p["ww"][edges[c] : edges[c + 1]].T
-            logit += p["bw"][edges[c] : edges[c + 1]]
-            hit = logit[np.arange(len(rows)), token[rows] - edges[c]]
+            rows = slice(a, min(a + most, edge[c + 1]))
+            logit = h[rows] @ weights
+            hit = logit[np.arange(len(logit)), token[rows] - edges[c]]
             np.exp(logit, out=logit)
             value[rows] += hit - np.log(logit @ ones[: logit.shape[1]])
-    return value
+    out = np.empty(len(value))
+    out[order] = value
+    return out
 
 
 def text_log_likelihood(p: dict, edges: np.ndarray, tokens: np.ndarray, counts: np.ndarray, end: int, together: int = 2048) -> np.ndarray:
@@ -282,7 +305,7 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], edges: np.ndarray, end: int, rate: float = 0.02):
         self.p, self.edges, self.end, self.rate = {k: x.copy() for k, x in p.items()}, edges, end, rate
-        self.first = p
+        self.first, self.class_of = p, class_table(edges)
         self.dense = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items() if k not in ROWS}
         self.rows = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ROWS}
         self.met = {"e": np.zeros(len(p["e"])), "class": np.zeros(len(edges) - 1)}
@@ -319,30 +342,32 @@ class Trainer:
             state, gate, n, un = step(projected[t], start, u)
             states[t] = state
             kept.append((start, gate, n, un))
-        flat_h, token = states.reshape(-1, HIDDEN), y.reshape(-1)
-        own = class_of(token, edges)
+        token = y.reshape(-1)
+        own = self.class_of[token]
         share = np.float32(1 / len(token))
         order = np.argsort(own, kind="stable")
-        flat_h, token, own = flat_h[order], token[order], own[order]
-        d = flat_h @ p["wc"]
-        d += p["bc"]
+        with_one = np.ones((len(token), HIDDEN + 1), states.dtype)
+        with_one[:, :HIDDEN] = states.reshape(-1, HIDDEN)[order]
+        token, own = token[order], own[order]
+        d = with_one @ with_bias(p["wc"], p["bc"])
         np.exp(d, out=d)
         d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
         d[np.arange(len(own)), own] -= share
-        slopes = {"wc": flat_h.T @ d, "bc": d.sum(0)}
+        outer = with_one.T @ d
+        slopes = {"wc": outer[:HIDDEN], "bc": outer[HIDDEN]}
         dh = d @ p["wc"].T
         edge = np.searchsorted(own, np.arange(len(edges)))
         for c in np.flatnonzero(np.diff(edge)):
             part, words = slice(edge[c], edge[c + 1]), slice(edges[c], edges[c + 1])
-            h = flat_h[part]
-            d = h @ p["ww"][words].T
-            d += p["bw"][words]
+            h = with_one[part]
+            d = h @ with_bias(p["ww"][words].T, p["bw"][words])
             np.exp(d, out=d)
             d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
             d[np.arange(len(h)), token[part] - edges[c]] -= share
             dh[part] += d @ p["ww"][words]
-            self._row_step("ww", words, d.T @ h)
-            self._row_step("bw", words, d.sum(0))
+            outer = d.T @ h
+            self._row_step("ww", words, outer[:, :HIDDEN])
+            self._row_step("bw", words, outer[:, HIDDEN])
             self.met["class"][c] += len(h)
         by_place = np.empty_like(dh)
         by_place[order] = dh
@@ -409,15 +434,11 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.
 
         def learn(batches, r=r, shared=shared):
             vocabulary, p = shared.value
-            words = Words()
             trainer = Trainer(p, vocabulary.edges, int(vocabulary.tokens(np.array([END]))[1][0]), rate=0.02 * 0.4**r)
-            for batch in batches:
+            for batch in together(batches, SLICE):
                 texts = binary_list(batch.column(0))
                 for a, b in slices(texts, SLICE):
-                    if words.full():
-                        words.forget()
-                    number = words.of(texts[a:b])[0]
-                    trainer.learn(vocabulary.tokens(words.keys)[1][number])
+                    trainer.learn(vocabulary.tokens(token_keys(texts[a:b])[0])[1])
             for name, (moved, weight) in trainer.changes().items():
                 for a in range(0, len(moved), BLOCK):
                     w = weight[a : a + BLOCK].astype(np.float32)
@@ -463,25 +484,21 @@ def score_texts(docs: DataFrame, key: str, text: str, learn: Column) -> DataFram
         from pyspark import TaskContext
 
         vocabulary, p = shared.value
-        words, row = Words(), TaskContext.get().partitionId() << 36
-        end = int(vocabulary.tokens(np.array([END]))[1][0])
+        row, end = TaskContext.get().partitionId() << 36, int(vocabulary.tokens(np.array([END]))[1][0])
         log_count = np.concatenate([np.log10(vocabulary.counts + 0.5), [0.0]])  # place -1 is rare: added by the join
         log_open = np.concatenate([np.zeros(vocabulary.n_listed), np.log10(vocabulary.open_mass)])
         for batch in together(batches, SLICE):
             texts = binary_list(batch.column(1))
             for a, b in slices(texts, SLICE):
-                if words.full():
-                    words.forget()
-                number, n = words.of(texts[a:b])
-                place, token = vocabulary.tokens(words.keys)
-                in_count, listed, rare = log_count[place], token < vocabulary.n_listed, place < 0
-                in_class = np.where(listed, 0, in_count - log_open[token])
-                first = np.cumsum(n) - n
-                model = text_log_likelihood(p, vocabulary.edges, token[number], n, end) / np.log(10) + np.add.reduceat(in_class[number], first)
-                is_rare = rare[number]
-                left = np.add.reduceat(is_rare, first, dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(words.keys[number[is_rare]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(n - left), pa.array(np.add.reduceat(in_count[number], first)), pa.array(model), lists], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
+                keys, n = token_keys(texts[a:b])
+                place, token = vocabulary.tokens(keys)
+                in_count, first = log_count[place], np.cumsum(n) - n
+                model = text_log_likelihood(p, vocabulary.edges, token, n, end) / np.log(10)
+                model += np.add.reduceat(np.where(token < vocabulary.n_listed, 0, in_count - log_open[token]), first)
+                rare = place < 0
+                left = np.add.reduceat(rare, first, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(keys[rare]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(n - left), pa.array(np.add.reduceat(in_count, first)), pa.array(model), lists], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
                 row += len(n)
 
     part = saved(rows.mapInArrow(thrifty(score), "doc_id long, row long, n_tokens long, known long, base double, model double, rare array<long>"), "scores")

@@ -130,6 +130,23 @@ def test_model_sums_to_one(spark):
     assert np.allclose(inside, vocabulary.open_mass)
 
 
+def test_keys_tell_words_apart_wherever_they_stand(monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(0, 400)).encode() for _ in range(50)] + [b"", b" \n", b"a", "Straße É\u00a0x 日本".encode(), bytes(range(1, 256)), b"x" * 5000, b"x" * 4999, b"q" * 5000 + b" A a \x0b\x1cb"]
+    for stride in (lm.STRIDE, 1000):
+        monkeypatch.setattr(lm, "STRIDE", stride)
+        monkeypatch.setattr(lm, "POWER", lm.powers(lm.BASE))
+        monkeypatch.setattr(lm, "BACK", lm.powers(pow(lm.BASE, -1, 1 << 64)))
+        keys, counts = lm.token_keys(texts)
+        words = [w for t in texts for w in [*t.lower().split(), b""]]
+        assert counts.tolist() == [len(t.split()) + 1 for t in texts] and len(keys) == len(words) and (keys >= 0).all()
+        by_word = {}
+        for w, k in zip(words, keys.tolist(), strict=True):
+            assert by_word.setdefault(w, k) == k
+        assert len(set(by_word.values())) == len(by_word) and by_word[b""] == lm.END
+        assert [lm.word_key(w) for w in (b"straSSe", b"x" * 5000)] == [by_word.get(b"strasse", lm.word_key(b"strasse")), by_word[b"x" * 5000]]
+
+
 def small_vocabulary(counts):
     return lm.Vocabulary(int(sum(counts)), 3, 1, np.array([32, 64, 96]), np.array(counts), np.array([0, 1, 2]), np.array([0, 1, 3]), np.full(lm.SHAPES, 0.5))
 
@@ -171,16 +188,16 @@ def test_gradients_by_differences():
         own = slopes[name][at] if name not in lm.ROWS else next(s for rows, s in slopes[name] if 0 in np.arange(10)[rows])[0 if name == "ww" else list(slopes["e"][0][0]).index(0)][at[1:]]
         keep = p[name][at]
         values = []
-        for step in (1e-5, -1e-5):
+        for step in (5e-3, -5e-3):
             p[name][at] = keep + step
             values.append(loss(p))
         p[name][at] = keep
-        want = (values[0] - values[1]) / 2e-5
+        want = (values[0] - values[1]) / 1e-2
         if name in lm.ROWS:
-            assert float(own) == pytest.approx(want, rel=1e-2, abs=1e-6), name
-        elif abs(want) > 1e-4:  # dense slopes may have been scaled together
+            assert float(own) == pytest.approx(want, rel=5e-2, abs=1e-4), name
+        elif abs(want) > 1e-3:  # dense slopes may have been scaled together
             scale = scale or float(own) / want
-            assert float(own) / want == pytest.approx(scale, rel=1e-2), name
+            assert float(own) / want == pytest.approx(scale, rel=5e-2), name
 
 
 def test_learning_lowers_the_loss():
