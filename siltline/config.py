@@ -106,3 +106,12 @@ def load(text: str) -> Settings:
     if "tier_weights" in raw.get("collect", {}):
         raw["collect"]["tier_weights"] = TierWeights(**raw["collect"]["tier_weights"])
     return Settings(**{name: kinds[name](**{k: tuple(v) if isinstance(v, list) else v for k, v in own.items()}) for name, own in raw.items()})
+
+
+def load_folder(spark, folder: str, names: tuple[str, ...] = ("app.json", "sources.json", "taxonomy.json", "watchlist.json")) -> tuple[Settings, dict[str, dict], tuple[tuple[str, str], ...]]:
+    """Settings of the first file, all files as they are, and (name, sha256) of each in order of names; a missing file is an error."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{n}" for n in names]).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    read = {r.name: r for r in rows.collect()}  # one row for each name
+    return load(read[names[0]].text), {n: json.loads(read[n].text) for n in names}, tuple((n, read[n].sha256) for n in sorted(names))

@@ -11,8 +11,10 @@ SCALE = 127
 
 
 def dot(a: Column, b: Column) -> Column:
+    """Inner product; vectors of different lengths are an error, a null vector gives null."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different lengths")).cast("double")).otherwise(total)
 
 
 def norm(a: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.functions import vectors as V
@@ -40,6 +40,20 @@ def visual(kind: Column, path: Column, alt_text: Column, state: Column) -> Colum
     return F.when(F.coalesce(kind, F.lit("none")) != "none", F.struct(kind.alias("kind"), path.alias("path"), alt_text.alias("alt_text"), state.alias("state")))
 
 
+def digest_items(rows: DataFrame, run_n: int | Column) -> DataFrame:
+    """The published item: all its fields in one projection. rows is joined() with source, kind, band and route columns.
+
+    Lists that are missing are empty, a missing summary is the empty text, updated_at is null when an item is new.
+    """
+    none = F.array().cast("array<string>")
+    run = run_n if isinstance(run_n, Column) else F.lit(run_n)
+    lists = [F.coalesce(F.col(c), none).alias(c) for c in ("key_points", "lenses", "events", "entities")]
+    return rows.select(
+        "day", "item_id", "vertical", title_or(F.col("title")).alias("title"), F.col("canonical_url").alias("source_url"), "source_id", "source_name", "source_kind", "published_at", F.coalesce("summary", F.lit("")).alias("summary"), *lists,
+        "band", F.coalesce("truncated", F.lit(False)).alias("truncated"), visual(F.col("kind"), F.col("asset_path"), F.col("alt_text"), F.col("visual_state")).alias("visual"), run.alias("introduced_by_run"), F.lit(None).cast("string").alias("updated_at"),
+    )
+
+
 def title_or(title: Column, fallback: str = "Untitled item") -> Column:
     return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit(fallback))
 
@@ -52,20 +66,25 @@ def text_for(title: Column, summary: Column) -> Column:
 def embedded(items: DataFrame, text: Column, encode: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 16) -> DataFrame:
     """day, item_id and the quantised vector of each item; ``encode`` is loaded once per task and sees batches of texts.
 
-    A vector of another width is an error.
+    A day is published whether or not it can be searched: where the encoder fails or gives another
+    width for any of its items, the day has no vectors at all.
     """
 
     def work(frames):
         for frame in frames:
             for a in range(0, len(frame), batch):
                 part = frame.iloc[a : a + batch]
-                made = encode(part["text"].tolist())
-                if any(len(v) != dimensions for v in made):
-                    raise ValueError(f"the encoder's vectors are not {dimensions} wide")
+                try:
+                    made = [list(v) for v in encode(part["text"].tolist())]
+                    if len(made) != len(part) or any(len(v) != dimensions for v in made):
+                        raise ValueError("vectors of another width")
+                except (OSError, RuntimeError, ValueError, ImportError):
+                    made = [None] * len(part)
                 yield pd.DataFrame({"day": part["day"], "item_id": part["item_id"], "v": made})
 
     rows = items.select(*KEY, text.alias("text")).mapInPandas(work, "day string, item_id string, v array<double>")
-    return rows.select(*KEY, V.quantise(F.col("v")).alias("vector"))
+    failed = F.max(F.col("v").isNull()).over(Window.partitionBy("day"))
+    return rows.withColumn("failed", failed).where("NOT failed").select(*KEY, V.quantise(F.col("v")).alias("vector"))
 
 
 def hide_read(items: DataFrame, read: DataFrame, hide: bool) -> DataFrame:
@@ -88,8 +107,6 @@ def lead_words(text: Column, n: int = 150) -> Column:
 
 def link_limit(links: DataFrame, n: int) -> DataFrame:
     """The first n different links of each feed (columns feed, link, position)."""
-    from pyspark.sql import Window
-
     first = links.groupBy("feed", "link").agg(F.min("position").alias("position"))
     nth = F.row_number().over(Window.partitionBy("feed").orderBy("position"))
     return first.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siltline.functions import canonical
 
-def fingerprint(inputs: dict[str, Column]) -> Column:
-    """sha256 of the inputs as canonical JSON: keys in order, two spaces, a line break at the end.
 
-    The values are texts without quotes, backslashes or signs beyond ASCII.
-    """
-    lines = [F.concat(F.lit(f'  "{k}": "'), F.coalesce(inputs[k].cast("string"), F.lit("")), F.lit('"')) for k in sorted(inputs)]
-    return F.sha2(F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}\n")), 256)
+def fingerprint(inputs: dict[str, tuple[Column, str]]) -> Column:
+    """sha256 of the inputs, each a column and its type, as canonical JSON. A null stays null in the text."""
+    kind = T.StructType([T.StructField(k, T.StructType.fromDDL(f"x {t}")["x"].dataType) for k, (_, t) in inputs.items()])
+    return canonical.digest(F.struct(*[c.cast(t).alias(k) for k, (c, t) in inputs.items()]), kind)
 
 
 def read_ledger(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -34,6 +34,25 @@ def eval_rows(pairs: DataFrame, score: Column, score_full: Column, config: Evalu
     return rows.withColumns({"hhem_delta": delta, "truncation_flagged": delta > config.truncation_gap_max, "band": band(F.col("hhem"), F.col("unsupported_numbers"), config)})
 
 
+#: The ledger's columns that identify a row, and those that say how it was made.
+IDENTITY = ("version", "date", "run_id", "item_id", "url_key", "source_url", "title", "vertical", "model_id", "attempt")
+MADE = ("pipeline_fingerprint", "output_digest", "determinism_violation", "scorer_version", "scored_at", "score_ms")
+
+
+def ledger_rows(pairs: DataFrame, score: Column, score_full: Column, config: Evaluation = Evaluation()) -> DataFrame:
+    """The ledger's whole row: identity, the measures of eval_rows, and how it was made.
+
+    pairs has source_text (the whole article), summary, source_seen_word_count (words of what the model saw)
+    and the columns of IDENTITY and MADE; of these a missing title is "Untitled item", flags are false and
+    score_ms 0 where null.
+    """
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("extraction_suspect", "determinism_violation")}
+    rows = pairs.withColumns({"title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled item")), "score_ms": F.coalesce("score_ms", F.lit(0)), "seen": F.col("source_seen_word_count"), **flags}).drop("source_seen_word_count")
+    made = eval_rows(rows, score, score_full, config)
+    names = [*IDENTITY, "hhem", "hhem_full", "hhem_delta", "truncation_flagged", "coverage", "compression", "extractiveness", "verbatim_run", "unsupported_numbers", "hedge_dropped", "extraction_suspect", "band", "source_word_count", "source_seen_word_count", "summary_word_count", *MADE]
+    return made.withColumn("source_seen_word_count", F.col("seen")).select(*names)
+
+
 def score_over_chunks(pairs: DataFrame, scorer: Callable[[Column, Column], Column], key: str) -> DataFrame:
     """The largest score of a source's windows against the summary; 0 without any. Windows spread a long source over tasks."""
     windows = pairs.select(key, "summary", F.explode_outer(T.chunks(F.col("source_text"))).alias("premise"))

@@ -35,7 +35,7 @@ def common_unit(points: Column, facts: Column) -> Column:
 def diagram_spec(steps: Column, caption: Column) -> Column:
     label = lambda s: F.replace(F.substring(sanitize(s), 1, 60), F.lit('"'), F.lit("'"))
     nodes = F.transform(steps, lambda s, i: F.concat(F.lit("    n"), i.cast("string"), F.lit('["'), label(s), F.lit('"]')))
-    edges = F.transform(F.slice(steps, 2, 1000), lambda s, i: F.concat(F.lit("    n"), i.cast("string"), F.lit(" --> n"), (i + 1).cast("string")))
+    edges = F.transform(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), lambda s, i: F.concat(F.lit("    n"), i.cast("string"), F.lit(" --> n"), (i + 1).cast("string")))
     head = F.when(F.coalesce(caption, F.lit("")) == "", F.array(F.lit("flowchart TD"))).otherwise(F.array(F.concat(F.lit("%% "), F.substring(sanitize(caption), 1, 120)), F.lit("flowchart TD")))
     return F.array_join(F.concat(head, nodes, edges), "\n")
 

@@ -224,7 +224,7 @@ def _stamps(spark, sf, year):
     """Orders as items: one stamp per customer, priorities and status as the inputs of the stamp."""
     rows = S.table(spark, sf, "orders").where(F.year("o_orderdate") % 2 == year)
     last = rows.groupBy(F.col("o_custkey").alias("item")).agg(F.max_by(F.struct("o_orderpriority", "o_orderstatus"), "o_orderkey").alias("x"))
-    stamp = ledger.fingerprint({"priority": F.col("x.o_orderpriority"), "sampler": F.lit("greedy")})
+    stamp = ledger.fingerprint({"priority": (F.col("x.o_orderpriority"), "string"), "sampler": (F.lit("greedy"), "string")})
     return last.select("item", stamp.alias("fingerprint"), F.when(F.col("x.o_orderstatus") != "P", F.sha2("x.o_orderstatus", 256)).alias("output_digest"))
 
 

@@ -36,6 +36,11 @@ def scorer_version(scorer: str, revision: str, weights_sha256: str, high: float,
     return f"{scorer}@{revision[:8]};weights-{weights_sha256[:8]};metrics-{metrics_version};bands={high:.2f}/{medium:.2f}"
 
 
+def sampling_spelling(temperature: float, top_p: float, seed: int, max_output_tokens: int, thinking: bool) -> str:
+    """One spelling of how a reply was drawn, as an input of the stamp."""
+    return f"temperature={temperature:.4f};top_p={top_p:.4f};seed={seed};max_output_tokens={max_output_tokens};thinking={'on' if thinking else 'off'}"
+
+
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark runs of files that hold several JSON arrays one after the other; ``seq`` keeps their order in a file."""
     schema = "model string, n_threads int, n_prompt int, n_gen int, avg_ts double, stddev_ts double, seq int"

@@ -200,12 +200,13 @@ def test_assembled_days(spark):
     items = spark.createDataFrame([("d", "v-01", "a"), ("d", "v-02", "b")], "day string, item_id string, text string")
     got = {r.item_id: r.vector for r in assemble.embedded(items, F.col("text"), lambda texts: [[1.0, 0.0] for _ in texts], 2).collect()}
     assert set(got) == {"v-01", "v-02"} and len(set(got.values())) == 1
-    with pytest.raises(Exception, match="wide"):
-        assemble.embedded(items, F.col("text"), lambda texts: [[1.0] for _ in texts], 2).collect()
+    other = items.unionByName(items.withColumn("day", F.lit("e"))).repartition("day")
+    fail = lambda texts: (_ for _ in ()).throw(RuntimeError("no encoder"))
+    assert assemble.embedded(items, F.col("text"), lambda texts: [[1.0] for _ in texts], 2).count() == assemble.embedded(items, F.col("text"), fail, 2).count() == 0
+    assert {r.day for r in assemble.embedded(other.withColumn("text", F.col("day")), F.col("text"), lambda texts: [[1.0, 0.0]] * len(texts) if "d" in texts else fail(texts), 2, batch=2).collect()} == {"d"}
     read = items.where("item_id = 'v-01'")
     assert [r.item_id for r in assemble.hide_read(items, read, True).collect()] == ["v-02"] and assemble.hide_read(items, read, False).count() == 2
-    counters = spark.createDataFrame([("d", 3, 2, 1, True), ("e", 1, 1, 1, False)], "day string, items_planned long, items_published long, items_failed long, partial boolean")
-    assert {(r.key, r.rule) for r in checks.check_days(counters, items).collect()} == {("e", "published is what is there"), ("e", "failed and published make planned"), ("e", "partial if some failed")}
+
 
 
 def test_replies_and_benchmark_files(spark, tmp_path):
@@ -217,3 +218,80 @@ def test_replies_and_benchmark_files(spark, tmp_path):
     (tmp_path / "runs.json").write_text('[{"model_filename": "/m/a.gguf", "n_prompt": 512, "avg_ts": 9.5}]\n[{"model": "a.gguf", "n_gen": 64, "avg_ts": 3.0}, {"model": "a.gguf", "n_gen": 64, "avg_ts": 4.0}]')
     rows = corpus.throughputs(completions.load_runs(spark, str(tmp_path)))
     assert {(r.model, r.kind): r.speed for r in rows.collect()} == {("a.gguf", "prefill"): 9.5, ("a.gguf", "decode"): 4.0}
+
+
+def test_canonical_json_is_that_of_python(spark):
+    import json
+
+    from siltline.functions import canonical
+
+    texts = ['plain "quoted" \\ back', "tab\tline\nfeed\rbell\x07\x1f\x7f", "é ü 日本 😀   ­", "", None]
+    numbers = [0.1, -2.5, 1e-5, 1.5e-7, 123456789.0, 1e7, 12345678.25, 1e15, 1e16, 1e20, -3e-4, 0.001, 0.0, 100.0]
+    rows = [(t, numbers[i % len(numbers)], i, [t or "x", "y"], {"b": 1, "a": None, "é": 3}, (True, None), []) for i, t in enumerate(texts * 3)]
+    schema = "t string, d double, n long, l array<string>, m map<string,int>, s struct<z: boolean, a: string>, e array<int>"
+    df = spark.createDataFrame(rows, schema)
+    from pyspark.sql import functions as F
+
+    got = [r.x for r in df.select(canonical.document(F.struct(*df.columns), df.schema).alias("x")).collect()]
+    keys = ("t", "d", "n", "l", "m", "s", "e")
+    want = [json.dumps(dict(zip(keys, (t, d, n, lst, m, {"z": s[0], "a": s[1]}, e), strict=True)), indent=2, sort_keys=True) + "\n" for t, d, n, lst, m, s, e in rows]
+    assert got == want
+    one = spark.createDataFrame([(x,) for x in numbers], "d double").select(canonical.number(F.col("d")).alias("x"))
+    assert [r.x for r in one.collect()] == [json.dumps(x) for x in numbers]
+
+
+def test_digests_of_what_was_published(spark):
+    import hashlib
+    import json
+
+    rows = [("A\nlíne", ["p", 'q"']), (None, []), ("x", None)]
+    df = spark.createDataFrame(rows, "s string, k array<string>").select(articles.output_digest(F.col("s"), F.col("k")).alias("x"))
+    want = [hashlib.sha256((json.dumps({"key_points": k or [], "summary": s}, indent=2, sort_keys=True) + "\n").encode()).hexdigest() for s, k in rows]
+    assert [r.x for r in df.collect()] == want
+
+
+def test_documents_and_folders(spark, tmp_path):
+    import hashlib
+
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([(f"{root}/2026/08/22/digest.json", '{"a": 1}\n'), (f"{root}/2026/08/21/digest.json", "{}\n"), (f"{root}/other/digest.json", "{}\n"), (f"{root}/2026/08/20/run.json", "{}\n")], "path string, document string")
+    made = {r.path: r for r in contracts.write_documents(rows, "path", "document").collect()}
+    assert len(made) == 4 and not list(tmp_path.rglob("*.part"))
+    assert [r.date for r in contracts.days_below(spark, root).collect()] == ["2026-08-22", "2026-08-21"]
+    for r in contracts.digests(spark, f"{root}/2026", piece=3).collect():
+        assert r.sha256 == hashlib.sha256(open(r.path.removeprefix("file:"), "rb").read()).hexdigest()
+    row = spark.createDataFrame([tuple(["v", "m", True, False, 0.9, 0.8, 20, "2026-08-22", "c", "r", "confirmed", "d"])], contracts.schema("validation"))
+    contracts.append_csv(row, "validation", str(tmp_path / "s.csv"))
+    assert contracts.read_header(spark, str(tmp_path / "s.csv")) == contracts.schema("validation").names
+
+
+def test_settings_of_a_folder(spark, tmp_path):
+    import hashlib
+
+    from siltline import config
+
+    for n in ("app.json", "sources.json", "taxonomy.json", "watchlist.json"):
+        (tmp_path / n).write_text('{"search": {"limit": 3}}' if n == "app.json" else '{"x": "é"}')
+    settings, files, digests = config.load_folder(spark, str(tmp_path))
+    assert settings.search.limit == 3 and files["sources.json"] == {"x": "é"}
+    assert digests == tuple((n, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in sorted(files))
+    (tmp_path / "taxonomy.json").unlink()
+    with pytest.raises(Exception, match="(?i)exist"):
+        config.load_folder(spark, str(tmp_path))
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    from siltline.functions import vectors as V
+
+    df = spark.createDataFrame([([1.0, 2.0], [3.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        df.select(V.dot(F.col("a"), F.col("b"))).collect()
+    assert spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), (None, [1.0])], "a array<double>, b array<double>").select(V.dot(F.col("a"), F.col("b")).alias("x")).collect()[0].x == 11.0
+
+
+def test_spellings_and_addresses(spark):
+    from siltline.sources import completions
+
+    assert completions.sampling_spelling(0, 0.95, 7, 400, True) == "temperature=0.0000;top_p=0.9500;seed=7;max_output_tokens=400;thinking=on"
+    answers = spark.createDataFrame([("a", "93.184.216.34"), ("a", "10.0.0.1"), ("b", "2606:2800:220:1::1"), ("c", None)], "host string, address string")
+    assert {r.host: r.public for r in articles.resolves_to_public(answers).collect()} == {"a": False, "b": True, "c": False}

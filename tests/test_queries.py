@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from siltline.plans.oracles import oracle_sql
-from siltline.plans.queries import queries
+from siltline.plans import oracles, queries, stages, stages_sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, SQL = queries.queries() | stages.queries(), oracles.oracle_sql() | stages_sql.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
 
@@ -30,13 +30,13 @@ def plain(v):
     return v if isinstance(v, int | bool | str) or v is None else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=str)
-    if name in oracle_sql():
-        want = duck.sql(oracle_sql()[name])
+    if name in SQL:
+        want = duck.sql(SQL[name])
         assert sorted(want.columns) == columns
         quoted = ", ".join(f'"{c}"' for c in columns)
-        assert rows == sorted((tuple(map(plain, r)) for r in duck.sql(f"SELECT {quoted} FROM ({oracle_sql()[name]})").fetchall()), key=str)
+        assert rows == sorted((tuple(map(plain, r)) for r in duck.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall()), key=str)
