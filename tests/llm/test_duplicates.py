@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltline.llm.graph import components
 from siltline.llm.minhash import near_duplicates
-from siltline.llm.top_k import top_k
+from siltline.llm.top_k import BASE, CoverTree, top_k
 from siltline.llm.vector_dups import near_vectors, retained_for
 
 from .conftest import prose
@@ -146,3 +146,53 @@ def test_top_k_is_exact(spark, blocks):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, out.itertuples(index=False))) == want
     assert top_k(df.where("false"), "vec_id", "embedding", F.col("id") % 10 == 0).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [5.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 2.0]), (None, [9.0, 9.0]), (3, [-1.0, -2.5])]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") == 0, 3)
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(0, 1, 2, 64 * 128 + 128 * 128), (0, 2, 1, 64 * 320), (0, 3, 1, 64 * 32 + 128 * 32)]
+    fits = [(0, [2.0**30, 1.0]), (1, [2.0**19, 3.0]), (2, [2.0**19, 2.0]), (3, [2.0**19, 3.0 + 2**-6])]
+    out = top_k(spark.createDataFrame(fits, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") == 0, 3)
+    assert [(r.vec_id, r.score) for r in out.orderBy("rank").collect()] == [(3, 2**61 + 64 * 193), (1, 2**61 + 64 * 192), (2, 2**61 + 64 * 128)]
+    with pytest.raises(Exception, match="fit a long"):
+        top_k(spark.createDataFrame([(0, [1e20, 0.0]), (1, [1e20, 0.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") == 0, 3).collect()
+
+
+def test_cover_trees_cover_nest_and_separate():
+    rng = np.random.default_rng(4)
+    middles = rng.uniform(-100, 100, (40, 3))
+    points = np.concatenate([middles[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 3)), np.zeros((50, 3))])
+    tree = CoverTree(points, 16)
+    assert (tree.child[:, 1] > 0).sum() > 20 and sorted(tree.order) == list(range(len(points)))
+    for node, ((a, b), (first, n)) in enumerate(zip(tree.span, tree.child, strict=True)):
+        far = np.sqrt(((tree.points[a:b] - tree.centre[node]) ** 2).sum(1))
+        assert far.max() <= tree.radius[node] + 1e-9 and (tree.radius[node] == 0 or tree.radius[node] <= BASE ** tree.level[node] * (1 + 1e-6))
+        if n:
+            own = tree.centre[first : first + n]
+            gaps = np.sqrt(((own[:, None] - own[None]) ** 2).sum(2)) + np.eye(n) * 1e9
+            assert gaps.min() > BASE ** (tree.level[node] - 1) and (own == tree.centre[node]).all(1).any()
+            assert (tree.radius[first : first + n] <= BASE ** (tree.level[node] - 1) * (1 + 1e-9)).all()
+            assert [tuple(x) for x in tree.span[first : first + n]][0][0] == a and tree.span[first + n - 1][1] == b
+
+
+def test_far_blocks_are_not_met(spark, monkeypatch):
+    """Groups far apart: after the first meeting no other pair of blocks can hold an answer."""
+    from siltline.llm import top_k as module
+
+    rng = np.random.default_rng(8)
+    middles = np.eye(6) * 1000
+    rows = [(i, (middles[i % 6] + rng.standard_normal(6)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept, real = {}, module.saved
+    monkeypatch.setattr(module, "saved", lambda table, name: kept.setdefault(name, []).append(real(table, name)) or kept[name][-1])
+    out = top_k(df, "vec_id", "embedding", F.col("id") % 20 == 0, 5, 64.0, 50, 100, 2)
+    got = sorted(tuple(r) for r in out.collect())
+    x = np.floor(64 * np.array([v for _, v in rows]))
+    want = []
+    for q in range(0, 1200, 20):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(1200) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+    all_pairs = kept["query-table"][0].count() * kept["candidate-table"][0].count()
+    assert sum(t.count() for t in kept["block-pairs"]) < all_pairs / 2
