@@ -31,14 +31,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + root if root.startswith("/") else root
-    return f"{root.rstrip('/')}/siltline/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/siltline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes what this application's operators wrote between their steps; results that are not yet used go with it."""
+    remove(spark, shared_folder(spark, "x").rpartition("/")[0])
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.siltline_path = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of saved() that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.siltline_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +74,11 @@ def fold(bucket_column: str, modulus: int) -> Column:
     return F.crc32(F.col(bucket_column).cast("string").cast("binary")) % modulus
 
 
+def held_out(bucket_column: str, modulus: int, remainder: int) -> Column:
+    """Whether an id belongs to the rows held out; a null id does not."""
+    return F.coalesce(fold(bucket_column, modulus) == remainder, F.lit(False))
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 

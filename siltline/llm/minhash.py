@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.llm.blocks import block_pairs, cells
-from siltline.llm.common import BROADCAST_IDS, WordHashes, binary_list, bounded_batches, saved, shingle_hashes, text_bytes, thrifty, words_of
+from siltline.llm.common import BROADCAST_IDS, WordHashes, binary_list, bounded_batches, discard, saved, shingle_hashes, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
 #: Values of a sketch, and share of its values that a set below K shares at least with one of similarity 0.75.
@@ -166,14 +166,21 @@ def cross_pairs(members: DataFrame, percent: int, block: int = 1024, columns: in
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable), kept.
 
-    Null and empty texts have no shingles and link with nothing. Repeated rows are returned each.
+    Null and empty texts have no shingles and link with nothing. Repeated rows are returned each. Of an id
+    with several texts the smallest, by its bytes, links for all its rows; each row has its own size.
     A row whose id is null takes the component of its copies, if they have ids, and links no others;
     it is kept only where it has none.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("t"))
-    rows = saved(shingle_sets(texts, width, k), "sketches")
-    reps = saved(rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
+    several = saved(texts.where("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("t")).alias("a"), F.max(F.xxhash64("t")).alias("b")).where("a <> b").select("id"), "ids-of-several-texts")
+    rows = linking = saved(shingle_sets(texts, width, k), "sketches")
+    again = several.count()
+    if again:
+        few = F.broadcast(several) if again <= BROADCAST_IDS else several
+        texts = texts.join(few, "id", "left_anti").unionByName(texts.join(few, "id").groupBy("id").agg(F.min("t").alias("t")))
+        linking = saved(shingle_sets(texts, width, k), "linking-sketches")
+    reps = saved(linking.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
 
     entries = reps.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     shared = saved(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
@@ -189,6 +196,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     tried = saved(estimated(star.where(near_in_size(percent)).distinct(), reps, k, percent), "star-pairs")
     links = saved(verified(tried, texts, width, percent), "star-links")
     first = saved(components(links), "star-components")
+    discard(shared, centre)
 
     members = lists.join(first, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("component"))
     members = saved(members, "members")
@@ -205,5 +213,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percen
     named = reps.where("copies > 1").select("digest", "id").union(reps.join(whole.select("id"), "id", "left_semi").select("digest", "id")).distinct()
     named = saved(named.join(whole, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
     out = rows.select("id", "n", "digest").join(named, "digest", "left")
+    if again:
+        own = linking.join(few, "id").join(named, "digest", "left").select("id", F.coalesce("component", "id").alias("own"))
+        out = out.join(own, "id", "left").withColumn("component", F.coalesce("own", "component"))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm.common import fold, table
+from siltline.llm.common import fold, held_out, table
 from siltline.llm.wordbpe import vocabulary_path
 
 
@@ -57,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = learn_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", fold("k", 5) != 0)
     scored = score_toxicity(docs, "text", net, ["doc_id"])
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crf = train_quality(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", fold("k", 4) != 2)
     scored = score_quality(docs, "text", crf, ["doc_id"])
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.lm import score_texts
 
     scored = score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", fold("k", 5) != 1)
-    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

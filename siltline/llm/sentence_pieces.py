@@ -7,7 +7,11 @@ is rebuilt with byte fallback. White space becomes the metaspace sign, with one
 No piece holds a metaspace after another sign (checked when the model is read), so nothing joins
 across the start of a run of spaces: a text is cut there, each different chunk is encoded once, in
 multithreaded batches, and its ids are reused. A model for which this does not hold encodes whole
-texts. Null and empty texts have no ids and decode to the empty text.
+texts. A metaspace sign in a text counts as a space, as the library has it. Model settings that are not
+carried over (suffix spaces, unescaped spaces, pieces of the user in BPE) are an error.
+
+Null and empty texts have no ids and decode to the empty text. Repeated rows and rows without an id are
+encoded each for itself. Very long texts are encoded whole, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -65,7 +69,6 @@ class PieceModel:
     charsmap: bytes
     dummy_prefix: bool
     squeeze: bool
-    escape: bool
 
     @staticmethod
     def parse(raw: bytes) -> PieceModel:
@@ -79,8 +82,10 @@ class PieceModel:
                 trainer = dict(fields(value))
             elif number == 3:
                 normaliser = dict(fields(value))
+        if trainer.get(24, 0) or not normaliser.get(5, 1) or (trainer.get(3, UNIGRAM) == BPE and any(kind == USER for _, _, kind in pieces)):
+            raise ValueError("suffix spaces, unescaped spaces and pieces of the user in BPE are not carried over")
         unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        return PieceModel(pieces, trainer.get(3, UNIGRAM), unknown, bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)))
+        return PieceModel(pieces, trainer.get(3, UNIGRAM), unknown, bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)))
 
     def crosses(self) -> bool:
         """Whether some piece goes on with a metaspace after another sign."""
@@ -108,7 +113,7 @@ class PieceModel:
         if self.squeeze:
             from tokenizers import Regex
 
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         return normalizers.Sequence(steps) if steps else None
 
 
@@ -133,7 +138,7 @@ class PieceCodec(dict):
         """Normalised text, with the dummy space before it; spaces stand for metaspaces."""
         if self.normaliser is not None:
             text = self.normaliser.normalize_str(text.decode("utf-8", "replace")).encode()
-        return b" " + text if text and self.model.dummy_prefix else text
+        return (b" " + text if text and self.model.dummy_prefix else text).replace(SPACE.encode(), b" ")
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's number of ids."""

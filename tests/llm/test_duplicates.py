@@ -60,6 +60,16 @@ def test_near_duplicates_of_awkward_rows(docs, awkward):
     assert near_duplicates(docs.where("false"), "doc_id", "text").count() == 0
 
 
+def test_ids_of_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    low, high = sorted((a, b), key=lambda t: t.encode())
+    rows = [(5, low), (5, high), (2, high), (7, low), (9, c), (5, None), (9, c)]
+    out = near_duplicates(spark.createDataFrame([(i, t if t is not None else low) if i == 5 else (i, t) for i, t in rows], "doc_id long, text string"), "doc_id", "text").toPandas()
+    got = sorted(set(zip(out.doc_id, out.component_id, out.kept, strict=True)))
+    assert got == [(2, 2, True), (5, 5, True), (7, 5, False), (9, 9, True)] and len(out) == 7
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_copies_at_the_threshold_and_shared_passages(spark, seed):
     """A template's many variants, some not near to one another; a passage that many texts share; exact copies."""

@@ -18,9 +18,21 @@ PIECES = vocabulary_path("piece_bpe_32k.model")
 
 def test_parity_with_the_library(awkward):
     texts = [t or "" for _, t in awkward] + ["  a  b ", "\t\n x", "<s> </s> <unk>", "日本語 😀 \x00 ß", "a" * 60, "trail  ", "<0x0A>", "x" + " " * 40 + "y"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("ab \u2581\n\té日") for _ in range(rng.randrange(12))) for _ in range(3000)]
     assert parity(PIECES, texts) == []
 
 
+def test_settings_that_are_not_carried_over():
+    text = lambda number, raw: bytes([number << 3 | 2, len(raw)]) + raw
+    piece = text(1, text(1, b"a") + b"\x18\x01")
+    assert PieceModel.parse(piece).pieces == [("a", 0.0, 1)]
+    suffix, escape, user = text(2, b"\xc0\x01\x01"), text(3, b"\x28\x00"), text(1, text(1, b"u") + b"\x18\x04") + text(2, b"\x18\x02")
+    for bad in (suffix, escape, user):
+        with pytest.raises(ValueError, match="carried"):
+            PieceModel.parse(piece + bad)
+
+
 def test_round_trips(docs, awkward):
     out = round_trips(docs, "doc_id", "text", PIECES).toPandas()
     assert len(out) == len(awkward) and out.same.all()
@@ -30,7 +42,7 @@ def test_round_trips(docs, awkward):
 
 
 def test_unigram_models_and_bad_bytes():
-    model = PieceModel([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("▁", -3.0, 1)], 1, 0, False, b"", True, False, True)
+    model = PieceModel([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("▁", -3.0, 1)], 1, 0, False, b"", True, False)
     assert model.tokenizer().encode("▁ab", add_special_tokens=False).ids == [1, 2] and not model.crosses()
     own = codec(PIECES)
     broken = np.array([i for i, p in enumerate(own.model.pieces) if p[0] == "<0xE9>"])
