@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a word, a sentence end, a number and a capitalised run; measured rows must stay comparable.
 WORD = r"[A-Za-z0-9][A-Za-z0-9'.,-]*"
 SENTENCE = r"(?<=[.!?])\s+"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltline.operators.quantiles import medians
+
 BANDS = ("high", "medium", "low")
 STAGES = ("fetch_ms", "extract_ms", "summarize_ms", "score_ms")
 
@@ -19,8 +21,9 @@ def bands_by_date(rows: DataFrame) -> DataFrame:
 
 def console_days(rows: DataFrame) -> DataFrame:
     """Per date: rows, exact medians of the stages (what is no number counts as 0), mean score, bands."""
-    medians = [F.median(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in STAGES]
-    return rows.groupBy("date").agg(F.count("*").alias("items"), *medians, F.bround(F.avg("hhem"), 6).alias("mean_hhem"), *band_counts())
+    filled = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in STAGES})
+    counted = rows.groupBy("date").agg(F.count("*").alias("items"), F.bround(F.avg("hhem"), 6).alias("mean_hhem"), *band_counts())
+    return counted.join(medians(filled, ["date"], list(STAGES)), "date")
 
 
 def worst_stage(days: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltline.operators.quantiles import running
+
 
 def nearest_rank(ordered: Column, fraction: float) -> Column:
     """The value at round_half_even(f * (n - 1)) of a sorted array; 0 if it is empty."""
@@ -12,16 +14,10 @@ def nearest_rank(ordered: Column, fraction: float) -> Column:
 
 
 def percentiles(rows: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles from the histogram of values: places are found by running counts, no value list is gathered.
-
-    The histogram has a row per different value; its running count takes one more pass over these.
-    """
-    from pyspark.sql import Window
-
+    """Nearest-rank percentiles from the histogram of values: places are found by running counts, no value list is gathered."""
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
     total = counts.agg(F.sum("n").alias("total"))
-    places = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))  # one row
+    places = running(counts, [], "v").crossJoin(F.broadcast(total))  # one row
     picks = []
     for name, f in fractions.items():
         place = F.least(F.bround(F.lit(f) * (F.col("total") - 1), 0), F.col("total") - 1)

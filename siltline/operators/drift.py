@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltline.config import Drift
+from siltline.operators.quantiles import medians
 
 WINDOW = ("words", "extractiveness", "hhem")
 
 
 def by_domain(rows: DataFrame, suffix: str) -> DataFrame:
     """Exact medians of a window by domain."""
-    return rows.groupBy("domain").agg(*[F.median(c).alias(f"{c}_{suffix}") for c in WINDOW])
+    return medians(rows, ["domain"], list(WINDOW)).select("domain", *[F.col(c).alias(f"{c}_{suffix}") for c in WINDOW])
 
 
 def compare(recent: DataFrame, baseline: DataFrame, config: Drift = Drift()) -> DataFrame:

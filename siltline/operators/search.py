@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.config import Search
@@ -28,3 +30,36 @@ def rank(items: DataFrame, query: Column, vector: str, date: str, key: str, conf
     score = F.bround(V.dot(F.col(vector), query), 6)
     hits = items.withColumn("score", score).where(F.col("score") >= config.min_score)
     return hits.orderBy(F.desc("score"), F.desc(date), F.asc(key)).limit(config.limit)
+
+
+def rank_each(items: DataFrame, queries: DataFrame, vector: str, date: str, key: str, query: str, config: Search = Search(), query_block: int = 1024, item_block: int = 1 << 16) -> DataFrame:
+    """query, place and the best items (key, date, score) of each query, in the order of rank().
+
+    Queries and items are dealt into blocks, and every block of queries meets every block of items in a
+    group of bounded size, which gives the best of each of its queries. Vectors of another length than a
+    query's are an error.
+    """
+    blocks, lanes = (max(1, -(-rows.count() // size)) for rows, size in ((queries, query_block), (items, item_block)))
+    place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    text = F.lit(None).cast("string")
+    asked = queries.select(place(query, blocks).alias("block"), every(lanes).alias("lane"), F.col(query).cast("string").alias("q"), text.alias("date"), text.alias("key"), F.col(vector).cast("array<double>").alias("x"))
+    met = items.select(every(blocks).alias("block"), place(key, lanes).alias("lane"), text.alias("q"), F.col(date).alias("date"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs, found = group[group["q"].notna()], group[group["q"].isna()], []
+        if len(ours) and len(theirs):
+            if len({*map(len, ours["x"]), *map(len, theirs["x"])}) > 1:
+                raise ValueError("vectors of different lengths")
+            scores = np.round(np.stack(theirs["x"].tolist()) @ np.stack(ours["x"].tolist()).T, 6)
+            for j, name in enumerate(ours["q"]):
+                own = scores[:, j]
+                least = max(config.min_score, -np.partition(-own, config.limit - 1)[config.limit - 1] if len(own) > config.limit else -np.inf)
+                hits = np.flatnonzero(own >= least)
+                part = pd.DataFrame({"q": name, "key": theirs["key"].to_numpy()[hits], "date": theirs["date"].to_numpy()[hits], "score": own[hits]})
+                found.append(part.sort_values(["score", "date", "key"], ascending=[False, False, True]).head(config.limit))
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "key": [], "date": [], "score": []})
+
+    hits = asked.unionByName(met).where("x IS NOT NULL").groupBy("block", "lane").applyInPandas(best, "q string, key string, date string, score double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("date"), "key"))
+    return hits.withColumn("place", nth).where(F.col("place") <= config.limit).select(F.col("q").alias(query), "place", F.col("key").alias(key), F.col("date").alias(date), "score")

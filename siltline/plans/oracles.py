@@ -142,6 +142,29 @@ MEDIANS = ", ".join(f"median({c}) AS {c}" for c in ("fetch_ms", "extract_ms", "s
 COUNTS = ", ".join(f"count(*) FILTER (band = '{b}') AS {b}" for b in ("high", "medium", "low"))
 
 
+COSTS = """WITH x AS (SELECT 'm' || l_suppkey % 3 AS model, l_linenumber * 700 AS size, l_orderkey * 10 + l_linenumber AS seq, max(l_quantity + 1) AS v FROM lineitem GROUP BY 1, 2, 3),
+p AS (SELECT model, size, arg_max(v, seq) AS speed FROM x GROUP BY 1, 2), d AS (SELECT model, min(speed) AS decode FROM p GROUP BY 1),
+w AS (SELECT model, decode, share, o, CAST(trunc(words * 1.3::DOUBLE) AS INTEGER) + 300 AS tokens FROM d, (VALUES (411, 0.5::DOUBLE, 150), (1546, 0.25::DOUBLE, 200), (2769, 0.25::DOUBLE, 250)) b(words, share, o)),
+n AS (SELECT w.*, max(size) FILTER (size <= tokens) AS s0, arg_max(speed, size) FILTER (size <= tokens) AS v0, min(size) FILTER (size >= tokens) AS s1, arg_min(speed, size) FILTER (size >= tokens) AS v1 FROM w JOIN p USING (model) GROUP BY ALL),
+t AS (SELECT model, sum(share * (tokens / CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s0 = s1 THEN v0 ELSE v0 + (tokens - s0) / CAST(s1 - s0 AS DOUBLE) * (v1 - v0) END + o / decode)) AS b FROM n GROUP BY 1)
+SELECT model, round_even(b, 6) AS blended_seconds, round_even(b * 17, 6) AS serial_seconds, round_even(b * 5, 6) AS fanout_seconds FROM t"""
+#: Unicode white space, and what makes a word, for RE2, whose classes are ASCII.
+WHITE, WORDY = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", r"\p{L}\p{M}\p{N}_"
+
+
+def sanitized(t: str) -> str:
+    """What a stranger's text loses, step by step; a word's start is told by the sign before it."""
+    steps = [
+        (r"(?s)<!--.*?-->", " "), (r"[\x{ad}\x{200b}-\x{200f}\x{2028}\x{2029}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}\x{e0000}-\x{e007f}]", ""), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", " "),
+        (r"(?im)<\|[^|>\n]{0,64}\|>|\[/?INST\]|<</?SYS>>|^[ \t]*#{2,}[ \t]*(?:system|assistant|user)[ \t]*:", " "), (r"(?i)<<<UNTRUSTED_SOURCE_TEXT>>>|<<<END_UNTRUSTED_SOURCE_TEXT>>>", " "),
+        (rf"(?i)(^|[^{WORDY}])(?:https?://|www\.|data:)[^{WHITE}<>\"'']+", r"\1[link]"), (rf"(^|[^{WORDY}])[A-Za-z0-9][A-Za-z0-9+/]{{39,}}={{0,2}}", r"\1[omitted]"), (rf"[\t\r\f {WHITE.removeprefix(chr(92) + 's')}]+", " "),
+        (" *\n *", "\n"), ("\n{3,}", "\n\n"), (rf"^[{WHITE}]+|[{WHITE}]+$", ""),
+    ]
+    for pattern, by in steps:
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return t
+
+
 def oracle_sql() -> dict[str, str]:
     plan = f"WITH {CANDIDATES} "
     pairs = f"WITH {PAIRS} "
@@ -186,7 +209,11 @@ def oracle_sql() -> dict[str, str]:
         "digest_append": plan + f", n AS (SELECT day, item_id, vertical, ordinal, {position} AS p FROM plan), u AS (SELECT day, item_id, vertical, 0 AS part, p, 1 AS introduced_by_run FROM n WHERE ordinal <= 2 UNION ALL SELECT day, item_id, vertical, 1, p, 2 FROM n WHERE ordinal > 2) SELECT day, item_id, vertical, introduced_by_run, CAST(row_number() OVER (PARTITION BY day ORDER BY part, p) AS INTEGER) AS position FROM u",
         "run_manifest": plan + ", s AS (SELECT day, CASE WHEN carried_by > 1 THEN 'ok' WHEN tier = 3 THEN 'skipped' ELSE 'failed' END AS status, 'fp-' || tier AS f FROM plan) SELECT day, day || '-1' AS run_id, 1 AS n, CASE WHEN any_value(partial) THEN 'partial' ELSE 'completed' END AS status, count(*) AS items_planned, count(*) FILTER (s.status = 'ok') AS items_succeeded, count(*) FILTER (s.status = 'failed') AS items_failed, count(*) FILTER (s.status = 'skipped') AS items_skipped, array_to_string(list_sort(list(DISTINCT f)), ',') AS fingerprints FROM s JOIN counters USING (day) GROUP BY day",
         "vertical_counts": plan + 'SELECT day, vertical, count(*) AS "count" FROM pub GROUP BY 1, 2',
-        "search_topk": "SELECT 'item-' || lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS item_id, '2026-08-' || lpad(CAST(e.vec_id % 28 + 1 AS VARCHAR), 2, '0') AS date, round_even(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE round_even(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) >= 0.2 ORDER BY score DESC, date DESC, item_id LIMIT 10",
+        "search_topk": "WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS vec_id, 'item-' || lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS item_id, '2026-08-' || lpad(CAST(e.vec_id % 28 + 1 AS VARCHAR), 2, '0') AS date, round_even(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, date DESC, item_id) AS INTEGER) AS place FROM s WHERE score >= 0.2) SELECT * FROM r WHERE place <= 10",
+        "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
+        "stream_deduplicated": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
+        "cost_report": COSTS,
+        "sanitize_text": f"SELECT page_id, md5({sanitized('html')}) AS md5, CAST(length({sanitized('html')}) AS INTEGER) AS length FROM pages",
         "vector_roundtrip": "WITH b AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(round_even(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 127, 0) AS INTEGER)) AS v FROM embeddings) SELECT vec_id, base64(unhex(array_to_string(list_transform(v, lambda x: lpad(hex(CAST((x + 256) % 256 AS INTEGER)), 2, '0')), ''))) AS text, round_even(list_dot_product(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS kept FROM b",
         "chunk_windows": f"WITH w AS (SELECT doc_id, {split_words('text')} AS s FROM documents), c AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN [] WHEN len(s) <= 900 THEN [s] ELSE list_transform(generate_series(0, len(s) - 1, 750), lambda i: s[i+1:i+900]) END AS x FROM w) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, CAST(len(w) AS INTEGER) AS words, md5(array_to_string(w, ' ')) AS md5 FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM c)",
         "truncate_tokens": f"WITH w AS (SELECT doc_id, text, {split_words('text')} AS s FROM documents) SELECT doc_id, len(s) > 384 AS truncated, CAST(least(len(s), 384) AS INTEGER) AS kept_words, md5(CASE WHEN len(s) > 384 THEN array_to_string(s[1:384], ' ') ELSE text END) AS md5 FROM w",

@@ -268,10 +268,10 @@ def vertical_counts(spark, sf):
 
 
 def search_topk(spark, sf):
+    """Every vector whose number is divisible by 100 asks all."""
     rows = S.table(spark, sf, "embeddings")
-    query = rows.where("vec_id = 0").select("embedding").first()[0]
     items = rows.select(F.format_string("item-%06d", "vec_id").alias("item_id"), S.day(F.col("vec_id")).alias("date"), "embedding")
-    return search.rank(items, F.array(*map(F.lit, query)), "embedding", "date", "item_id").select("item_id", "date", "score")
+    return search.rank_each(items, rows.where("vec_id % 100 = 0").select("vec_id", "embedding"), "embedding", "date", "item_id", "vec_id")
 
 
 def vector_roundtrip(spark, sf):
@@ -348,6 +348,25 @@ def integrity_violations(spark, sf):
     return checks.violations(checks.check_plan(plan), checks.check_articles(docs, "key"), checks.check_eval(_evals(spark, sf), "doc_id"), checks.repeated(S.table(spark, sf, "orders"), "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"], "one order of a kind"))
 
 
+def event_sessions(spark, sf):
+    """Events of each user that lie less than an hour apart."""
+    from siltline.streaming.append import sessions
+
+    rows = sessions(S.table(spark, sf, "events"), "ts", "user_id", "1 hour")
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+def stream_deduplicated(spark, sf):
+    """Events streamed; of each user and type the first within the watermark's day or more passes: as many keys as the table has."""
+    from siltline.sources.shared import shared_folder
+    from siltline.streaming.append import deduplicated
+
+    path, state = shared_folder(spark, "stream-first"), shared_folder(spark, "stream-state")
+    stream = spark.readStream.schema(S.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet").withColumns({"key": F.concat_ws("/", "user_id", "event_type"), "ts": F.col("ts").cast("timestamp")})
+    deduplicated(stream, "key", "ts", "3650 days").select("key").writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string").parquet(path)
+
+
 def event_windows(spark, sf):
     from siltline.streaming.append import window_counts
 
@@ -414,7 +433,7 @@ QUERIES: tuple[Query, ...] = (
     plan_day, vertical_plan, shard_assignment, visual_ordinals, url_canonical, url_dedupe, url_dialable, host_rollup, word_counts, lead_text, compression, extractiveness, verbatim_run, unsupported_numbers, hedge_dropped, lead_coverage, entities,
     counterweight_band, eval_row, chunk_scores, band_edges, band_by_date, console_day, console_worst, archive_days, day_notice, day_paging, latest_date, corpus_shape, boilerplate_ratio, cost_report, drift_alerts, extraction_rot, validation_decide,
     fingerprint_classify, ledger_append, digest_append, run_manifest, vertical_counts, search_topk, vector_roundtrip, chunk_windows, truncate_tokens, text_filter, status_classify, retention_report, sanitize_text, page_text, numeric_facts,
-    same_unit_bars, integrity_violations, event_windows, summary_gate, fetch_outcome, route_decide, stream_append, assembled_items,
+    same_unit_bars, integrity_violations, event_windows, event_sessions, stream_deduplicated, summary_gate, fetch_outcome, route_decide, stream_append, assembled_items,
 )
 
 

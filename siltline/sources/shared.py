@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     root = "file://" + root if root.startswith("/") else root
     return f"{root.rstrip('/')}/siltline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a shared folder and read again: what comes after does not depend on lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
