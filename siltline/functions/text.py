@@ -82,7 +82,7 @@ def lead(text: Column, n: int = LEAD_SENTENCES) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words in lower case without full stops and commas at their ends."""
-    return F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"^[.,]+|[.,]+$", ""))
+    return F.transform(words(text), lambda w: F.btrim(F.lower(w), F.lit(".,")))
 
 
 def ratio(a: Column, b: Column) -> Column:
