@@ -4,10 +4,12 @@ Texts are cut into full pieces of the capacity and one remainder. Only the histo
 lengths (at most ``capacity`` bins) is packed, on the driver: lengths are placed longest first
 into the open pattern with most room, patterns carry counts, and a pattern stands for as many
 equal sequences. The patterns are then joined back to the pieces by each piece's rank among
-those of its length. What is broadcast depends on the number of bins, never on the rows.
+those of its length. The plan that tasks get depends on the number of bins, never on the rows. The
+table of rank bases has a row for each task and length; it is joined as the engine sees fit, by
+broadcast while it is small.
 
-Cuts are free, so what a length cannot fill whole is cut: see ``pack_histogram``.
-Null and empty texts hold the end id alone; rows with equal ids are packed each for itself.
+Null and empty texts hold the end id alone; rows with equal ids, or with none, are packed each for
+itself. A very long text is encoded in one task and cut into full pieces and one rest.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ lines' forward-backward marginals of "good", weighted by line length, mapped to
 a logistic curve fitted on the learning documents.
 
 Learning reads a bounded sample of labelled documents (``most`` of them, the smallest hashes of
-their ids); scoring reads every text whole. Null and empty texts are one line of length zero.
-Repeated rows are scored each for itself; a document whose labels disagree is left out of learning.
+their ids, and about ``most_bytes`` of text); scoring reads every text whole, a very long one line by
+line in one task. Null and empty texts are one line of length zero. Repeated rows and rows without an
+id are scored each for itself; these teach nothing, nor does a document whose labels disagree.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,22 +177,26 @@ def quality_scores(texts: list[bytes], crf: LineCrf) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(crf.curve[0] * raw_quality(texts, crf) + crf.curve[1], -30, 30)))
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: Column, most: int, bytes_each: int | None = None) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``most`` documents: those with the smallest hash of the id.
-
-    The hash bound is set from the count of labelled ids, so only the chosen texts leave the scan.
-    """
-    marks = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
-    marks = marks.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y").where(keep)
-    chosen = marks.orderBy(F.xxhash64("k"), "k").limit(most)
+def learning_sample(docs: DataFrame, chosen: DataFrame, key: str, text: str, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of the documents ``chosen`` (k, y): ``most`` rows and about ``most_bytes`` bytes of text, in order of the id's hash."""
     rows = docs.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = rows.select("t", "y").orderBy(F.xxhash64("k"), "k").limit(most).toPandas()
+    first = rows.select("k", "t", "y", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(most)
+    before = Window.orderBy("h", "k").rowsBetween(Window.unboundedPreceding, -1)  # ``most`` rows
+    kept = first.withColumn("before", F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0))).where(F.col("before") < most_bytes)
+    rows = kept.select("t", "y").toPandas()
     return list(rows["t"]), rows["y"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: Column, most: int = 2500) -> LineCrf:
+def agreed_labels(labels: DataFrame, key: str, label: str, keep: Column) -> DataFrame:
+    """(k, y) of the ids whose labels all agree and that ``keep``, a condition on k, lets through."""
+    marks = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
+    return marks.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y").where(keep)
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: Column, most: int = 2500, most_bytes: int = 64 << 20) -> LineCrf:
     """``keep`` is a condition on the id, called k. Without both labels the model scores all alike."""
-    texts, marks = learning_sample(docs, labels, key, text, label, keep, most)
+    chosen = agreed_labels(labels, key, label, keep).orderBy(F.xxhash64("k"), "k").limit(most)
+    texts, marks = learning_sample(docs, chosen, key, text, most, most_bytes)
     if len(set(marks.tolist())) < 2:
         share = float(np.clip(marks.mean() if len(marks) else 0.5, 0.05, 0.95))
         return LineCrf(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), (1.0, float(np.log(share / (1 - share)))))

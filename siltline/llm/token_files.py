@@ -8,7 +8,8 @@ and number of ids, so a reader finds and decompresses only the frames of the row
 
 A frame's content is the ids of whole rows as little-endian unsigned 32-bit integers. Rows lie in
 ascending order of their key over all files; a null key comes first and reads back as null; rows
-with equal keys keep an order fixed by their text. Null and empty texts hold the end id alone.
+with equal keys keep an order fixed by their text. Null and empty texts hold the end id alone; a very long
+text is a frame of its own, however many ids it has. No rows give no files.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ window. A text's score is that of its worst window, mapped to a probability by a
 Only documents carry labels, so a toxic document teaches through its worst window, chosen anew in
 each round (at first by log-odds of its n-grams), a clean one through its worst and random ones.
 Learning reads a bounded sample of labelled documents (``most`` of each label, the smallest hashes
-of their ids); scoring reads every text whole. Null and empty texts are one window of no words.
-Repeated rows are scored each for itself; a document whose labels disagree is left out of learning.
+of their ids, and about ``most_bytes`` of text); scoring reads every text whole, a very long one in many
+windows in one task. Null and empty texts are one window of no words. Repeated rows and rows without an
+id are scored each for itself; these teach nothing, nor does a document whose labels disagree.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.llm.common import bounded_batches, bytes_of, ragged, slices, text_bytes, thrifty
-from siltline.llm.quality import fit_curve
+from siltline.llm.common import bounded_batches, bytes_of, ragged, slices, thrifty
+from siltline.llm.quality import agreed_labels, fit_curve, learning_sample
 
 WINDOW, STEP = 32, 24
 BUCKETS = 1 << 15
@@ -375,21 +376,18 @@ def train_toxicity(texts: list[bytes], labels: np.ndarray, rounds: int = 4, pass
     return net
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: Column, most: int = 900) -> BiGru:
-    """``keep`` is a condition on the id, called k; at most ``most`` documents of each label are read."""
-    marks = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
-    marks = marks.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y").where(keep)
+def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: Column, most: int = 900, most_bytes: int = 64 << 20) -> BiGru:
+    """``keep`` is a condition on the id, called k; at most ``most`` documents of each label are read, and about ``most_bytes`` of text."""
+    marks = agreed_labels(labels, key, label, keep)
     some = [marks.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most) for y in (0, 1)]
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).join(F.broadcast(some[0].union(some[1])), "k")
-    rows = rows.select("t", "y").orderBy(F.xxhash64("k"), "k").limit(2 * most).toPandas()
-    marked = rows["y"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
+    texts, marked = learning_sample(docs, some[0].union(some[1]), key, text, 2 * most, most_bytes)
     if len(set(marked.tolist())) < 2:  # nothing to tell apart: every text gets the same score
         net = BiGru.new({})
         share = float(np.clip(marked.mean() if len(marked) else 0.05, 0.05, 0.95))
         net.p["o"][:] = 0
         net.curve = (1.0, float(np.log(share / (1 - share))))
         return net
-    return train_toxicity(list(rows["t"]), marked)
+    return train_toxicity(texts, marked)
 
 
 def score_toxicity(docs: DataFrame, text: str, net: BiGru, keys: list[str], name: str = "score") -> DataFrame:
