@@ -168,6 +168,27 @@ def lead_coverage(summary: Column, source: Column) -> Column:
     return let(F.struct(entities(opening).alias("names"), checkable_numbers(opening).alias("numbers"), F.lower(summary).alias("hay"), checkable_numbers(summary).alias("own")), share)
 
 
+def measures(summary: Column, source: Column) -> Column:
+    """Struct of all measures of a summary against its source; each side is cut into tokens, numbers and sentences once."""
+
+    def made(x: Column) -> Column:
+        own, hay, opening = x["own"], x["hay"], x["opening"]
+        shared = let(ngrams(own), lambda g: ratio(F.size(F.array_intersect(g, ngrams(hay))), F.size(g)))
+        named = F.size(F.filter(x["names"], lambda n: F.lower(x["summary"]).contains(n))) + F.size(F.array_intersect(x["lead_numbers"], x["own_numbers"]))
+        total = F.size(x["names"]) + F.size(x["lead_numbers"])
+        return F.struct(
+            F.when(total == 0, F.lit(1.0)).otherwise(ratio(named, total)).alias("coverage"), ratio(F.size(own), F.size(hay)).alias("compression"), shared.alias("extractiveness"), ratio(longest_run(own, hay), F.size(own)).alias("verbatim_run"),
+            F.size(F.array_except(x["own_numbers"], x["numbers"])).alias("unsupported_numbers"), (opening.rlike(HEDGE) & ~x["summary"].rlike(HEDGE)).alias("hedge_dropped"), F.size(hay).alias("source_word_count"), F.size(own).alias("summary_word_count"),
+        )
+
+    def with_lead(x: Column) -> Column:
+        lead_parts = (entities(x["opening"]).alias("names"), checkable_numbers(x["opening"]).alias("lead_numbers"))
+        return F.struct(*[x[c].alias(c) for c in ("own", "hay", "opening", "own_numbers", "numbers", "summary")], *lead_parts)
+
+    cut = F.struct(tokens(summary).alias("own"), tokens(source).alias("hay"), lead(source).alias("opening"), checkable_numbers(summary).alias("own_numbers"), checkable_numbers(source).alias("numbers"), summary.alias("summary"))
+    return let(let(cut, with_lead), made)
+
+
 def hedge_dropped(summary: Column, source: Column) -> Column:
     return lead(source).rlike(HEDGE) & ~summary.rlike(HEDGE)
 

@@ -25,11 +25,7 @@ def eval_rows(pairs: DataFrame, score: Column, score_full: Column, config: Evalu
     """One row of measures per pair of source_text and summary; other columns are kept."""
     s, d = F.col("summary"), F.col("source_text")
     kept = [c for c in pairs.columns if c not in ("summary", "source_text")]
-    rows = pairs.select(
-        *kept, score.alias("hhem"), score_full.alias("hhem_full"), T.lead_coverage(s, d).alias("coverage"), T.compression(s, d).alias("compression"), T.extractiveness(s, d).alias("extractiveness"),
-        T.verbatim_run(s, d).alias("verbatim_run"), T.unsupported_numbers(s, d).alias("unsupported_numbers"), T.hedge_dropped(s, d).alias("hedge_dropped"),
-        T.word_count(d).alias("source_word_count"), F.size(T.split_words(d)).alias("source_seen_word_count"), T.word_count(s).alias("summary_word_count"),
-    )
+    rows = pairs.select(*kept, score.alias("hhem"), score_full.alias("hhem_full"), T.measures(s, d).alias("m"), F.size(T.split_words(d)).alias("source_seen_word_count")).select("*", "m.*").drop("m")
     delta = F.bround(F.col("hhem") - F.col("hhem_full"), 6)
     return rows.withColumns({"hhem_delta": delta, "truncation_flagged": delta > config.truncation_gap_max, "band": band(F.col("hhem"), F.col("unsupported_numbers"), config)})
 
