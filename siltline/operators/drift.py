@@ -11,14 +11,17 @@ from siltline.operators.quantiles import medians
 WINDOW = ("words", "extractiveness", "hhem")
 
 
-def by_domain(rows: DataFrame, suffix: str) -> DataFrame:
-    """Exact medians of a window by domain."""
-    return medians(rows, ["domain"], list(WINDOW)).select("domain", *[F.col(c).alias(f"{c}_{suffix}") for c in WINDOW])
+def by_domain(recent: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Exact medians of both windows, side by side, of the domains that are in both; one histogram serves both."""
+    marked = [rows.select("domain", *WINDOW, F.lit(name).alias("window")) for rows, name in ((recent, "now"), (baseline, "before"))]
+    found = medians(marked[0].unionByName(marked[1]), ["domain", "window"], list(WINDOW))
+    now, before = (found.where(F.col("window") == name).select("domain", *[F.col(c).alias(f"{c}_{name}") for c in WINDOW]) for name in ("now", "before"))
+    return now.join(before, "domain")
 
 
 def compare(recent: DataFrame, baseline: DataFrame, config: Drift = Drift()) -> DataFrame:
     """domain, alert, detail: every alert the two windows justify; a domain in one window alone is skipped."""
-    both = by_domain(recent, "now").join(by_domain(baseline, "before"), "domain")
+    both = by_domain(recent, baseline)
     shorter = (F.col("words_before") > 0) & (F.col("words_now") < F.col("words_before") * (1 - config.word_count_drop))
     copying = F.col("extractiveness_now") - F.col("extractiveness_before") > config.extractiveness_rise
     held = F.col("hhem_now") >= F.col("hhem_before")
