@@ -6,22 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Signs with a short escape.
-SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+#: Signs with a short escape, beside the quote and the backslash.
+SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
 def quoted(text: Column) -> Column:
-    """A string with quotes; signs beyond ASCII go as UTF-16 escapes."""
+    """A string with quotes; signs beyond ASCII go as UTF-16 escapes. Each different sign is replaced once in the whole text."""
 
     def escaped(c: Column) -> Column:
-        own = F.when(c.between(" ", "~") & ~c.isin('"', "\\"), c)
+        own = F.when(F.lit(False), c)
         for sign, by in SHORT.items():
             own = own.when(c == sign, by)
         return own.otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1"))
 
-    signs = F.filter(F.split(text, ""), lambda c: c != "")
-    inner = F.when(text.rlike(r"^[ !#-\[\]-~]*\z"), text).otherwise(F.array_join(F.transform(signs, escaped), ""))
-    return F.concat(F.lit('"'), inner, F.lit('"'))
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    signs = F.array_distinct(F.regexp_extract_all(text, F.lit("[^ -~]"), F.lit(0)))
+    return F.concat(F.lit('"'), F.aggregate(signs, plain, lambda done, c: F.replace(done, c, escaped(c))), F.lit('"'))
 
 
 def number(value: Column) -> Column:
