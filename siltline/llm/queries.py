@@ -95,13 +95,37 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.conversations import damage_conversations, repair_conversations
+
+    rows = table(spark, sf_dir, "conversations")
+    damaged = damage_conversations(rows, "conv_id", "turn", "role", "text")
+    repaired = repair_conversations(damaged, "conv", "turn", "role", "text", rows.select(F.col("conv_id").alias("conv")))
+    return repaired.withColumnRenamed("conv", "conv_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.fill_middle import fill_in_middle, restore_texts
+
+    done = restore_texts(fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.sharding import interleaved_shards
+
+    return interleaved_shards(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_minhash, op3_sentence_pieces, op4_vector_duplicates, op5_toxicity, op6_top_k, op7_quality, op8_token_files, op9_licenses, op10_language_model]
+    found = [op1_packing, op2_minhash, op3_sentence_pieces, op4_vector_duplicates, op5_toxicity, op6_top_k, op7_quality, op8_token_files, op9_licenses, op10_language_model, op11_conversation_repair, op12_fill_in_middle, op13_sharding]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, tokenise or hash; their tests compare with brute force or round trips."""
+    from siltline.llm.fill_middle import FILL_MIDDLE_SQL
     from siltline.llm.licenses import oracle
 
-    return {"op6_top_k": TOP_K_SQL, "op9_licenses": oracle()}
+    return {"op6_top_k": TOP_K_SQL, "op9_licenses": oracle(), "op12_fill_in_middle": FILL_MIDDLE_SQL}
