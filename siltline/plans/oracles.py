@@ -152,6 +152,13 @@ SELECT model, round_even(b, 6) AS blended_seconds, round_even(b * 17, 6) AS seri
 WHITE, WORDY = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", r"\p{L}\p{M}\p{N}_"
 
 
+def page_lines() -> str:
+    """The given pages' mark-up is known: the blocks of their only article are its main text."""
+    pieces = "string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?p>|<br>|</?h1>')"
+    plain_ = "regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+    return f"array_to_string(list_filter(list_transform({pieces}, lambda p: array_to_string({split_words(plain_)}, ' ')), lambda x: x <> ''), chr(10))"
+
+
 def sanitized(t: str) -> str:
     """What a stranger's text loses, step by step; a word's start is told by the sign before it."""
     steps = [
@@ -213,6 +220,11 @@ def oracle_sql() -> dict[str, str]:
         "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
         "stream_deduplicated": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
         "cost_report": COSTS,
+        "page_text": f"""WITH lines AS (SELECT page_id, {sanitized(page_lines())} AS body FROM pages), counted AS (SELECT *, {split_words('body')} AS s, substr(trim(regexp_replace({sanitized("string_split(body, chr(10))[1]")}, '[{WHITE}]+', ' ', 'g')), 1, 500) AS title FROM lines)
+SELECT page_id, title, CASE WHEN len(s) < 250 THEN 'extract_failed' ELSE 'ok' END AS status, CASE WHEN len(s) < 250 THEN 'only ' || len(s) || ' words extracted; page furniture is short' END AS failure_detail,
+  CASE WHEN len(s) >= 250 THEN CAST(least(len(s), 1923) AS INTEGER) END AS word_count, CASE WHEN len(s) >= 250 THEN CAST(floor(least(len(s), 1923) * 1.3) AS INTEGER) END AS token_count, len(s) > 1923 AS truncated,
+  CASE WHEN len(s) >= 250 THEN md5(CASE WHEN len(s) > 1923 THEN array_to_string(s[1:1923], ' ') ELSE body END) END AS md5
+FROM counted""",
         "sanitize_text": f"SELECT page_id, md5({sanitized('html')}) AS md5, CAST(length({sanitized('html')}) AS INTEGER) AS length FROM pages",
         "vector_roundtrip": "WITH b AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(round_even(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 127, 0) AS INTEGER)) AS v FROM embeddings) SELECT vec_id, base64(unhex(array_to_string(list_transform(v, lambda x: lpad(hex(CAST((x + 256) % 256 AS INTEGER)), 2, '0')), ''))) AS text, round_even(list_dot_product(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 5) AS kept FROM b",
         "chunk_windows": f"WITH w AS (SELECT doc_id, {split_words('text')} AS s FROM documents), c AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN [] WHEN len(s) <= 900 THEN [s] ELSE list_transform(generate_series(0, len(s) - 1, 750), lambda i: s[i+1:i+900]) END AS x FROM w) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, CAST(len(w) AS INTEGER) AS words, md5(array_to_string(w, ' ')) AS md5 FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM c)",

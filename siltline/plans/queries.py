@@ -317,9 +317,9 @@ def sanitize_text(spark, sf):
 
 
 def page_text(spark, sf):
-    from siltline.functions.facts import page_text as extract
+    from siltline.functions.pages import main_text
 
-    rows = S.table(spark, sf, "pages").select("page_id", "url", F.lit("ok").alias("outcome"), extract(F.col("html")).alias("body"))
+    rows = S.table(spark, sf, "pages").select("page_id", "url", F.lit("ok").alias("outcome"), main_text(F.col("html")).alias("body"))
     rows = rows.withColumn("title", T.clean_title(F.substring_index("body", "\n", 1)))
     done = articles.to_articles(rows, F.col("body"))
     return done.select("page_id", "title", "status", "failure_detail", "word_count", "token_count", "truncated", F.md5(F.col("text").cast("binary")).alias("md5"))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltline.config import Collect, Evaluation, TierWeights
-from siltline.functions.facts import numeric_facts, page_text, robots_allows
+from siltline.functions.facts import numeric_facts, robots_allows
+from siltline.functions.pages import main_text
 from siltline.operators import articles, checks, corpus, decide, digest, drift, ledger, rank, retention, route
 from siltline.sources import contracts, feeds
 
@@ -154,7 +155,7 @@ def test_feeds_and_pages(spark):
     got = {(r.source_id, r.canonical_url): (r.title, r.published_at) for r in feeds.candidates(df).collect()}
     assert got == {("f", "https://x.example/a"): ("A & B", "2026-08-22T08:00:00Z"), ("g", "https://y.example/b"): ("T", "2026-08-22T08:00:00Z")}
     html = "<html><nav>menu</nav><article><h1>Head</h1><p>Body text<script>x()</script></p><table><tr><td>cell</td></tr></table></article><footer>foot</footer></html>"
-    assert spark.createDataFrame([(html,)], "h string").select(page_text(F.col("h")).alias("x")).first().x == "Head\nBody text"
+    assert spark.createDataFrame([(html,)], "h string").select(main_text(F.col("h")).alias("x")).first().x == "Head\nBody text"
     robots = spark.createDataFrame([("User-agent: *\nDisallow: /private", "https://x/private/a"), ("User-agent: *\nDisallow: /private", "https://x/a"), (None, "https://x/a")], "r string, u string")
     assert [r.x for r in robots.select(robots_allows(F.col("r"), "bot", F.col("u")).alias("x")).collect()] == [False, True, False]
 
