@@ -34,12 +34,12 @@ def text_digests(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-def _feed_rows(spark, sf):
-    """Ten pages make a feed."""
+def _feed_rows(spark, sf, between="", end="</channel></rss>"):
+    """Ten pages make a feed; every third item is followed by ``between``."""
     when = F.date_format(F.date_add(F.lit("2026-08-01").cast("date"), (F.col("page_id") % 28).cast("int")), "EEE, dd MMM yyyy")
-    item = F.concat(F.lit("<item><title>Page "), "page_id", F.lit(" &amp; more</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>"), when, F.lit(" 10:00:00 +0200</pubDate></item>"))
+    item = F.concat(F.lit("<item><title>Page "), "page_id", F.lit(" &amp; more</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>"), when, F.lit(" 10:00:00 +0200</pubDate></item>"), F.when(F.col("page_id") % 3 == 0, between).otherwise(""))
     rows = S.table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("f")).agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))).alias("items"))  # ten at most
-    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit("</channel></rss>"))
+    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit(end))
     return rows.select(
         F.concat(F.lit("feed-"), "f").alias("id"), F.concat(F.lit("v"), F.col("f") % 3).alias("vertical"), (F.col("f") % 3 + 1).cast("int").alias("tier"),
         F.when(F.col("f") % 7 == 3, "draft").otherwise("active").alias("status"), F.when(F.col("f") % 11 == 5, "2026-01-01").alias("retired_on"), body.alias("body"),
@@ -50,6 +50,15 @@ def feed_candidates(spark, sf):
     return feeds.candidates(_feed_rows(spark, sf))
 
 
+def feed_file_candidates(spark, sf):
+    """Feeds as files with stray tags, tags that do not end and no end: the same links as of sound ones."""
+    folder = shared_folder(spark, "feeds")
+    rows = _feed_rows(spark, sf, "</item></b><bad attr='x ", "<item><title>cut")
+    files = contracts.write_documents(rows.select(F.concat(F.lit(folder + "/"), "id", F.lit(".xml")).alias("path"), "body"), "path", "body")
+    files.write.format("noop").mode("overwrite").save()
+    return feeds.candidates_of_files(rows.drop("body"), folder)
+
+
 def front_page_votes(spark, sf):
     return feeds.salience(_feed_rows(spark, sf))
 
@@ -340,7 +349,7 @@ def score_ledger(spark, sf):
 
 
 QUERIES = (
-    canonical_json, output_digest, text_digests, feed_candidates, front_page_votes, live_feeds, feed_links, fetch_retries, ledger_roundtrip, stamp_rows, stamp_checks, json_documents, day_folders, day_partitions, runs_appended, next_runs, day_vectors, bench_runs, model_calls,
+    canonical_json, output_digest, text_digests, feed_candidates, feed_file_candidates, front_page_votes, live_feeds, feed_links, fetch_retries, ledger_roundtrip, stamp_rows, stamp_checks, json_documents, day_folders, day_partitions, runs_appended, next_runs, day_vectors, bench_runs, model_calls,
     context_fit, vertical_page, unread_items, searchable_vectors, article_lead, fact_menu, reply_parts, name_marks, item_vectors, article_checks, summary_checks, route_checks, plan_checks, day_checks, run_checks, source_checks, visual_checks, digest_items, score_ledger,
 )
 

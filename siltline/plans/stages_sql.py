@@ -94,6 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "output_digest": f"SELECT doc_id, {digest(lead('text'), LATER)} AS sha256 FROM documents",
         "text_digests": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "feed_candidates": f"WITH {CANONICAL}, {FEEDS} SELECT 'feed-' || f AS source_id, 'v' || f % 3 AS vertical, CAST(f % 3 + 1 AS INTEGER) AS tier, url AS source_url, canonical_url, sha256(canonical_url) AS url_key, 'Page ' || page_id || ' & more' AS title, published_at FROM (SELECT *, row_number() OVER (PARTITION BY f, canonical_url ORDER BY page_id) AS nth FROM live) WHERE nth = 1",
+        "feed_file_candidates": f"WITH {CANONICAL}, {FEEDS} SELECT 'feed-' || f AS source_id, 'v' || f % 3 AS vertical, CAST(f % 3 + 1 AS INTEGER) AS tier, url AS source_url, canonical_url, sha256(canonical_url) AS url_key, 'Page ' || page_id || ' & more' AS title, published_at FROM (SELECT *, row_number() OVER (PARTITION BY f, canonical_url ORDER BY page_id) AS nth FROM live) WHERE nth = 1",
         "front_page_votes": f"WITH {CANONICAL}, {FEEDS} SELECT DISTINCT canonical_url FROM offered",
         "live_feeds": "SELECT 'v' || f % 3 AS vertical, count(*) AS feeds FROM (SELECT DISTINCT page_id // 10 AS f FROM pages) WHERE f % 7 <> 3 AND f % 11 <> 5 GROUP BY 1",
         "feed_links": f"WITH d AS (SELECT page_id // 10 AS feed, {DOMAIN} AS link, min(page_id) AS position FROM pages GROUP BY 1, 2) SELECT feed, link, position FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY position) AS nth FROM d) WHERE nth <= 3",
