@@ -404,6 +404,7 @@ def route_decide(spark, sf):
 
 def stream_append(spark, sf):
     """Events streamed into a ledger that keeps one row per user and type; a second run over the same input adds none."""
+    from siltline.sources.journal import Journal
     from siltline.sources.shared import shared_folder
     from siltline.streaming.append import append_stream
 
@@ -412,7 +413,7 @@ def stream_append(spark, sf):
     for _ in range(2):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("key", F.concat_ws("/", "user_id", "event_type"))
         append_stream(stream.select("key", "event_id"), path, state, "key", "event_id").awaitTermination()
-    return spark.read.schema("key string, event_id long").parquet(path)
+    return Journal(spark, path).read("rows", "key string, event_id long")
 
 
 def assembled_items(spark, sf):

@@ -1,4 +1,4 @@
-"""Streams: incremental append without repeats, and counts over event-time windows with late data."""
+"""Streams: incremental append without repeats, counts over event-time windows, deduplication."""
 
 from __future__ import annotations
 
@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltline.operators.ledger import append_new
+from siltline.sources.journal import Journal
 
 
 def append_stream(stream: DataFrame, ledger_path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Writes rows of keys that the ledger lacks, batch by batch, and ends when the input does.
+    """Adds rows of keys that the ledger lacks, batch by batch, and ends when the input does.
 
-    A batch that is run again finds its keys in the ledger, so nothing is written twice.
+    The ledger is a journal: a batch that is run again, also after its writer was killed, counts once,
+    and a batch reads only the parts of the ledger that its keys can be in.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        known = spark.read.schema(batch.schema).parquet(ledger_path) if there else spark.createDataFrame([], batch.schema)
-        append_new(batch, known, key, order).write.mode("append").parquet(ledger_path)
+    def write(batch: DataFrame, number: int) -> None:
+        Journal(batch.sparkSession, ledger_path).append_new(f"stream-{number:09d}", batch, key, order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -31,7 +28,7 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str) -> DataFrame
 
 
 def window_counts(stream: DataFrame, time: str, group: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Rows and sums of ``value`` per window and group; rows later than the watermark are dropped."""
+    """Rows and sums of ``value`` per window and group; rows later than the watermark are dropped (``late.window_journal`` keeps them)."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return stream.withWatermark(time, late).groupBy(window.alias("w"), group).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", group, "n", "total")
 

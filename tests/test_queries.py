@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from siltline.plans import oracles, queries, stages, stages_sql
+from siltline.plans import oracles, queries, runs, stages, stages_sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = queries.queries() | stages.queries(), oracles.oracle_sql() | stages_sql.oracle_sql()
+QUERIES, SQL = queries.queries() | stages.queries() | runs.queries(), oracles.oracle_sql() | stages_sql.oracle_sql() | runs.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
 
