@@ -1,4 +1,4 @@
-"""Registered queries of what comes in runs: streams, batches of a ledger, late rows. Each has its SQL beside it."""
+"""Registered queries of what comes in runs: streams, batches of a ledger, late rows, documents of several versions. Each has its SQL beside it."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siltline.plans.queries import Query
 from siltline.sources import tables as S
+from siltline.sources import versions
 from siltline.sources.journal import PART, Journal
 from siltline.sources.shared import shared_folder
+from siltline.sources.versions import Chain, Version
 from siltline.streaming import late, observe
 
 BASE = datetime(2026, 8, 1)
@@ -105,7 +107,37 @@ told AS (
 SELECT conv_id, date, observation, observation = 'unchanged' AS skippable FROM told
 """
 
-QUERIES = (ledger_batches, late_windows, stream_observations)
+#: Three versions of one kind of document: names changed, a text became a number, a field was added.
+CHAIN = Chain(
+    Version("2026-01-01", "id long NOT NULL, language string NOT NULL, chars string", lambda d: F.struct(d["id"].alias("doc_id"), d["language"].alias("lang"), d["chars"].try_cast("long").alias("n_chars"))),
+    Version("2026-05-01", "doc_id long NOT NULL, lang string NOT NULL, n_chars long", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["lang"].alias("lang"), d["n_chars"].alias("n_chars"), F.lit("unknown").alias("source"))),
+    Version("2026-08-01", "doc_id long NOT NULL, lang string NOT NULL, n_chars long, source string NOT NULL"),
+)
+
+
+def versioned_documents(spark, sf):
+    """Documents stored in three versions, some cut off, of an unknown version, or with keys too many, missing or of another type."""
+    k, js = F.col("doc_id") % 12, lambda **c: F.to_json(F.struct(*[v.alias(n) for n, v in c.items()]))
+    lit, i, lang, n, source = F.lit, F.col("doc_id"), F.col("lang"), F.col("n_chars"), F.col("source")
+    text = (
+        F.when(k < 3, js(version=lit("2026-01-01"), id=i, language=lang, chars=n.cast("string"))).when(k < 5, js(version=lit("2026-05-01"), doc_id=i, lang=lang, n_chars=n)).when(k == 5, js(version=lit("2026-08-01"), doc_id=i, lang=lang, n_chars=n, source=source))
+        .when(k == 6, js(doc_id=i, lang=lang, source=source)).when(k == 7, F.concat(lit('{"doc_id": '), i)).when(k == 8, js(version=lit("2027-01-01"), doc_id=i)).when(k == 9, js(version=lit("2026-05-01"), doc_id=i, lang=lang, more=n, again=n))
+        .when(k == 10, js(version=lit("2026-08-01"), doc_id=i, n_chars=n)).otherwise(js(doc_id=lang, lang=lang, source=source))
+    )
+    rows = S.table(spark, sf, "documents").select(i.alias("key"), text.alias("text"))
+    good, aside = versions.split(versions.checked(rows, "text", CHAIN))
+    aside = aside.select("key", "version", "reason", *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("n_chars", "long"), ("source", "string"))])
+    return good.select("key", "version", F.lit(None).cast("string").alias("reason"), "lang", "n_chars", "source").unionByName(aside)
+
+
+VERSIONED_DOCUMENTS_SQL = """
+SELECT doc_id AS key, CASE WHEN k < 3 THEN '2026-01-01' WHEN k IN (3, 4, 9) THEN '2026-05-01' WHEN k NOT IN (7, 8) THEN '2026-08-01' END AS version,
+  CASE k WHEN 7 THEN 'no JSON' WHEN 8 THEN 'unknown version 2027-01-01' WHEN 9 THEN 'unknown keys: again, more' WHEN 10 THEN 'missing keys: lang, source' WHEN 11 THEN 'values of another type: doc_id' END AS reason,
+  CASE WHEN k < 7 THEN lang END AS lang, CASE WHEN k < 6 THEN n_chars END AS n_chars, CASE WHEN k < 5 THEN 'unknown' WHEN k < 7 THEN source END AS source
+FROM (SELECT *, doc_id % 12 AS k FROM documents)
+"""
+
+QUERIES = (ledger_batches, late_windows, stream_observations, versioned_documents)
 
 
 def queries() -> dict[str, Query]:
@@ -115,5 +147,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "ledger_batches": "SELECT key, doc_id, lang FROM (SELECT concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) AS key, doc_id, lang, row_number() OVER (PARTITION BY concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) ORDER BY doc_id % 4, doc_id) AS nth FROM documents) WHERE nth = 1",
-        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL,
+        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL, "versioned_documents": VERSIONED_DOCUMENTS_SQL,
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltline.functions import canonical
+from siltline.sources import versions
 
 _PLANNED = "item_id string, url_key string, source_url string, canonical_url string, source_id string, tier int, vertical string, title string, published_at string, carried_by int, watchlist_hit boolean, on_front_page boolean, rank_score double"
 _DIGEST_ITEM = "item_id string, vertical string, title string, summary string, key_points array<string>, source_url string, source_id string, source_name string, source_kind string, tier int, published_at string, introduced_by_run int, band string, lenses array<string>, events array<string>, entities array<string>, rank_score double, visual struct<kind: string, path: string, alt_text: string, state: string>"
@@ -47,9 +48,14 @@ def exported() -> dict[str, str]:
     return {name: schema(name).json() for name in DDL}
 
 
-def read_json(spark: SparkSession, name: str, path: str, strict: bool = True) -> DataFrame:
-    """Documents of one schema, one JSON value per file. ``strict`` stops at a bad file, else it is left out."""
-    return spark.read.schema(schema(name)).option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def read_json(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """Documents of one schema, one JSON value per file; a bad file stops the read (``read_checked`` sets it aside)."""
+    return spark.read.schema(schema(name)).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_checked(spark: SparkSession, name: str, path: str, version: str = "1") -> DataFrame:
+    """file, version, document, reason and text of every file: bad ones have a reason and their text, and no document."""
+    return versions.read_documents(spark, path, versions.one_version(version, DDL[name]))
 
 
 def documents(rows: DataFrame, name: str) -> DataFrame:
