@@ -93,7 +93,13 @@ def checked(rows: DataFrame, text: str, chain: Chain) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, chain: Chain) -> DataFrame:
     """file, version, document, reason and (of what is set aside) text: a row for each file, empty ones too."""
-    rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    found = spark.read.format("binaryFile").load(path)
+    rows = found.select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    # Spark lists files of no bytes but does not scan them
+    plain = lambda c: F.regexp_replace(F.url_decode(c), "^([A-Za-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(x,) for x in found.inputFiles()], "file string").select(plain("file").alias("file"))
+    empty = listed.join(found.select(F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("file")), "file", "left_anti")
+    rows = rows.unionByName(empty.withColumn("text", F.lit("")))
     done = checked(rows, "text", chain)
     return done.select("file", "version", "document", "reason", F.when(F.col("reason").isNotNull(), F.col("text")).alias("text"))
 
