@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.config import Drift
-from siltline.operators.quantiles import medians
+from siltline.operators.quantiles import histogram, medians, medians_of
+from siltline.sources.contracts import overwrite_days
 
 WINDOW = ("words", "extractiveness", "hhem")
 
 
+def _side_by_side(found: DataFrame) -> DataFrame:
+    now, before = (found.where(F.col("window") == name).select("domain", *[F.col(c).alias(f"{c}_{name}") for c in WINDOW]) for name in ("now", "before"))
+    return now.join(before, "domain")
+
+
 def by_domain(recent: DataFrame, baseline: DataFrame) -> DataFrame:
     """Exact medians of both windows, side by side, of the domains that are in both; one histogram serves both."""
     marked = [rows.select("domain", *WINDOW, F.lit(name).alias("window")) for rows, name in ((recent, "now"), (baseline, "before"))]
-    found = medians(marked[0].unionByName(marked[1]), ["domain", "window"], list(WINDOW))
-    now, before = (found.where(F.col("window") == name).select("domain", *[F.col(c).alias(f"{c}_{name}") for c in WINDOW]) for name in ("now", "before"))
-    return now.join(before, "domain")
+    return _side_by_side(medians(marked[0].unionByName(marked[1]), ["domain", "window"], list(WINDOW)))
+
+
+def keep_days(rows: DataFrame, path: str, date: str = "date") -> None:
+    """Writes a summary of each day in ``rows``, the counts of its values by domain; days that are there are replaced."""
+    overwrite_days(histogram(rows, [date, "domain"], list(WINDOW)).withColumnRenamed(date, "date"), path, "date")
+
+
+def kept_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("domain string, m string, v double, n long, date string").parquet(path)
+
+
+def compare_days(summaries: DataFrame, recent: tuple[str, str], baseline: tuple[str, str], config: Drift = Drift()) -> DataFrame:
+    """``compare`` of two spans of days (first and last) from kept summaries: no row is read again, and no other day."""
+    spans = {"now": F.col("date").between(*recent), "before": F.col("date").between(*baseline)}
+    parts = [summaries.where(on).groupBy("domain", "m", "v").agg(F.sum("n").alias("n")).withColumn("window", F.lit(name)) for name, on in spans.items()]
+    return alerts(_side_by_side(medians_of(parts[0].unionByName(parts[1]), ["domain", "window"], list(WINDOW))), config)
 
 
 def compare(recent: DataFrame, baseline: DataFrame, config: Drift = Drift()) -> DataFrame:
     """domain, alert, detail: every alert the two windows justify; a domain in one window alone is skipped."""
-    both = by_domain(recent, baseline)
+    return alerts(by_domain(recent, baseline), config)
+
+
+def alerts(both: DataFrame, config: Drift = Drift()) -> DataFrame:
+    """domain, alert, detail from the medians of two windows, side by side."""
     shorter = (F.col("words_before") > 0) & (F.col("words_now") < F.col("words_before") * (1 - config.word_count_drop))
     copying = F.col("extractiveness_now") - F.col("extractiveness_before") > config.extractiveness_rise
     held = F.col("hhem_now") >= F.col("hhem_before")

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltline.operators import drift
 from siltline.plans.queries import Query
 from siltline.sources import tables as S
 from siltline.sources import versions
@@ -137,7 +138,31 @@ SELECT doc_id AS key, CASE WHEN k < 3 THEN '2026-01-01' WHEN k IN (3, 4, 9) THEN
 FROM (SELECT *, doc_id % 12 AS k FROM documents)
 """
 
-QUERIES = (ledger_batches, late_windows, stream_observations, versioned_documents)
+def drift_summaries(spark, sf):
+    """Daily summaries in two runs, one day written again; two spans of a fortnight are then compared from them alone."""
+    path, date = shared_folder(spark, "summaries"), S.day(F.col("doc_id"))
+    words = F.floor(F.col("n_chars") / 6)
+    rows = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select(
+        date.alias("date"), F.col("source").alias("domain"), F.when(date > "2026-08-14", F.least(words, F.lit(60))).otherwise(words).alias("words"), (F.col("n_chars") % 89 / 89 + F.when(date > "2026-08-14", 0.2).otherwise(0.0)).alias("extractiveness"), F.col("quality").cast("double").alias("hhem")
+    )
+    for part in (F.col("date") <= "2026-08-20", F.col("date") > "2026-08-20", F.col("date") == "2026-08-03"):
+        drift.keep_days(rows.where(part), path)
+    return drift.compare_days(drift.kept_days(spark, path), ("2026-08-15", "2026-08-28"), ("2026-08-01", "2026-08-14"))
+
+
+DRIFT_SUMMARIES_SQL = """
+WITH o AS (
+  SELECT source AS domain, doc_id % 28 >= 14 AS recent, CASE WHEN doc_id % 28 >= 14 THEN least(n_chars // 6, 60) ELSE n_chars // 6 END AS w, n_chars % 89 / 89 + CASE WHEN doc_id % 28 >= 14 THEN 0.2::DOUBLE ELSE 0 END AS x, quality AS h
+  FROM documents JOIN labels USING (doc_id)
+),
+m AS (SELECT domain, recent, median(w) AS w, median(x) AS x, median(h) AS h FROM o GROUP BY 1, 2),
+j AS (SELECT a.domain, a.w AS wn, b.w AS wb, a.x AS xn, b.x AS xb, a.h AS hn, b.h AS hb FROM m a JOIN m b ON a.domain = b.domain AND a.recent AND NOT b.recent)
+SELECT domain, 'shorter_sources' AS alert, printf('median source fell from %.0f to %.0f words', round_even(wb, 0), round_even(wn, 0)) AS detail FROM j WHERE wb > 0 AND wn < wb * 0.6::DOUBLE
+UNION ALL SELECT domain, 'more_copying', printf('extractiveness rose from %.2f to %.2f', round_even(xb, 2), round_even(xn, 2)) FROM j WHERE xn - xb > 0.15
+UNION ALL SELECT domain, 'scoring_chrome', printf('sources shrank %.0f%% while faithfulness held at %.2f', round_even((1 - wn / wb) * 100, 0), hn) FROM j WHERE wb > 0 AND wn < wb * 0.6::DOUBLE AND hn >= hb
+"""
+
+QUERIES = (ledger_batches, late_windows, stream_observations, versioned_documents, drift_summaries)
 
 
 def queries() -> dict[str, Query]:
@@ -147,5 +172,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "ledger_batches": "SELECT key, doc_id, lang FROM (SELECT concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) AS key, doc_id, lang, row_number() OVER (PARTITION BY concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) ORDER BY doc_id % 4, doc_id) AS nth FROM documents) WHERE nth = 1",
-        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL, "versioned_documents": VERSIONED_DOCUMENTS_SQL,
+        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL, "versioned_documents": VERSIONED_DOCUMENTS_SQL, "drift_summaries": DRIFT_SUMMARIES_SQL,
     }

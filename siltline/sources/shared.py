@@ -25,3 +25,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes what ``saved`` and queries of this application wrote; results that are not yet used go with it."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "x").rpartition("/")[0])
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
