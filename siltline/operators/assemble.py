@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltline.functions import vectors as V
+from siltline.operators import models
 
 KEY = ["day", "item_id"]
 
@@ -63,26 +61,13 @@ def text_for(title: Column, summary: Column) -> Column:
     return F.concat(title, F.lit(". "), summary)
 
 
-def embedded(items: DataFrame, text: Column, encode: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 16) -> DataFrame:
-    """day, item_id and the quantised vector of each item; ``encode`` is loaded once per task and sees batches of texts.
+def embedded(items: DataFrame, text: Column, load: models.Load, dimensions: int) -> DataFrame:
+    """day, item_id and the quantised vector of each item; the encoder is loaded once per task and sees batches of texts.
 
     A day is published whether or not it can be searched: where the encoder fails or gives another
     width for any of its items, the day has no vectors at all.
     """
-
-    def work(frames):
-        for frame in frames:
-            for a in range(0, len(frame), batch):
-                part = frame.iloc[a : a + batch]
-                try:
-                    made = [list(v) for v in encode(part["text"].tolist())]
-                    if len(made) != len(part) or any(len(v) != dimensions for v in made):
-                        raise ValueError("vectors of another width")
-                except (OSError, RuntimeError, ValueError, ImportError):
-                    made = [None] * len(part)
-                yield pd.DataFrame({"day": part["day"], "item_id": part["item_id"], "v": made})
-
-    rows = items.select(*KEY, text.alias("text")).mapInPandas(work, "day string, item_id string, v array<double>")
+    rows = items.select(*KEY, models.encoder(load, dimensions)(text).alias("v"))
     failed = F.max(F.col("v").isNull()).over(Window.partitionBy("day"))
     return rows.withColumn("failed", failed).where("NOT failed").select(*KEY, V.quantise(F.col("v")).alias("vector"))
 

@@ -55,6 +55,12 @@ def score_over_chunks(pairs: DataFrame, scorer: Callable[[Column, Column], Colum
     return windows.groupBy(key).agg(F.coalesce(F.max(scorer(F.col("premise"), F.col("summary"))), F.lit(0.0)).alias("score"))
 
 
+def dual_score(scorer: Callable[[Column, Column], Column], summary: Column, seen: Column, full: Column) -> tuple[Column, Column]:
+    """Scores of a summary against the text that the model saw and against the whole one; equal texts are scored once."""
+    first = scorer(seen, summary)
+    return first, F.when(seen == full, first).otherwise(scorer(F.when(seen != full, full), summary))
+
+
 def overlap_scorer(premise: Column, hypothesis: Column) -> Column:
     """A stand-in for a faithfulness model: share of the hypothesis's different tokens in the premise."""
     own = F.array_distinct(T.tokens(hypothesis))

@@ -11,7 +11,7 @@ from siltline.config import Extract
 from siltline.functions import text as T
 from siltline.functions import urls as U
 from siltline.functions import vectors as V
-from siltline.operators import articles, assemble, boards, checks, corpus, decide, digest, drift, ledger, metrics, rank, retention, route, search
+from siltline.operators import articles, assemble, boards, checks, corpus, decide, digest, drift, ledger, metrics, models, rank, retention, route, search
 from siltline.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,8 +116,8 @@ def eval_row(spark, sf):
 
 
 def chunk_scores(spark, sf):
-    """The stand-in scorer over windows: the largest window counts."""
-    rows = metrics.score_over_chunks(S.pairs(spark, sf), metrics.overlap_scorer, "doc_id")
+    """A scorer that each task loads, over windows: the largest window counts."""
+    rows = metrics.score_over_chunks(S.pairs(spark, sf), models.scorer(models.overlap), "doc_id")
     return rows.select("doc_id", F.bround("score", 6).alias("score"))
 
 

@@ -10,7 +10,7 @@ from siltline.functions import canonical, dates
 from siltline.functions import text as T
 from siltline.functions import urls as U
 from siltline.functions import vectors as V
-from siltline.operators import articles, assemble, checks, digest, ledger, metrics, rank, route, search
+from siltline.operators import articles, assemble, checks, digest, ledger, metrics, models, rank, route, search
 from siltline.plans import queries as Q
 from siltline.sources import completions, contracts, feeds
 from siltline.sources import tables as S
@@ -241,13 +241,31 @@ def name_marks(spark, sf):
     return S.table(spark, sf, "customer").select("c_custkey", T.monogram(name).alias("monogram"), T.swatch(F.col("c_name")).alias("swatch"), dates.plural(F.col("c_nationkey"), "nation").alias("counted"))
 
 
-def _encode(texts: list[str]) -> list[list[float]]:
-    return [[len(t) / 32, 0.5, -0.25] for t in texts]
+def _by_length():
+    return lambda texts: [[len(t) / 32, 0.5, -0.25] for t in texts]
 
 
 def item_vectors(spark, sf):
-    """The encoder is a stand-in that sees a text's length."""
-    return assemble.embedded(Q.plan_day(spark, sf), F.col("canonical_url"), _encode, 3)
+    """The encoder sees a text's length, so that SQL can say what comes out; ``text_vectors`` has one that reads the text."""
+    return assemble.embedded(Q.plan_day(spark, sf), F.col("canonical_url"), _by_length, 3)
+
+
+def text_vectors(spark, sf):
+    """Vectors of documents' leads by an encoder whose weights come from all documents, and how near they are to the next sentences."""
+    rows = S.table(spark, sf, "documents").select("doc_id", "text", T.lead(F.col("text")).alias("lead"), F.array_join(F.slice(T.sentences(F.col("text")), 4, 3), " ").alias("next"))
+    encode = models.encoder(models.hashed_vectors(models.fit_terms(rows, "text"), 64), 64)
+    rows = rows.select("doc_id", encode(F.col("lead")).alias("v"), encode(F.col("next")).alias("w"))
+    return rows.select("doc_id", V.quantise(F.col("v")).alias("vector"), F.bround(V.dot(F.col("v"), F.col("w")), 6).alias("near_next"))
+
+
+def dual_scores(spark, sf):
+    """Summaries against the first 380 words of their source and against all, by a scorer weighted by all documents."""
+    pairs = S.pairs(spark, sf)
+    score = models.scorer(models.weighted_overlap(models.fit_terms(S.table(spark, sf, "documents"), "text")))
+    seen = T.truncate_to_tokens(F.col("source_text"), 500)["text"]
+    first, full = metrics.dual_score(score, F.col("summary"), F.col("seen"), F.col("source_text"))
+    rows = pairs.withColumn("seen", seen).select("doc_id", F.bround(first, 6).alias("score"), F.bround(full, 6).alias("score_full"))
+    return rows.withColumn("flagged", F.col("score") - F.col("score_full") > 0.1)
 
 
 def _articles(spark, sf):
@@ -350,7 +368,7 @@ def score_ledger(spark, sf):
 
 QUERIES = (
     canonical_json, output_digest, text_digests, feed_candidates, feed_file_candidates, front_page_votes, live_feeds, feed_links, fetch_retries, ledger_roundtrip, stamp_rows, stamp_checks, json_documents, day_folders, day_partitions, runs_appended, next_runs, day_vectors, bench_runs, model_calls,
-    context_fit, vertical_page, unread_items, searchable_vectors, article_lead, fact_menu, reply_parts, name_marks, item_vectors, article_checks, summary_checks, route_checks, plan_checks, day_checks, run_checks, source_checks, visual_checks, digest_items, score_ledger,
+    context_fit, vertical_page, unread_items, searchable_vectors, article_lead, fact_menu, reply_parts, name_marks, item_vectors, text_vectors, dual_scores, article_checks, summary_checks, route_checks, plan_checks, day_checks, run_checks, source_checks, visual_checks, digest_items, score_ledger,
 )
 
 

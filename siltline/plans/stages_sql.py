@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltline.plans.oracles import BAND, CANDIDATES, CANONICAL, DOMAIN, EVALS, host, lead, part, sentences, split_words
+from siltline.plans.oracles import BAND, CANDIDATES, CANONICAL, DOMAIN, EVALS, PAIRS, host, lead, part, sentences, split_words, tokens
 
 LATER = f"({sentences('text')})[4:5]"
 LINE = "' || chr(10) || '"
@@ -119,6 +119,14 @@ def oracle_sql() -> dict[str, str]:
         "fact_menu": "SELECT l_orderkey, md5(string_agg(i || ': ' || v || ' ' || u || ' | line ' || n, chr(10) ORDER BY i)) AS md5 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) - 1 AS i, CAST(l_quantity AS INTEGER) AS v, l_returnflag AS u, l_linenumber AS n FROM lineitem) GROUP BY 1",
         "reply_parts": "SELECT conv_id, turn, role AS thinking, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS md5 FROM conversations",
         "name_marks": "SELECT c_custkey, upper(c_mktsegment[1] || c_name[1]) AS monogram, CAST(list_reduce(list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS INTEGER) AS swatch, c_nationkey || CASE WHEN c_nationkey = 1 THEN ' nation' ELSE ' nations' END AS counted FROM customer",
+        "dual_scores": f"""WITH {PAIRS}, total AS (SELECT count(*) AS total FROM documents),
+df AS (SELECT c, count(*) AS n FROM (SELECT DISTINCT doc_id, substr(md5(t), 1, 4) AS c FROM (SELECT doc_id, unnest({tokens('text')}) AS t FROM documents)) GROUP BY c),
+split AS (SELECT doc_id, {tokens('summary')} AS h, {tokens('source_text')} AS f, {split_words('source_text')} AS s FROM pairs),
+both_ AS (SELECT doc_id, h, f, CASE WHEN len(s) > 384 THEN {tokens("array_to_string(s[1:384], ' ')")} ELSE f END AS s FROM split),
+terms AS (SELECT doc_id, list_intersect(list_distinct(h), f) AS f, list_intersect(list_distinct(h), s) AS s, unnest(list_distinct(h)) AS t FROM both_),
+told AS (SELECT doc_id, ln((1 + total) / (1 + coalesce(n, 0))) + 1 AS w, list_contains(f, t) AS full_, list_contains(s, t) AS seen FROM terms CROSS JOIN total LEFT JOIN df ON c = substr(md5(t), 1, 4)),
+scored AS (SELECT doc_id, round_even(coalesce(sum(w) FILTER (seen), 0) / sum(w), 6) AS score, round_even(coalesce(sum(w) FILTER (full_), 0) / sum(w), 6) AS score_full FROM told GROUP BY 1)
+SELECT p.doc_id, coalesce(score, 0) AS score, coalesce(score_full, 0) AS score_full, coalesce(score, 0) - coalesce(score_full, 0) > 0.1 AS flagged FROM pairs p LEFT JOIN scored USING (doc_id)""",
         "item_vectors": plan + f"SELECT day, item_id, {quantised('[length(canonical_url) / 32, 0.5, -0.25]')} AS vector FROM plan",
         "article_checks": broken("article", "doc_id", article_rules(), ARTICLES),
         "summary_checks": broken("summary", "k", {"digest is rebuilt from the words": "k % 20 <> 0", "ok has words and points": f"k % 5 = 0 OR (k % 12 <> 0 AND {lead('text', 1)} <> '')", "ok has no failure": "k % 5 = 0 OR k % 10 <> 0", "failed has a reason": "k % 5 <> 0 OR k % 10 = 0"}, "(SELECT doc_id AS k, text FROM documents)"),

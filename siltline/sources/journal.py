@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,15 +95,15 @@ class Journal:
         return F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, self.width)
 
     def append_new(self, batch: str, rows: DataFrame, key: str, order: str, table: str = "rows") -> bool:
-        """Adds the first row (by ``order``) of each key that no committed batch has. Rows without a key are left out."""
+        """Adds the first row (by ``order``, then by the other columns) of each key that no committed batch has. Rows without a key are left out."""
         if self.has(batch):
             return False
-        first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        fresh = rows.where(F.col(key).isNotNull()).withColumn(PART, self.part(key))
+        others = [c for c in rows.columns if c not in (key, order)]
+        first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, *others)).alias("first"))
+        fresh = first.select(key, "first.*").withColumn(PART, self.part(key))
         known = self.read(table, T.StructType([*[f for f in rows.schema if f.name == key], T.StructField(PART, T.StringType())]))
         parts = [r[0] for r in fresh.select(PART).distinct().collect()]  # 16 ** width at most
         fresh = fresh.join(known.where(F.col(PART).isin(parts)).select(key), key, "left_anti")
-        fresh = fresh.withColumn("siltline_nth", first).where("siltline_nth = 1").drop("siltline_nth")
         return self.write(batch, {table: fresh.select(*rows.columns, PART).hint("rebalance", PART)}, by=PART)
 
     def compact(self, tables: dict[str, str | T.StructType], by: str | None = None) -> bool:

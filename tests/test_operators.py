@@ -199,12 +199,12 @@ def test_assembled_days(spark):
     from siltline.operators import assemble
 
     items = spark.createDataFrame([("d", "v-01", "a"), ("d", "v-02", "b")], "day string, item_id string, text string")
-    got = {r.item_id: r.vector for r in assemble.embedded(items, F.col("text"), lambda texts: [[1.0, 0.0] for _ in texts], 2).collect()}
+    got = {r.item_id: r.vector for r in assemble.embedded(items, F.col("text"), lambda: lambda texts: [[1.0, 0.0] for _ in texts], 2).collect()}
     assert set(got) == {"v-01", "v-02"} and len(set(got.values())) == 1
     other = items.unionByName(items.withColumn("day", F.lit("e"))).repartition("day")
-    fail = lambda texts: (_ for _ in ()).throw(RuntimeError("no encoder"))
-    assert assemble.embedded(items, F.col("text"), lambda texts: [[1.0] for _ in texts], 2).count() == assemble.embedded(items, F.col("text"), fail, 2).count() == 0
-    assert {r.day for r in assemble.embedded(other.withColumn("text", F.col("day")), F.col("text"), lambda texts: [[1.0, 0.0]] * len(texts) if "d" in texts else fail(texts), 2, batch=2).collect()} == {"d"}
+    fail = lambda *_: (_ for _ in ()).throw(RuntimeError("no encoder"))
+    assert assemble.embedded(items, F.col("text"), lambda: lambda texts: [[1.0] for _ in texts], 2).count() == assemble.embedded(items, F.col("text"), fail, 2).count() == assemble.embedded(items, F.col("text"), lambda: fail, 2).count() == 0
+    assert {r.day for r in assemble.embedded(other.withColumn("text", F.col("day")), F.col("text"), lambda: lambda texts: [[1.0, 0.0]] * len(texts) if set(texts) == {"d"} else fail(texts), 2).collect()} == {"d"}
     read = items.where("item_id = 'v-01'")
     assert [r.item_id for r in assemble.hide_read(items, read, True).collect()] == ["v-02"] and assemble.hide_read(items, read, False).count() == 2
 
