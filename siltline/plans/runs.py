@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.operators import drift
+from siltline.functions import table_functions
+from siltline.operators import drift, telemetry
+from siltline.plans import oracles
 from siltline.plans.queries import Query
 from siltline.sources import tables as S
 from siltline.sources import versions
@@ -162,7 +164,35 @@ UNION ALL SELECT domain, 'more_copying', printf('extractiveness rose from %.2f t
 UNION ALL SELECT domain, 'scoring_chrome', printf('sources shrank %.0f%% while faithfulness held at %.2f', round_even((1 - wn / wb) * 100, 0), hn) FROM j WHERE wb > 0 AND wn < wb * 0.6::DOUBLE AND hn >= hb
 """
 
-QUERIES = (ledger_batches, late_windows, stream_observations, versioned_documents, drift_summaries)
+def sql_chunks(spark, sf):
+    """Lines of documents through a table function in SQL text, which joins the lines of each again."""
+    table_functions.register(spark)
+    lines = S.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = spark.sql("SELECT * FROM text_chunks(TABLE(SELECT doc_id, line, n FROM {lines}) PARTITION BY doc_id ORDER BY n)", lines=lines)
+    return rows.select(F.col("key").cast("long").alias("doc_id"), "chunk", "words", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def stage_log(spark, sf):
+    """Three stages over documents, each observed as it is written; the log is read back."""
+    log = telemetry.Log(spark, shared_folder(spark, "log"))
+    rows, chars = S.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), {"chars": F.sum("n_chars"), "english": F.count_if(F.col("lang") == "en")}
+    with log.running("corpus"):
+        for name, change in (("read", lambda d: d), ("long", lambda d: d.where("n_chars >= 500")), ("each length", lambda d: d.groupBy("n_chars").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang")))):
+            path = shared_folder(spark, "stage")
+            changed = change(rows)
+            log.stage(name, changed, lambda df, path=path: df.write.parquet(path), chars)
+            rows = spark.read.schema(changed.schema).parquet(path)
+    done = telemetry.read_log(spark, log.path).where("name = 'stage.completed'")
+    return done.select(F.col("src").alias("stage"), *[F.col("data")[c].cast("long").alias(c) for c in ("rows", "chars", "english")])
+
+
+STAGE_LOG_SQL = """
+WITH long_ AS (SELECT * FROM documents WHERE n_chars >= 500), each_ AS (SELECT n_chars, min(lang) AS lang FROM long_ GROUP BY 1),
+told AS (SELECT 'read' AS stage, lang, n_chars FROM documents UNION ALL SELECT 'long', lang, n_chars FROM long_ UNION ALL SELECT 'each length', lang, n_chars FROM each_)
+SELECT stage, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM told GROUP BY 1
+"""
+
+QUERIES = (ledger_batches, late_windows, stream_observations, versioned_documents, drift_summaries, sql_chunks, stage_log)
 
 
 def queries() -> dict[str, Query]:
@@ -172,5 +202,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "ledger_batches": "SELECT key, doc_id, lang FROM (SELECT concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) AS key, doc_id, lang, row_number() OVER (PARTITION BY concat_ws('/', source, CAST(n_chars % 5000 AS VARCHAR)) ORDER BY doc_id % 4, doc_id) AS nth FROM documents) WHERE nth = 1",
-        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL, "versioned_documents": VERSIONED_DOCUMENTS_SQL, "drift_summaries": DRIFT_SUMMARIES_SQL,
+        "late_windows": LATE_WINDOWS_SQL, "stream_observations": STREAM_OBSERVATIONS_SQL, "versioned_documents": VERSIONED_DOCUMENTS_SQL, "drift_summaries": DRIFT_SUMMARIES_SQL, "sql_chunks": oracles.oracle_sql()["chunk_windows"], "stage_log": STAGE_LOG_SQL,
     }
