@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -157,6 +158,97 @@ def test_wrapped_licence_texts(spark):
     assert got["twice", "all-rights-reserved", 0, 1] == got["twice", "all-rights-reserved", 2, 3] == 1
 
 
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+TOLD = [
+    (BSD + ENDORSE, {"BSD-3-Clause"}), (BSD, {"BSD-2-Clause"}), (BSD + "\n" * 12 + "filler. " * 9 + BSD + ENDORSE, {"BSD-2-Clause", "BSD-3-Clause"}), (GPL, {"GPL-3.0-or-later"}), (GPL.replace("version 3", "version 2"), {"GPL-2.0-or-later"}), (ISC, {"ISC"}),
+    ("This file is licensed under the MIT License.", {"MIT"}), ("A tool by me and Released under the MIT license, thanks", {"MIT"}), ("The MIT License (MIT)\n\nCopyright", {"MIT"}), ("This file is licensed\nunder the MIT\nLicense for now", {"MIT"}),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}), ("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", {"Apache-2.0 WITH LLVM-exception"}), ("# SPDX-License-Identifier: GPL-2.0\n", {"GPL-2.0-only"}), ("/* SPDX-License-Identifier: GPL-3.0+ */", {"GPL-3.0-or-later"}),
+    ("SPDX-License-Identifier: (lgpl-2.1 AND (MIT OR Zlib)) OR Nonsense", {"LGPL-2.1-only", "MIT", "Zlib"}), ("SPDX-License-Identifier: MIT or else.", {"MIT"}), ("SPDX-License-Identifier: MIT. More", {"MIT"}), ("SPDX-License-Identifier:", set()), ("SPDX-License-Identifier: MIT+ SPDX-License-Identifier=ISC", {"MIT", "ISC"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"CC-BY-4.0"}), ("under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", {"CC-BY-NC-SA-3.0"}), ("We like the MIT license and all rights", set()),
+    ("Our files are licensed under the GNU General Public License, version 3, as a whole", {"GPL-3.0-only"}), ("is licensed under the Mozilla Public License 2.0 (see below)", {"MPL-2.0"}), ("x" * 3_000_000 + " licensed under the MIT license " + "y " * 500_000, {"MIT"}),
+]
+
+
+def test_texts_as_people_write_them(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TOLD)], "doc_id long, text string")
+    rows = licenses.scan_licenses(df, "doc_id", "text").collect()
+    got = {i: {r.license for r in rows if r.doc_id == i} for i in range(len(TOLD))}
+    assert got == {i: want for i, (_, want) in enumerate(TOLD)}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(TOLD[:-1])])
+    told = con.sql(f"SELECT doc_id, license, reusable, rule, first_sentence, last_sentence FROM ({licenses.oracle()})").fetchall()
+    assert sorted(told) == sorted(tuple(r) for r in rows if r.doc_id < len(TOLD) - 1)
+
+
+def slowly(text, known, rules, gap):
+    """Matches by trying every run of words and every chain."""
+    pieces = re.split(r"[\r\n]+|(?<=[.;:])[ \t]+", text)
+    words = [(w, i) for i, p in enumerate(pieces) for w in re.sub("[^a-z0-9]+", " ", p.lower()).split()]
+    spans = []
+    for name, sentence in known:
+        n = len(sentence.split())
+        for a in range(len(words) - n + 1):
+            whole = (a == 0 or words[a - 1][1] != words[a][1]) and (a + n == len(words) or words[a + n][1] != words[a + n - 1][1])
+            if [w for w, _ in words[a : a + n]] == sentence.split() and (whole or licenses.inside(name)):
+                spans.append((a, a + n, name))
+    spans = [(a, b, n) for a, b, n in spans if not any(c <= a and b <= d and d - c > b - a for c, d, _ in spans)]
+    first = {}
+    for a, b, n in sorted(spans):
+        own = first.setdefault((words[a][1], n), [a, 0])
+        own[1] = max(own[1], words[b - 1][1])
+    ends = {}
+    for rule, licence, free, steps in rules:
+        for (p, n), (a, last) in first.items():
+            at, begins, k, done = a, p, len(steps) - 1, n == steps[-1]
+            while done and k:
+                before = [(x, q, e) for (q, m), (x, e) in first.items() if m == steps[k - 1] and x < at]
+                done = bool(before) and begins - max(before)[2] <= gap + 1
+                if done:
+                    at, begins, _ = max(before)
+                    k -= 1
+            if done:
+                own = ends.setdefault((rule, begins), [licence, free, last])
+                own[2] = min(own[2], last)
+    names = {r: s for r, _, _, s in rules}
+    return sorted((lic, free, r, f, last) for (r, f), (lic, free, last) in ends.items() if not any(g == f and len(names[q]) > len(names[r]) and names[q][: len(names[r])] == names[r] for q, g in ends))
+
+
+def test_scanner_against_every_run_of_words():
+    known, rules = [("a", "x y"), ("b", "x y z"), ("c", "z z"), ("d-short", "y z"), ("e", "w")], [("r", "L", True, ("a", "b")), ("s", "M", False, ("a",)), ("t", "N", True, ("a", "b", "c")), ("u", "O", True, ("d-short",)), ("v", "P", True, ("e", "e"))]
+    scanner, rng = licenses.Scanner(known, rules, 1), random.Random(6)
+    seen = Counter()
+    for _ in range(4000):
+        text = "".join(rng.choice(["x ", "y ", "z ", "x y\n", "z z\n", "x y z. ", "w\n", "\n", "; ", "q "]) for _ in range(rng.randrange(1, 14)))
+        got = scanner.matches(text)
+        assert got == slowly(text, known, rules, 1), text
+        seen.update(r for _, _, r, _, _ in got)
+    assert set(seen) == set("rstuv")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_registered_scan_against_every_run_of_words(spark):
+    from siltline.llm.queries import queries
+
+    sf, (known, rules) = "/root/testdata/sf0.001", licenses.knowledge()
+    known = [(n, s) for n, s in known if not licenses.is_tag(n)]
+    got = {}
+    for r in queries()["op9_licenses"](spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    some = [(i, t) for i, t in texts if i in got or i % 10 == 0]
+    assert all(sorted(got.get(i, [])) == slowly(t, known, rules, 3) for i, t in some if "SPDX" not in t) and got
+
+
 def test_odd_spaces_and_own_knowledge(spark):
     rows = [(1, "All  rights\treserved."), (2, "x\nAll\u00a0rights reserved"), (3, "Hoc opus Est!"), (4, "a b"), (5, "")]
     df = spark.createDataFrame(rows, "id long, text string")
