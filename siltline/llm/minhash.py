@@ -12,7 +12,7 @@ Copies (equal sets) are one class from the start. For the classes:
    sketch estimates the similarity (below ``least_shared`` at 0.75: 1 of 67,000, in the nested case
    the same trials as in 1); pairs that pass are verified on full sets, and linked.
 3. Members of a list that are not yet in one component all meet, in blocks of bounded size, each
-   pair in the first list that it shares. Wider sketches, which are the full sets of documents of
+   pair in the first list that it shares; blocks of one and the same component do not meet. Wider sketches, which are the full sets of documents of
    up to WIDE shingles, estimate them; then the same check. So no pair that shares a list is left out.
 
 Links are exact (full sets of 63-bit hashes). The result gives components, not all pairs.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltline.llm.blocks import block_pairs, cells
+from siltline.llm.blocks import cells, strangers
 from siltline.llm.common import BROADCAST_IDS, WordHashes, binary_list, bounded_batches, discard, saved, shingle_hashes, text_bytes, thrifty, words_of
 from siltline.llm.graph import components
 
@@ -160,7 +160,7 @@ def cross_pairs(members: DataFrame, percent: int, block: int = 1024, columns: in
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(n[a]), pa.array(n[b])], names=["a", "b", "na", "nb"])
 
-    return block_pairs(members, "v", "id", block).mapInArrow(thrifty(compare), "a long, b long, na long, nb long")
+    return strangers(members, "v", "id", "component", block).mapInArrow(thrifty(compare), "a long, b long, na long, nb long")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, k: int = K) -> DataFrame:

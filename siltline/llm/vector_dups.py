@@ -1,6 +1,8 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Every unit vector is projected on PROJECTIONS random directions. In each direction, taken both
+Every unit vector is projected on random directions, PROJECTIONS for 10,000 vectors and more with the
+power GROWTH of their number: so the pairs that meet by chance grow about as the vectors do, as long as a task can hold
+the directions (33 million vectors of 64 components). In each direction, taken both
 ways, the vectors are sorted by their value, and a vector keeps its place in the ``retained``
 directions where its value is largest: only there it asks. Its window in such a direction holds
 the vectors that keep it too and whose value lies within REACH standard deviations of a pair at the
@@ -18,7 +20,8 @@ linked vector, never all pairs. Equal vectors are one row with a weight from the
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do rows
 without an id; vectors of different lengths do not link. Repeated rows are returned each. Of an id
-with several usable vectors the smallest, in the order of their components, counts for all its rows.
+with several usable vectors the smallest, in the order of their components, counts for all its rows
+with a usable one; its other rows have no links and are their own component.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ from siltline.llm.common import BROADCAST_IDS, saved, thrifty
 from siltline.llm.graph import components
 
 PROJECTIONS, REACH, COUNT, MOST = 2048, 3.5, 3, 48
-#: A value v is kept as a 16-bit number of steps from LOW.
-LOW, STEP = -8.0, 16.0 / (1 << 16)
+#: Vectors for which PROJECTIONS are meant, the power of more vectors with which directions grow (neighbouring directions go together, so the
+#: root would be too few), and numbers of which a task holds the directions at most.
+MEANT, GROWTH, HELD = 10_000, 0.85, 1 << 27
+#: A value v is kept as a number of steps from LOW to -LOW, of 16 bits or what two directions leave of 62.
+LOW = -8.0
 
 
 def finite(vector: str | Column) -> Column:
@@ -54,6 +60,16 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def projections_for(vectors: int) -> int:
+    """A multiple of 64 that grows with the number of vectors to the power GROWTH, from PROJECTIONS on."""
+    return max(PROJECTIONS, 64 * round(PROJECTIONS * (vectors / MEANT) ** GROWTH / 64))
+
+
+def step_bits(projections: int) -> int:
+    return min(16, (62 - 2 * (2 * projections - 1).bit_length()) // 2)
+
+
+@functools.lru_cache(maxsize=4)
 def directions(dimension: int, n: int, seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed + dimension).standard_normal((dimension, n)).astype(np.float32)
 
@@ -75,13 +91,21 @@ def calibrated(dimension: int, threshold: float, projections: int, recall: float
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * y
-    for retained in range(COUNT + 1, min(MOST, projections) + 1):
-        (dx, vx), (dy, vy) = strongest(x, to, retained), strongest(y, to, retained)
-        if (collisions(dx, vx, dy, vy, window(threshold)) >= COUNT).mean() >= recall:
+    most = min(MOST, projections)
+    (dx, vx), (dy, vy) = (ordered(*strongest(v, to, most)) for v in (x, y))
+    for retained in range(COUNT + 1, most + 1):
+        own = (a[:, :retained] for a in (dx, vx, dy, vy))
+        if (collisions(*own, window(threshold)) >= COUNT).mean() >= recall:
             return retained
     raise ValueError(f"no {MOST} of {projections} directions reach a recall of {recall} at {threshold} in {dimension} dimensions")
 
 
+def ordered(top: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and values of each row, the largest value first."""
+    at = np.argsort(-value, 1)
+    return np.take_along_axis(top, at, 1), np.take_along_axis(value, at, 1)
+
+
 def retained_for(dimension: int, threshold: float, projections: int, recall: float) -> int:
     """Calibrated at the powers of two around the dimension, so that few numbers are ever needed."""
     if dimension < 2:
@@ -99,12 +123,12 @@ def collisions(dx: np.ndarray, vx: np.ndarray, dy: np.ndarray, vy: np.ndarray, r
     return ((dx[:, :, None] == dy[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= reach)).any(2).sum(1)
 
 
-def whole_runs(batches):
-    """Places and ids of whole runs of one pair of directions, from sorted batches."""
+def whole_runs(batches, shift: int):
+    """Places and ids of whole runs of one pair of directions (a place shifted right), from sorted batches."""
     at, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         at, ids = np.concatenate([at, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(at >> 32, at[-1] >> 32)) if len(at) else 0
+        cut = int(np.searchsorted(at >> shift, at[-1] >> shift)) if len(at) else 0
         yield at[:cut], ids[:cut]
         at, ids = at[cut:], ids[cut:]
     yield at, ids
@@ -114,12 +138,17 @@ def by_id(names: list[str], suffix: str) -> list[Column]:
     return [F.col(n).alias(n + suffix) for n in names]
 
 
-def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, projections: int = PROJECTIONS, recall: float = 0.999, light: int = 64, block: int = 256) -> DataFrame:
+def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, projections: int | None = None, recall: float = 0.999, light: int = 64, block: int = 256) -> DataFrame:
     """Per row of ``df``: vec_id, n_links (other vectors linked directly), component_id, kept."""
     rows = df.select(F.col(key).cast("long").alias("id"), finite(vector).alias("x"))
     one = rows.where("id IS NOT NULL AND x IS NOT NULL AND exists(x, v -> v <> 0)").groupBy("id").agg(F.min("x").alias("x"))
     classes = saved(one.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-classes")
     reach, kind = window(threshold), classes.schema["x"].dataType.simpleString()
+    asked = projections or projections_for(classes.count())
+    longest = classes.agg(F.max(F.size("x"))).first()[0] or 1
+    projections = max(min(asked, PROJECTIONS), min(asked, HELD // longest))
+    bits = step_bits(projections)
+    step_size = -2 * LOW / (1 << bits)
 
     def project(batches):
         for batch in batches:
@@ -141,15 +170,15 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
                 own = np.flatnonzero(held == r)
                 part = batch.take(pa.array(own))
                 top, value = (part.column(c).flatten().to_numpy().reshape(len(own), r) for c in (1, 2))
-                step = np.clip((value - LOW) / STEP, 0, (1 << 16) - 1).astype(np.int64)
+                step = np.clip((value - LOW) / step_size, 0, (1 << bits) - 1).astype(np.int64)
                 for a, b in itertools.combinations(range(r), 2):
-                    at = (((top[:, a].astype(np.int64) * (2 * projections) + top[:, b]) << 16 | step[:, a]) << 16) | step[:, b]
+                    at = (((top[:, a].astype(np.int64) * (2 * projections) + top[:, b]) << bits | step[:, a]) << bits) | step[:, b]
                     yield pa.RecordBatch.from_arrays([pa.array(at), part.column(0)], names=["at", "id"])
 
     def windows(batches):
-        wide = int(reach / STEP) + 2
-        for at, ids in whole_runs(batches):
-            run, first, second = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
+        wide, low = int(reach / step_size) + 2, (1 << bits) - 1
+        for at, ids in whole_runs(batches, 2 * bits):
+            run, first, second = at >> 2 * bits, at >> bits & low, at & low
             for o in range(1, light):
                 same = run[o:] == run[:-o]
                 if not same.any():
@@ -158,7 +187,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[i + o])), pa.array(np.maximum(ids[i], ids[i + o]))], names=["a", "b"])
 
     projected = saved(classes.select("id", "x", "copies").mapInArrow(thrifty(project), f"id long, copies long, x {kind}, top array<int>, value array<float>"), "projections")
-    places = saved(projected.select("id", "top", "value").mapInArrow(place, "at long, id long"), "places").withColumn("run", F.shiftright("at", 32))
+    places = saved(projected.select("id", "top", "value").mapInArrow(place, "at long, id long"), "places").withColumn("run", F.shiftright("at", 2 * bits))
     heavy = saved(places.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > light).select("run"), "heavy-runs")
     few = F.broadcast(heavy) if heavy.count() <= BROADCAST_IDS else heavy
     held = places.join(few, "run")
@@ -225,7 +254,9 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
     whole = components(partial.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "id", "left").join(whole, "id", "left").where("copies > 1 OR links IS NOT NULL OR component IS NOT NULL")
     named = saved(named.select("x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "named-vectors")
-    out = rows.select("id").join(one.join(named, "x").select("id", "n", "component"), "id", "left")
+    usable = F.col("x").isNotNull() & F.exists("x", lambda v: v != 0)
+    out = rows.select("id", usable.alias("usable")).join(one.join(named, "x").select("id", "n", "component"), "id", "left")
+    out = out.withColumns({c: F.when(F.col("usable"), F.col(c)) for c in ("n", "component")})
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -2,15 +2,17 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltline.llm.blocks import strangers
 from siltline.llm.graph import components
 from siltline.llm.minhash import near_duplicates
 from siltline.llm.top_k import BASE, CoverTree, top_k
-from siltline.llm.vector_dups import near_vectors, retained_for
+from siltline.llm.vector_dups import directions, near_vectors, projections_for, retained_for, strongest
 
 from .conftest import prose
 
@@ -134,7 +136,7 @@ def test_vectors_of_one_id_count_once(spark):
     rows = [(5, near[0]), (5, near[1]), (6, near[2]), (5, None), (None, near[0]), (7, [0.0, 0.0, 1.0])]
     out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").toPandas()
     got = sorted((r.vec_id if r.vec_id == r.vec_id else -1, r.n_links, r.component_id if r.component_id == r.component_id else -1, r.kept) for r in out.itertuples())
-    assert got == [(-1, 0, -1, True), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+    assert got == [(-1, 0, -1, True), (5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
 
 
 def test_calibration_says_where_it_fails():
@@ -206,3 +208,63 @@ def test_far_blocks_are_not_met(spark, monkeypatch):
     assert got == want
     all_pairs = kept["query-table"][0].count() * kept["candidate-table"][0].count()
     assert sum(t.count() for t in kept["block-pairs"]) < all_pairs / 2
+
+
+def test_chance_meetings_grow_as_the_vectors(spark):
+    """Pairs of vectors that keep one pair of directions, before any window: five times the vectors, less than six times the pairs."""
+    met = []
+    for n in (10_000, 50_000):
+        projections, rng = projections_for(n), np.random.default_rng(5)
+        to, retained = directions(64, projections), retained_for(64, 0.95, projections, 0.999)
+        runs = []
+        for _ in range(n // 2_000):
+            top, _ = strongest(rng.standard_normal((2_000, 64)) / 8, to, retained)
+            runs += [top[:, a].astype(np.int64) * (2 * projections) + top[:, b] for a, b in itertools.combinations(range(retained), 2)]
+        _, members = np.unique(np.concatenate(runs), return_counts=True)
+        met.append(int((members * (members - 1) // 2).sum()))
+    assert met[1] < 6 * met[0], met
+    assert projections_for(0) == projections_for(10_000) == 2048 and projections_for(10**9) > 600_000
+
+
+def test_many_projections_have_coarser_places(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.03 * rng.standard_normal(base.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.triu(unit @ unit.T >= 0.95, 1).sum()
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = near_vectors(df, "vec_id", "embedding", projections=1 << 15).toPandas()
+    assert out["n_links"].sum() == 2 * want > 0
+
+
+def test_a_stranger_among_many_of_one_kind(spark):
+    dealt = []
+    for n in (4_000, 20_000):
+        rows = spark.range(n).selectExpr("1L AS v", "id", "0L AS component").union(spark.createDataFrame([(1, n, n)], "v long, id long, component long"))
+        met = strangers(rows, "v", "id", "component", 256)
+        blocks = -(-n // 256)
+        dealt.append(met.count())
+        assert dealt[-1] == n + blocks + 1 and met.where(f"id = {n}").count() == blocks + 1  # its own block is dealt to itself
+    assert dealt[1] < 6 * dealt[0]
+
+
+def test_all_of_different_kinds_meet_once(spark):
+    rng = random.Random(3)
+    rows = [(v, i, rng.choice([0, 0, 0, 1, 1, i + 100])) for v in range(6) for i in range(rng.choice([1, 2, 30, 90]))]
+    cells = {}
+    for r in strangers(spark.createDataFrame(rows, "v long, id long, component long"), "v", "id", "component", 8).collect():
+        cells.setdefault((r.v, r.left_block, r.right_block), []).append((r.block, r.id, r.component))
+    met = Counter()
+    for (v, left, right), own in cells.items():
+        for (b, i, c), (d, j, e) in itertools.combinations(own, 2):
+            if c != e and {b, d} == {left, right} and (b != d or left == right):
+                met[v, min(i, j), max(i, j)] += 1
+    want = {(v, min(i, j), max(i, j)) for (v, i, c), (w, j, e) in itertools.combinations(rows, 2) if v == w and c != e}
+    assert set(met) == want and set(met.values()) == {1}
+    assert max(map(len, cells.values())) <= 60
+
+
+def test_rows_without_a_usable_vector_link_with_nothing(spark):
+    rows = [(5, [1.0, 0.0]), (5, None), (6, [1.0, 0.001]), (5, [0.0, 0.0]), (7, [float("nan"), 1.0]), (3, [1.0, 0.0005])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect())
+    assert got == [(3, 2, 3, True), (5, 0, 5, True), (5, 0, 5, True), (5, 2, 3, False), (6, 2, 3, False), (7, 0, 7, True)]
