@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltline.functions.text import let
+
 #: RFC 3986, appendix B: scheme, authority, path, query.
 RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Query keys that name a campaign, not a page.
@@ -73,21 +75,64 @@ def _ipv4_is_global(h: Column) -> Column:
     return ~inward
 
 
+def _ipv6_groups(h: Column) -> Column:
+    """The eight groups of an address as numbers; null if it is none."""
+
+    def parted(bare: Column) -> Column:
+        quad = [F.regexp_extract(bare, r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).cast("int") for i in (1, 2, 3, 4)]
+        tail = F.concat(F.hex(quad[0] * 256 + quad[1]), F.lit(":"), F.hex(quad[2] * 256 + quad[3]))
+        return F.split(F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"[\d.]+$", ""), tail)).otherwise(bare), "::")
+
+    def filled(sides: Column) -> Column:
+        left, right = (F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
+        missing = F.when(F.size(sides) == 2, F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
+        return F.when(F.size(sides) <= 2, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    def numbered(whole: Column) -> Column:
+        sound = (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(sound, F.transform(whole, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    return let(let(let(F.substring_index(h, "%", 1), parted), filled), numbered)
+
+
+def _ipv6_is_global(h: Column) -> Column:
+    """By the registry of special addresses; null if it is no address."""
+
+    def told(groups: Column) -> Column:
+        g = [F.get(groups, F.lit(i)) for i in range(8)]
+        zero = lambda upto: F.forall(F.slice(groups, 1, upto), lambda x: x == 0)
+        quad = F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(g[6], 8), g[6] % 256, F.shiftright(g[7], 8), g[7] % 256)])
+        special = (
+            (zero(7) & (g[7] <= 1)) | ((g[0] == 0x64) & (g[1] == 0xFF9B) & (g[2] == 1)) | ((g[0] == 0x100) & (g[1] == 0) & (g[2] == 0) & (g[3] == 0)) | ((g[0] == 0x2001) & (g[1] == 0xDB8)) | (g[0] == 0x2002)
+            | g[0].between(0xFC00, 0xFDFF) | g[0].between(0xFE80, 0xFEBF)
+        )
+        # 2001::/23 is for protocols, but for a few of these that are global
+        anycast = (g[1] == 1) & F.forall(F.slice(groups, 3, 5), lambda x: x == 0) & g[7].between(1, 2)
+        exempt = anycast | (g[1] == 3) | ((g[1] == 4) & (g[2] == 0x112)) | g[1].between(0x20, 0x3F)
+        protocol = (g[0] == 0x2001) & (g[1] < 0x200) & ~exempt
+        return F.when(zero(5) & (g[5] == 0xFFFF), let(quad, _ipv4_is_global)).otherwise(~(special | protocol))
+
+    return let(_ipv6_groups(h), lambda groups: F.when(groups.isNotNull(), told(groups)))
+
+
 def why_not_dialable(url: Column) -> Column:
     """Null if the address may be dialled, else the reason. Names are not resolved here."""
-    h, scheme = host(url), F.lower(_part(url, 1))
-    quad = h.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
-    inward = h.isin(*LOOPBACK_NAMES)
-    for ending in INTERNAL_SUFFIXES:
-        inward = inward | h.endswith(ending)
-    local6 = h.rlike(r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|::ffff:.*|2001:db8:.*|100::.*)$")
-    return (
-        F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme "), scheme, F.lit(" is not fetchable")))
-        .when(h == "", "no host in address")
-        .when(inward, "address resolves inward")
-        .when(quad & ~_ipv4_is_global(h), "address is not on the public internet")
-        .when(h.contains(":") & local6, "address is not on the public internet")
-    )
+
+    def reason(own: Column) -> Column:
+        h, scheme = own["host"], own["scheme"]
+        quad = h.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
+        inward = h.isin(*LOOPBACK_NAMES)
+        for ending in INTERNAL_SUFFIXES:
+            inward = inward | h.endswith(ending)
+        return (
+            F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme '"), scheme, F.lit("' is not fetchable")))
+            .when(h == "", "no host in address")
+            .when(inward, "address resolves inward")
+            .when(quad & ~_ipv4_is_global(h), "address is not on the public internet")
+            .when(h.contains(":") & ~F.coalesce(_ipv6_is_global(h), F.lit(True)), "address is not on the public internet")
+        )
+
+    return let(F.struct(host(url).alias("host"), F.lower(_part(url, 1)).alias("scheme")), reason)
 
 
 def classify_status(status: Column) -> Column:

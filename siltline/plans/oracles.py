@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "visual_ordinals": plan + "SELECT day, item_id, CASE WHEN carried_by > 1 THEN 'chart' ELSE 'none' END AS kind, CASE WHEN carried_by > 1 THEN sum(CASE WHEN carried_by > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY day, vertical ORDER BY ordinal)::BIGINT END AS visual_ordinal FROM plan",
         "url_canonical": f"WITH {CANONICAL} SELECT page_id, canonical_url, sha256(canonical_url) AS url_key FROM canon",
         "url_dedupe": f"WITH {CANONICAL} SELECT sha256(canonical_url) AS url_key, canonical_url, count(*) AS carried_by, min(page_id) AS first_page FROM canon GROUP BY canonical_url",
-        "url_dialable": f"SELECT page_id, reason IS NULL AS dialable, reason, robots_url FROM (SELECT page_id, {part('url', 1)} || '://' || {part('url', 2)} || '/robots.txt' AS robots_url, CASE WHEN lower({part('url', 1)}) NOT IN ('http', 'https') THEN 'scheme ' || lower({part('url', 1)}) || ' is not fetchable' WHEN {host('url')} = '' THEN 'no host in address' WHEN regexp_matches({host('url')}, '^(localhost|ip6-localhost|ip6-loopback)$|\\.(localhost|local|internal|localdomain)$') THEN 'address resolves inward' WHEN regexp_matches({host('url')}, '^(0|10|127|192\\.168|169\\.254)\\.') THEN 'address is not on the public internet' END AS reason FROM pages)",
+        "url_dialable": f"SELECT page_id, reason IS NULL AS dialable, reason, robots_url FROM (SELECT page_id, {part('url', 1)} || '://' || {part('url', 2)} || '/robots.txt' AS robots_url, CASE WHEN lower({part('url', 1)}) NOT IN ('http', 'https') THEN 'scheme ''' || lower({part('url', 1)}) || ''' is not fetchable' WHEN {host('url')} = '' THEN 'no host in address' WHEN regexp_matches({host('url')}, '^(localhost|ip6-localhost|ip6-loopback)$|\\.(localhost|local|internal|localdomain)$') THEN 'address resolves inward' WHEN regexp_matches({host('url')}, '^(0|10|127|192\\.168|169\\.254)\\.') THEN 'address is not on the public internet' END AS reason FROM pages)",
         "host_rollup": f"SELECT {DOMAIN} AS domain, count(*) AS pages FROM pages GROUP BY 1",
         "word_counts": f"SELECT doc_id, CAST(len({words('text')}) AS INTEGER) AS words, CAST(len({split_words('text')}) AS INTEGER) AS split_words, CAST(trunc(len({split_words('text')}) * 1.3::DOUBLE) AS INTEGER) AS tokens FROM documents",
         "lead_text": f"SELECT doc_id, {lead('text')} AS lead FROM documents",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +42,24 @@ def sampling_spelling(temperature: float, top_p: float, seed: int, max_output_to
     return f"temperature={temperature:.4f};top_p={top_p:.4f};seed={seed};max_output_tokens={max_output_tokens};thinking={'on' if thinking else 'off'}"
 
 
+class Runs:
+    """Runs in a text that holds JSON arrays or objects one after the other; what is between them is passed over."""
+
+    def eval(self, text: str):
+        decoder, seq = json.JSONDecoder(), 0
+        begins = re.compile(r"[\[{]")
+        found = begins.search(text or "")
+        while found:
+            own, at = decoder.raw_decode(text, found.start())
+            for r in own if isinstance(own, list) else [own]:
+                name = str(r.get("model_filename", r.get("model", "?"))).rpartition("/")[2]
+                yield name, int(r.get("n_threads", 0)), int(r.get("n_prompt", 0)), int(r.get("n_gen", 0)), float(r["avg_ts"]), float(r.get("stddev_ts", 0.0)), seq
+                seq += 1
+            found = begins.search(text, at)
+
+
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark runs of files that hold several JSON arrays one after the other; ``seq`` keeps their order in a file."""
+    """Benchmark runs of files; ``seq`` keeps their order in a file."""
     schema = "model string, n_threads int, n_prompt int, n_gen int, avg_ts double, stddev_ts double, seq int"
-
-    class Runs:
-        def eval(self, text: str):
-            decoder, at, seq = json.JSONDecoder(), 0, 0
-            while text and (at := len(text) - len(text[at:].lstrip())) < len(text):
-                own, at = decoder.raw_decode(text, at)
-                for r in own:
-                    name = str(r.get("model_filename", r.get("model", "?"))).rpartition("/")[2]
-                    yield name, int(r.get("n_threads", 0)), int(r.get("n_prompt", 0)), int(r.get("n_gen", 0)), float(r["avg_ts"]), float(r.get("stddev_ts", 0.0)), seq
-                    seq += 1
-
-    spark.udtf.register("siltline_runs", F.udtf(Runs, returnType=schema))
-    spark.read.text(path, wholetext=True).createOrReplaceTempView("siltline_run_files")
-    return spark.sql("SELECT r.* FROM siltline_run_files f, LATERAL siltline_runs(f.value) r")
+    files = spark.read.text(path, wholetext=True)
+    return files.lateralJoin(F.udtf(Runs, returnType=schema)(F.col("value").outer())).drop("value")
