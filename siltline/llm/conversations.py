@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import bounded_batches, saved
+from siltline.llm.common import bounded_batches, discard, saved
 
 NOTHING, S, U, A = range(4)
 #: The state behind a user or assistant turn that follows each state; only one of the two may follow.
@@ -280,15 +280,16 @@ def repair_conversations(rows: DataFrame, conv: str, turn: str, role: str, text:
     own = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), spaced(role).alias("role"), spaced(text).alias("text"))
     named = own.select("conv") if ids is None else ids.select(F.col(conv).alias("conv")).union(own.select("conv"))
     # a number for each row, written down: equal rows can then be told apart and lie in many tasks
-    own = saved(own.select(key, "turn", "role", "text", F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("nth")), "conversation-rows")
+    numbered = saved(own.select(key, "turn", "role", "text", F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("nth")), "conversation-rows")
 
     place = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "nth").alias("place")
-    firsts = own.where(F.rtrim("text", F.lit(SPACE)) != "").groupBy("key", "role", "sha").agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
-    marked = own.join(firsts, ["key", "role", "sha"], "left")
+    firsts = numbered.where(F.rtrim("text", F.lit(SPACE)) != "").groupBy("key", "role", "sha").agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    marked = numbered.join(firsts, ["key", "role", "sha"], "left")
     kind = _faults(F.col("role"), F.col("text"), F.col("first").isNotNull() & (F.col("first") != place)).cast("short")
     order = ["key", "turn", "role", "sha", "nth"]
     marked = marked.select(*order, kind.alias("kind"), F.when(kind % 16 % 3 < 2, F.col("text")).alias("text"))
     ordered = saved(marked.repartitionByRange(*order).sortWithinPartitions(*order).select("key", F.monotonically_increasing_id().alias("pos"), "turn", "kind", "role", "text"), "conversations-sorted")
+    discard(numbered)
 
     blocks = ordered.select("key", "pos", "turn", "kind").mapInArrow(lambda batches: _blocks(batches, block), BLOCK_DDL)
     points = blocks.repartition("key").sortWithinPartitions("key", F.desc("pos")).mapInArrow(_checkpoints, BLOCK_DDL + ", behind array<long>, last boolean")
