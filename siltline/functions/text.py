@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltline.functions.runs import longest_common_run
+
 #: What counts as a word, a sentence end, a number and a capitalised run; measured rows must stay comparable.
 WORD = r"[A-Za-z0-9][A-Za-z0-9'.,-]*"
 SENTENCE = r"(?<=[.!?])\s+"
@@ -107,29 +109,9 @@ def extractiveness(summary: Column, source: Column) -> Column:
     return let(ngrams(tokens(summary)), lambda own: ratio(F.size(F.array_intersect(own, ngrams(tokens(source)))), F.size(own)))
 
 
-def longest_run(own: Column, source: Column) -> Column:
-    """Length of the longest run of ``own`` that occurs in ``source``, both arrays of tokens.
-
-    The longest run that ends at a place is at most one longer than the longest one so far, so one
-    look-up per token settles it, and nothing is joined or exploded.
-    """
-    edge = "\x01"
-
-    def longest(both: Column) -> Column:
-        words_, hay = both["words"], both["hay"]
-
-        def step(best: Column, at: Column) -> Column:
-            run = F.concat(F.lit(edge), F.array_join(F.slice(words_, at - best, best + 1), edge), F.lit(edge))
-            return F.when((at > best) & hay.contains(run), best + 1).otherwise(best)
-
-        places = F.sequence(F.lit(1), F.greatest(F.size(words_), F.lit(1)))
-        return F.when(F.size(words_) == 0, F.lit(0)).otherwise(F.aggregate(places, F.lit(0), step))
-
-    return let(F.struct(own.alias("words"), F.concat(F.lit(edge), F.array_join(source, edge), F.lit(edge)).alias("hay")), longest)
-
-
 def verbatim_run(summary: Column, source: Column) -> Column:
-    return let(tokens(summary), lambda own: ratio(longest_run(own, tokens(source)), F.size(own)))
+    """Length of the longest run of the summary's tokens that occurs in the source, as a share of the summary."""
+    return ratio(longest_common_run(summary, source, WORD), F.size(tokens(summary)))
 
 
 def checkable_numbers(text: Column) -> Column:
@@ -177,15 +159,15 @@ def measures(summary: Column, source: Column) -> Column:
         named = F.size(F.filter(x["names"], lambda n: F.lower(x["summary"]).contains(n))) + F.size(F.array_intersect(x["lead_numbers"], x["own_numbers"]))
         total = F.size(x["names"]) + F.size(x["lead_numbers"])
         return F.struct(
-            F.when(total == 0, F.lit(1.0)).otherwise(ratio(named, total)).alias("coverage"), ratio(F.size(own), F.size(hay)).alias("compression"), shared.alias("extractiveness"), ratio(longest_run(own, hay), F.size(own)).alias("verbatim_run"),
+            F.when(total == 0, F.lit(1.0)).otherwise(ratio(named, total)).alias("coverage"), ratio(F.size(own), F.size(hay)).alias("compression"), shared.alias("extractiveness"), ratio(x["run"], F.size(own)).alias("verbatim_run"),
             F.size(F.array_except(x["own_numbers"], x["numbers"])).alias("unsupported_numbers"), (opening.rlike(HEDGE) & ~x["summary"].rlike(HEDGE)).alias("hedge_dropped"), F.size(hay).alias("source_word_count"), F.size(own).alias("summary_word_count"),
         )
 
     def with_lead(x: Column) -> Column:
         lead_parts = (entities(x["opening"]).alias("names"), checkable_numbers(x["opening"]).alias("lead_numbers"))
-        return F.struct(*[x[c].alias(c) for c in ("own", "hay", "opening", "own_numbers", "numbers", "summary")], *lead_parts)
+        return F.struct(*[x[c].alias(c) for c in ("own", "hay", "opening", "own_numbers", "numbers", "summary", "run")], *lead_parts)
 
-    cut = F.struct(tokens(summary).alias("own"), tokens(source).alias("hay"), lead(source).alias("opening"), checkable_numbers(summary).alias("own_numbers"), checkable_numbers(source).alias("numbers"), summary.alias("summary"))
+    cut = F.struct(tokens(summary).alias("own"), tokens(source).alias("hay"), lead(source).alias("opening"), checkable_numbers(summary).alias("own_numbers"), checkable_numbers(source).alias("numbers"), summary.alias("summary"), longest_common_run(summary, source, WORD).alias("run"))
     return let(let(cut, with_lead), made)
 
 
