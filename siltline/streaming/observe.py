@@ -42,14 +42,14 @@ class Observer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows)).sort_values(["at", "fingerprint", "output_digest"], kind="stable")
-        was = self.last.get() if self.last.exists() else None
+        was = self.last.get()
+        if was is not None:  # its timer is known by its time, so none is listed
+            self.handle.deleteTimer(was[2] + self.keep)
         seen = []
         for f, o, at in zip(own["fingerprint"], own["output_digest"], own["at"], strict=True):
             f, o = None if pd.isna(f) else f, None if pd.isna(o) else o
             seen.append(observation(was, f, o))
             was = (f, o, int(at.value // 1_000_000))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer(was[2] + self.keep)
         self.last.update(was)
         yield pd.DataFrame({"item": [key[0]] * len(seen), "at": list(own["at"]), "observation": seen})
