@@ -22,19 +22,6 @@ def repeated(rows: DataFrame, table: str, columns: list[str], rule: str) -> Data
     return twice.select(F.lit(table).alias("table"), F.concat_ws("/", *columns).alias("key"), F.lit(rule).alias("rule"))
 
 
-def rising(rows: DataFrame, table: str, key: str, partition: list[str], order: str, value: str, rule: str, descending: bool = False) -> DataFrame:
-    """Rows whose value turns back in the order given."""
-    before = F.lag(value).over(Window.partitionBy(*partition).orderBy(order))
-    bad = F.col(value) > before if descending else F.col(value) < before
-    return rows.withColumn("bad", bad).where("bad").select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"))
-
-
-def gapless(rows: DataFrame, table: str, key: str, partition: list[str], number: str, rule: str) -> DataFrame:
-    """Rows that are not numbered 1, 2, 3 ... within their partition."""
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(number))
-    return rows.withColumn("place", place).where(F.col("place") != F.col(number)).select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"))
-
-
 def violations(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
@@ -127,6 +114,27 @@ def check_sources(rows: DataFrame) -> DataFrame:
     return violations(check_lifecycle(rows, "feed", "id"), repeated(rows, "feed", ["id"], "feed ids are distinct"), repeated(rows, "feed", ["url"], "feed addresses are distinct"))
 
 
+def check_watchlist(entities: DataFrame) -> DataFrame:
+    """Entities: id, cik, feeds (ids), status, retired_on."""
+    feeds = entities.select(F.explode("feeds").alias("feed"))
+    ciks = entities.where("cik IS NOT NULL")
+    return violations(
+        repeated(entities, "entity", ["id"], "entity ids are distinct"), repeated(feeds, "entity feed", ["feed"], "feed ids are distinct across entities"), repeated(ciks, "entity", ["cik"], "a CIK names one entity"),
+        check_lifecycle(entities, "entity", "id"),
+    )
+
+
+def check_vocabulary(labels: DataFrame, known: DataFrame, table: str) -> DataFrame:
+    """Every known id is labelled once and no other is; both have ``id``."""
+    times = labels.groupBy("id").agg(F.count("*").alias("times"))
+    rows = known.select("id").distinct().withColumn("known", F.lit(True)).join(times, "id", "full")
+    return broken(rows, table, "id", {"it is in the vocabulary": F.col("known"), "it is labelled once": F.coalesce("times", F.lit(0)) == 1})
+
+
+def check_edgar(policies: DataFrame, key: str) -> DataFrame:
+    return broken(policies, "policy", key, {"a contact is declared where it is enabled": ~F.col("enabled") | F.col("contact_email").isNotNull(), "one to ten requests a second": F.col("requests_per_second").between(1, 10)})
+
+
 def check_routes(rows: DataFrame, key: str) -> DataFrame:
     """A kind, its format, its spec and the state of its picture agree."""
     none, wanted = F.col("kind") == "none", F.when(F.col("kind") == "chart", "vega_lite").when(F.col("kind") == "diagram", "mermaid").otherwise("image_prompt")

@@ -144,7 +144,7 @@ def day_folders(spark, sf):
     """A document for each planned day in its year/month/day folder; the days are then found by their folders."""
     root = shared_folder(spark, "digest")
     rows = Q.plan_day(spark, sf).groupBy(F.col("day").alias("date")).agg(F.count("*").alias("items"))
-    texts = rows.select(F.concat(F.lit(root + "/"), F.replace("date", F.lit("-"), F.lit("/")), F.lit("/digest.json")).alias("path"), canonical.document(F.struct("date", "items"), rows.schema).alias("document"))
+    texts = rows.select(F.concat(contracts.day_path(F.col("date"), root), F.lit("/digest.json")).alias("path"), canonical.document(F.struct("date", "items"), rows.schema).alias("document"))
     contracts.write_documents(texts, "path", "document").write.format("noop").mode("overwrite").save()
     read = contracts.results_in(spark, f"{root}/*/*/*", "date string, items long").drop("file")
     return contracts.days_below(spark, root).join(read, "date").select("date", "items")
@@ -338,6 +338,27 @@ def visual_checks(spark, sf):
     return checks.check_visuals(rows, "o_orderkey")
 
 
+def asset_paths(spark, sf):
+    """Documents' pictures by day."""
+    k = F.col("doc_id")
+    return S.table(spark, sf, "documents").select("doc_id", contracts.asset_path(S.day(k), F.concat("lang", F.lit("-"), k), k % 7).alias("path"))
+
+
+def config_checks(spark, sf):
+    """Documents as entities, languages as labels, ids as policies and verdicts, each with faults by its number."""
+    k = F.col("doc_id")
+    docs = S.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source")
+    entities = docs.select(
+        F.concat("source", F.lit("-"), k % 5000).alias("id"), F.when(k % 3 == 0, F.col("n_chars").cast("string")).alias("cik"), F.array(F.concat("lang", k), F.concat(F.lit("f"), k % 4001)).alias("feeds"),
+        F.when(k % 4 == 0, "retired").otherwise("active").alias("status"), F.when(k % 6 == 0, "2026-01-01").alias("retired_on"),
+    )
+    known = docs.select("source").distinct().where("source <> 'src3'").select(F.col("source").alias("id")).union(docs.select(F.lit("src-new").alias("id")).distinct())
+    labels = docs.select(F.col("source").alias("id")).distinct().union(docs.where("source = 'src5'").select(F.col("source").alias("id")).distinct())
+    policies = docs.select("doc_id", (k % 2 == 0).alias("enabled"), F.when(k % 10 > 0, "a@b.example").alias("contact_email"), (k % 12).alias("requests_per_second"))
+    verdicts = docs.select(F.concat(F.lit("model-"), k).alias("model_id"), F.when(k % 3 == 0, "switch_and_pause").otherwise("confirmed").alias("verdict"), (k % 7 == 0).alias("is_incumbent"), (k % 2 == 0).alias("selected"))
+    return checks.violations(checks.check_watchlist(entities), checks.check_vocabulary(labels, known, "source"), checks.check_edgar(policies, "doc_id"), checks.check_validation(verdicts))
+
+
 def digest_items(spark, sf):
     """Planned items as published: the whole projection, with lists joined."""
     plan = Q.plan_day(spark, sf)
@@ -368,7 +389,7 @@ def score_ledger(spark, sf):
 
 QUERIES = (
     canonical_json, output_digest, text_digests, feed_candidates, feed_file_candidates, front_page_votes, live_feeds, feed_links, fetch_retries, ledger_roundtrip, stamp_rows, stamp_checks, json_documents, day_folders, day_partitions, runs_appended, next_runs, day_vectors, bench_runs, model_calls,
-    context_fit, vertical_page, unread_items, searchable_vectors, article_lead, fact_menu, reply_parts, name_marks, item_vectors, text_vectors, dual_scores, article_checks, summary_checks, route_checks, plan_checks, day_checks, run_checks, source_checks, visual_checks, digest_items, score_ledger,
+    context_fit, vertical_page, unread_items, searchable_vectors, article_lead, fact_menu, reply_parts, name_marks, item_vectors, text_vectors, dual_scores, article_checks, summary_checks, route_checks, plan_checks, day_checks, run_checks, source_checks, visual_checks, asset_paths, config_checks, digest_items, score_ledger,
 )
 
 

@@ -119,6 +119,18 @@ def oracle_sql() -> dict[str, str]:
         "fact_menu": "SELECT l_orderkey, md5(string_agg(i || ': ' || v || ' ' || u || ' | line ' || n, chr(10) ORDER BY i)) AS md5 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) - 1 AS i, CAST(l_quantity AS INTEGER) AS v, l_returnflag AS u, l_linenumber AS n FROM lineitem) GROUP BY 1",
         "reply_parts": "SELECT conv_id, turn, role AS thinking, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS md5 FROM conversations",
         "name_marks": "SELECT c_custkey, upper(c_mktsegment[1] || c_name[1]) AS monogram, CAST(list_reduce(list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS INTEGER) AS swatch, c_nationkey || CASE WHEN c_nationkey = 1 THEN ' nation' ELSE ' nations' END AS counted FROM customer",
+        "asset_paths": "SELECT doc_id, 'digest/2026/08/' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '/' || lang || '-' || doc_id || '-' || lpad(CAST(doc_id % 7 AS VARCHAR), 2, '0') || '.svg' AS path FROM documents",
+        "config_checks": """WITH e AS (SELECT *, source || '-' || doc_id % 5000 AS id FROM documents)
+SELECT 'entity' AS "table", id AS key, 'entity ids are distinct' AS rule FROM e GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'entity feed', f, 'feed ids are distinct across entities' FROM (SELECT unnest([lang || doc_id, 'f' || doc_id % 4001]) AS f FROM e) GROUP BY f HAVING count(*) > 1
+UNION ALL SELECT 'entity', CAST(n_chars AS VARCHAR), 'a CIK names one entity' FROM e WHERE doc_id % 3 = 0 GROUP BY n_chars HAVING count(*) > 1
+UNION ALL SELECT 'entity', id, 'retired has a date, others none' FROM e WHERE (doc_id % 4 = 0) <> (doc_id % 6 = 0)
+UNION ALL SELECT 'source', 'src3', r FROM (SELECT unnest(['it is in the vocabulary']) AS r) WHERE EXISTS (FROM e WHERE source = 'src3')
+UNION ALL SELECT 'source', 'src-new', 'it is labelled once' WHERE EXISTS (FROM e)
+UNION ALL SELECT 'source', 'src5', 'it is labelled once' WHERE EXISTS (FROM e WHERE source = 'src5')
+UNION ALL SELECT 'policy', CAST(doc_id AS VARCHAR), 'a contact is declared where it is enabled' FROM e WHERE doc_id % 10 = 0
+UNION ALL SELECT 'policy', CAST(doc_id AS VARCHAR), 'one to ten requests a second' FROM e WHERE doc_id % 12 IN (0, 11)
+UNION ALL SELECT 'validation', 'model-' || doc_id, 'a switch does not select the model in use' FROM e WHERE doc_id % 42 = 0""",
         "dual_scores": f"""WITH {PAIRS}, total AS (SELECT count(*) AS total FROM documents),
 df AS (SELECT c, count(*) AS n FROM (SELECT DISTINCT doc_id, substr(md5(t), 1, 4) AS c FROM (SELECT doc_id, unnest({tokens('text')}) AS t FROM documents)) GROUP BY c),
 split AS (SELECT doc_id, {tokens('summary')} AS h, {tokens('source_text')} AS f, {split_words('source_text')} AS s FROM pairs),

@@ -8,7 +8,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,13 +164,13 @@ def digests(spark: SparkSession, paths: str, piece: int = 1 << 20) -> DataFrame:
     return listed.mapInArrow(digest, "path string, sha256 string")
 
 
-def day_path(date: str, root: str = "digest") -> str:
-    year, month, day = date.split("-")
-    return f"{root}/{year}/{month}/{day}"
+def day_path(date: Column, root: str = "digest") -> Column:
+    """The folder of a day, year/month/day."""
+    return F.concat(F.lit(f"{root}/"), F.replace(date, F.lit("-"), F.lit("/")))
 
 
-def asset_path(date: str, item_id: str, ordinal: int, suffix: str = "svg") -> str:
-    return f"{day_path(date)}/{item_id}-{ordinal:02d}.{suffix}"
+def asset_path(date: Column, item_id: Column, ordinal: Column, suffix: str = "svg") -> Column:
+    return F.concat(day_path(date), F.lit("/"), item_id, F.lit("-"), F.lpad(ordinal.cast("string"), 2, "0"), F.lit(f".{suffix}"))
 
 
 def results_in(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
