@@ -172,6 +172,7 @@ def test_contracts_and_ledgers(spark, tmp_path):
 
 
 def test_streamed_append_writes_nothing_twice(spark, tmp_path):
+    from siltline.sources.journal import Journal
     from siltline.streaming.append import append_stream, sessions
 
     source, ledger_path = str(tmp_path / "in"), str(tmp_path / "ledger")
@@ -180,7 +181,7 @@ def test_streamed_append_writes_nothing_twice(spark, tmp_path):
     run()
     spark.createDataFrame([("b", 4), ("c", 5)], "key string, n int").write.mode("append").parquet(source)
     run()
-    assert sorted(rows_of(spark.read.parquet(ledger_path))) == [("a", 1), ("b", 3), ("c", 5)]
+    assert sorted(rows_of(Journal(spark, ledger_path).read("rows", "key string, n int"))) == [("a", 1), ("b", 3), ("c", 5)]
     times = spark.createDataFrame([("u", "2026-01-01 00:00:00"), ("u", "2026-01-01 00:04:00"), ("u", "2026-01-01 01:00:00")], "g string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in sessions(times, "t", "g", "5 minutes").collect()) == [1, 2]
 

@@ -36,7 +36,7 @@ def test_canonical_addresses(spark, raw, want):
 @pytest.mark.parametrize(
     ("url", "why"),
     [
-        ("https://example.com/", None), ("ftp://example.com/", "scheme ftp is not fetchable"), ("https:///x", "no host in address"), ("http://localhost/", "address resolves inward"),
+        ("https://example.com/", None), ("ftp://example.com/", "scheme 'ftp' is not fetchable"), ("https:///x", "no host in address"), ("http://localhost/", "address resolves inward"),
         ("http://db.internal/x", "address resolves inward"), ("http://10.0.0.1/", "address is not on the public internet"), ("http://100.64.0.1/", "address is not on the public internet"),
         ("http://8.8.8.8/", None), ("http://[::1]/", "address is not on the public internet"), ("http://172.32.0.1/", None), ("http://169.254.169.254/", "address is not on the public internet"),
     ],
