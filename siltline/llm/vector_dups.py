@@ -74,12 +74,17 @@ def directions(dimension: int, n: int, seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed + dimension).standard_normal((dimension, n)).astype(np.float32)
 
 
-def strongest(unit: np.ndarray, to: np.ndarray, retained: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signed directions of the largest projections of each row, ascending, and their values."""
-    value = unit.astype(np.float32) @ to
-    value = np.concatenate([value, -value], 1)
-    top = np.sort(np.argpartition(-value, retained - 1, axis=1)[:, :retained], 1)
-    return top.astype(np.int32), np.take_along_axis(value, top, 1)
+def strongest(unit: np.ndarray, to: np.ndarray, retained: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Signed directions of the largest projections of each row, ascending, and their values; ``most`` projections at once."""
+    tops, values = [np.zeros((0, retained), np.int32)], [np.zeros((0, retained), np.float32)]
+    rows = max(1, most // to.shape[1])
+    for a in range(0, len(unit), rows):
+        value = unit[a : a + rows].astype(np.float32) @ to
+        value = np.concatenate([value, -value], 1)
+        top = np.sort(np.argpartition(-value, retained - 1, axis=1)[:, :retained], 1)
+        tops.append(top.astype(np.int32))
+        values.append(np.take_along_axis(value, top, 1))
+    return np.concatenate(tops), np.concatenate(values)
 
 
 @functools.lru_cache(maxsize=64)
