@@ -20,6 +20,7 @@ What is broadcast is bounded by proof: a word whose count is at least N / PLACES
 most PLACES. Every other word's count is joined. Null and empty texts are one end. A very long text
 is read by one task, step by step, in memory that does not grow with it beyond its tokens. Repeated
 rows are counted and scored each for itself. A null id belongs to no fold: its text is counted and scored.
+Only the two named columns are read, whatever others are called. Words of equal count are listed in the order of their hashes.
 """
 
 from __future__ import annotations

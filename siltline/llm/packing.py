@@ -9,7 +9,10 @@ table of rank bases has a row for each task and length; it is joined as the engi
 broadcast while it is small.
 
 Null and empty texts hold the end id alone; rows with equal ids, or with none, are packed each for
-itself. A very long text is encoded in one task and cut into full pieces and one rest.
+itself. A very long text is encoded in one task and cut into full pieces and one rest. Pieces of equal
+length take the places of that length by task and then by order in it, so which of them lies where
+depends on how the rows are dealt; lengths and sequences do not. Only the two named columns are read, whatever
+others are called. An empty table gives no pieces.
 """
 
 from __future__ import annotations
