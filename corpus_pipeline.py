@@ -3,7 +3,9 @@
 Quality and toxicity drop what they reject, near-duplicate detection keeps one document of each
 group, and packing returns pieces in sequences. A document is dropped by its own text alone in the
 first two stages; in the third it goes if its group has a smaller id. Rows with one id are one
-document: they stay or go together. Rows without an id stay unless a copy with an id does.
+document: they stay or go together. Rows without an id stay unless a copy with an id does. Null and empty
+texts are documents like others to all stages. Every stage reads very long texts whole, in the memory of the
+task that holds them; further columns of documents pass through to the last stage. An empty table gives no pieces.
 """
 
 from __future__ import annotations
