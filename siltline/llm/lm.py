@@ -25,6 +25,7 @@ Only the two named columns are read, whatever others are called. Words of equal
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +38,10 @@ from siltline.llm.common import binary_list, bounded_batches, mixed, saved, slic
 PLACES = 2_000_000
 LISTED_ROOT, CLASS_ROOT = 1.0, 0.75
 HIDDEN, INPUT = 16, 16
-#: Steps between two looks at the outputs when scoring, and steps of truncated backpropagation.
+#: Steps of a full group of texts between two looks at the outputs when scoring, and steps of truncated backpropagation.
 WINDOW, UNROLL = 32, 16
+#: Rows whose outputs are worked out at a time: those stay in a core's cache, which tasks on other cores do not share.
+CACHED = 512
 ROUNDS, PER_WEIGHT = 3, 8
 #: Output weights stay within this, so that exp of HIDDEN of them and a bias neither overflows nor needs a maximum taken off.
 REACH = 4.0
@@ -176,13 +179,36 @@ class Vocabulary:
             mass[s] = (n - int(c[own].sum())) + 0.5 * (v - len(own) + 1)
         return Vocabulary(total, distinct, least, keys, c, listed, class_edges(c[order]), mass)
 
+    @functools.cached_property
+    def drawers(self) -> tuple[int, np.ndarray]:
+        """Keys are hashes: cut by their first bits they lie evenly in about as many drawers; bits cut off, and where each drawer begins."""
+        shift = 63 - max(len(self.keys), 1).bit_length()
+        return shift, np.searchsorted(self.keys >> shift, np.arange((1 << 63 - shift) + 1)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "drawers"}  # made again where it is used
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each among the kept keys or -1. A look into a drawer misses a core's cache once, halving among all kept keys many times."""
+        shift, begins = self.drawers
+        drawer = keys >> shift
+        at, stop = begins[drawer], begins[drawer + 1]
+        place = np.full(len(keys), -1, np.int32)
+        open_ = np.flatnonzero(at < stop)
+        at, stop, wanted = at[open_], stop[open_], keys[open_]
+        while len(open_):
+            hit = self.keys[at] == wanted
+            place[open_[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < stop)
+            open_, at, stop, wanted = open_[more], at[more], stop[more], wanted[more]
+        return place
+
     def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the kept keys or -1, and the model's token: the rank, or n_listed + shape."""
-        at = np.searchsorted(self.keys, keys)
-        at = np.where(at < len(self.keys), at, 0)
-        place = np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
+        place = self.places(keys)
         rank = np.where(place >= 0, self.listed[place], -1) if len(self.keys) else place
-        return place.astype(np.int32), np.where(rank >= 0, rank, self.n_listed + (keys & 31)).astype(np.int32)
+        return place, np.where(rank >= 0, rank, self.n_listed + (keys & 31)).astype(np.int32)
 
 
 def class_edges(counts: np.ndarray) -> np.ndarray:
@@ -244,7 +270,7 @@ def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate([weights, bias[None]]))
 
 
-def log_probabilities(p: dict, edges: np.ndarray, states: np.ndarray, token: np.ndarray, most: int = 4096) -> np.ndarray:
+def log_probabilities(p: dict, edges: np.ndarray, states: np.ndarray, token: np.ndarray, most: int = CACHED) -> np.ndarray:
     """Natural log probability of each listed token, or of its open class, after each state; all logits lie far below 88."""
     own = class_table(edges)[token]
     h, ones = np.ones((len(states), HIDDEN + 1), np.float32), np.ones(max(p["wc"].shape[1], int(np.diff(edges).max(initial=0))), np.float32)
@@ -273,7 +299,7 @@ def log_probabilities(p: dict, edges: np.ndarray, states: np.ndarray, token: np.
 
 
 def text_log_likelihood(p: dict, edges: np.ndarray, tokens: np.ndarray, counts: np.ndarray, end: int, together: int = 2048) -> np.ndarray:
-    """Sum of log_probabilities over each text; texts of like length advance together."""
+    """Sum of log_probabilities over each text; texts of like length advance together, and a look at the outputs takes as many tokens however few they are."""
     table, u = halved(p)
     order = np.argsort(-counts, kind="stable")
     n, first = counts[order], (np.cumsum(counts) - counts)[order]
@@ -283,19 +309,20 @@ def text_log_likelihood(p: dict, edges: np.ndarray, tokens: np.ndarray, counts:
         state = np.zeros((len(at), HIDDEN), np.float32)
         before = np.full(len(at), end)
         longest = -int(falling[0])
-        for a in range(0, longest, WINDOW):
-            states, targets, alive = [], [], []
-            for t in range(a, min(a + WINDOW, longest)):
-                k = int(np.searchsorted(falling, -t, "left"))
-                state = step(table[before[:k]], state[:k], u)[0]
-                before = tokens[at[:k] + t]
-                states.append(state)
-                targets.append(before)
-                alive.append(k)
-            value = log_probabilities(p, edges, np.concatenate(states), np.concatenate(targets))
-            end_of = np.cumsum(alive)
-            for k, e in zip(alive, end_of, strict=True):
-                total[s : s + k] += value[e - k : e]
+        left = np.searchsorted(falling, -np.arange(longest), "left").tolist()
+        states, targets, alive, waiting = [], [], [], 0
+        for t, k in enumerate(left):
+            state = step(table[before[:k]], state[:k], u)[0]
+            before = tokens[at[:k] + t]
+            states.append(state)
+            targets.append(before)
+            alive.append(k)
+            waiting += k
+            if waiting >= WINDOW * together or t == longest - 1:  # few long texts go on for many steps
+                value = log_probabilities(p, edges, np.concatenate(states), np.concatenate(targets))
+                text = np.arange(waiting) - np.repeat(np.cumsum(alive) - alive, alive)
+                total[s : s + alive[0]] += np.bincount(text, value, alive[0])
+                states, targets, alive, waiting = [], [], [], 0
     out = np.empty(len(counts))
     out[order] = total
     return out
@@ -310,6 +337,7 @@ class Trainer:
         self.dense = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items() if k not in ROWS}
         self.rows = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ROWS}
         self.met = {"e": np.zeros(len(p["e"])), "class": np.zeros(len(edges) - 1)}
+        self.mean, self.ones = np.full(HIDDEN, 1 / HIDDEN, np.float32), np.ones(int(np.diff(edges).max(initial=0)), np.float32)
         self.count, self.tokens = 0, 0
 
     def learn(self, tokens: np.ndarray) -> None:
@@ -350,20 +378,24 @@ class Trainer:
         with_one = np.ones((len(token), HIDDEN + 1), states.dtype)
         with_one[:, :HIDDEN] = states.reshape(-1, HIDDEN)[order]
         token, own = token[order], own[order]
-        d = with_one @ with_bias(p["wc"], p["bc"])
-        np.exp(d, out=d)
-        d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
-        d[np.arange(len(own)), own] -= share
-        outer = with_one.T @ d
+        weights, back_weights = with_bias(p["wc"], p["bc"]), np.ascontiguousarray(p["wc"].T)
+        outer, dh, ones = np.zeros_like(weights), np.empty((len(token), HIDDEN), states.dtype), np.ones(weights.shape[1], np.float32)
+        for a in range(0, len(token), CACHED):
+            h = with_one[a : a + CACHED]
+            d = h @ weights
+            np.exp(d, out=d)
+            d *= (share / (d @ ones))[:, None]
+            d[np.arange(len(h)), own[a : a + CACHED]] -= share
+            outer += h.T @ d
+            np.matmul(d, back_weights, out=dh[a : a + CACHED])
         slopes = {"wc": outer[:HIDDEN], "bc": outer[HIDDEN]}
-        dh = d @ p["wc"].T
         edge = np.searchsorted(own, np.arange(len(edges)))
         for c in np.flatnonzero(np.diff(edge)):
             part, words = slice(edge[c], edge[c + 1]), slice(edges[c], edges[c + 1])
             h = with_one[part]
             d = h @ with_bias(p["ww"][words].T, p["bw"][words])
             np.exp(d, out=d)
-            d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+            d *= (share / (d @ self.ones[: d.shape[1]]))[:, None]
             d[np.arange(len(h)), token[part] - edges[c]] -= share
             dh[part] += d @ p["ww"][words]
             outer = d.T @ h
@@ -408,12 +440,17 @@ class Trainer:
         return state
 
     def _row_step(self, name: str, rows, slope: np.ndarray) -> None:
-        """Adagrad with one sum of squares for each row."""
+        """Adagrad with one sum of squares for each row; a slice of rows is changed where it lies."""
         square = slope * slope
-        self.rows[name][rows] += square if square.ndim == 1 else square @ np.full(square.shape[1], 1 / square.shape[1], np.float32)
-        size = 2.5 * self.rate / np.sqrt(self.rows[name][rows])
-        moved = self.p[name][rows] - slope * (size if slope.ndim == 1 else size[:, None])
-        self.p[name][rows] = moved if name == "e" else np.clip(moved, -REACH * HIDDEN, REACH) if name == "bw" else np.clip(moved, -REACH, REACH)
+        total, own = self.rows[name][rows], self.p[name][rows]
+        total += square if square.ndim == 1 else square @ self.mean[: square.shape[1]]
+        size = np.float32(2.5 * self.rate) / np.sqrt(total)
+        own -= slope * (size if slope.ndim == 1 else size[:, None])
+        if name != "e":
+            np.maximum(own, -REACH * HIDDEN if name == "bw" else -REACH, out=own)
+            np.minimum(own, REACH, out=own)
+        if not isinstance(rows, slice):
+            self.rows[name][rows], self.p[name][rows] = total, own
 
     def changes(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """By name: how far each row of weights has moved, and what that counts in the average."""

@@ -210,3 +210,26 @@ def test_learning_lowers_the_loss():
     for _ in range(8):
         trainer.learn(tokens)
     assert lm.text_log_likelihood(trainer.p, vocabulary.edges, text, np.array([len(text)]), 2)[0] > before / 2
+
+
+def test_a_long_text_looks_at_the_outputs_as_seldom_as_many_short_ones(monkeypatch):
+    rng, calls, whole = np.random.default_rng(4), [], lm.log_probabilities
+    monkeypatch.setattr(lm, "log_probabilities", lambda p, edges, states, token: calls.append(len(token)) or whole(p, edges, states, token))
+    vocabulary = small_vocabulary([50, 30, 20])
+    p, counts = lm.new_weights(vocabulary), np.array([700, 1, 40, 5000])
+    tokens = rng.integers(0, 3, counts.sum())
+    together = lm.text_log_likelihood(p, vocabulary.edges, tokens, counts, 2)
+    assert calls == [len(tokens)]
+    alone = [lm.text_log_likelihood(p, vocabulary.edges, part, np.array([len(part)]), 2)[0] for part in np.split(tokens, np.cumsum(counts)[:-1])]
+    assert together == pytest.approx(alone, rel=1e-6)
+
+
+def test_places_of_keys():
+    rng, top = np.random.default_rng(5), (1 << 63) - 1
+    for own in ([], [0], [top], [0, 1, 2, 3, top - 1, top], [*rng.integers(0, top, 5000), *range(0, 96, 32), 1 << 62, (1 << 62) - 1]):
+        keys = np.unique(np.array(own, np.int64))
+        vocabulary = lm.Vocabulary(1, 1, 1, keys, np.ones(len(keys), np.int64), np.full(len(keys), -1, np.int32), np.array([0]), np.ones(lm.SHAPES))
+        asked = np.concatenate([keys, keys[keys < top] + 1, keys[keys > 0] - 1, np.array([0, top])])
+        known = {int(k): i for i, k in enumerate(keys)}
+        assert vocabulary.places(asked).tolist() == [known.get(int(k), -1) for k in asked]
+        assert vocabulary.drawers[1].max(initial=0) == len(keys) and "drawers" not in vocabulary.__getstate__()
