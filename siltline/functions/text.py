@@ -69,17 +69,18 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def split_words(text: Column) -> Column:
-    """White-space words: the other of the two word counts."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+def split_words(text: Column, parts: int = -1) -> Column:
+    """White-space words: the other of the two word counts. Where ``parts`` is given, the text is cut into so many and the last holds the rest."""
+    return F.filter(F.split(text, r"\s+", parts), lambda x: x != "")
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), SENTENCE)
+def sentences(text: Column, first: int | None = None) -> Column:
+    """All sentences, or the ``first`` ones and then what follows as one more: a text is not cut beyond what is asked for."""
+    return F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), SENTENCE, -1 if first is None else first + 1)
 
 
 def lead(text: Column, n: int = LEAD_SENTENCES) -> Column:
-    return F.array_join(F.slice(sentences(text), 1, n), " ")
+    return F.array_join(F.slice(sentences(text, n), 1, n), " ")
 
 
 def tokens(text: Column) -> Column:
@@ -122,7 +123,9 @@ def checkable_numbers(text: Column) -> Column:
 
 
 def unsupported_numbers(summary: Column, source: Column) -> Column:
-    return F.size(F.array_except(checkable_numbers(summary), checkable_numbers(source)))
+    """The source is not read where the summary has no such number."""
+    left = lambda own: F.when((F.size(own) == 0) & source.isNotNull(), 0).otherwise(F.size(F.array_except(own, checkable_numbers(source))))
+    return let(checkable_numbers(summary), left)
 
 
 def entities(text: Column) -> Column:
@@ -187,7 +190,7 @@ def truncate_to_tokens(text: Column, cap: int) -> Column:
         over = F.size(own) > allowed
         return F.struct(F.when(over, F.array_join(F.slice(own, 1, allowed), " ")).otherwise(text).alias("text"), over.alias("truncated"), F.least(F.size(own), F.lit(allowed)).alias("kept_words"))
 
-    return let(split_words(text), cut)
+    return let(split_words(text, allowed + 2), cut)  # an empty part before the first word, the words that stay, and a rest if there are more
 
 
 def chunks(text: Column, size: int = 900, overlap: int = 150) -> Column:

@@ -50,10 +50,11 @@ def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document and a summary that holds some of it: its 2nd, 4th and 6th sentence and the next document's first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.col("text").alias("source_text"))
-    own = T.sentences(F.col("source_text"))
-    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.element_at(own, 1).alias("next"))
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.element_at(T.sentences(F.col("source_text"), 1), 1).alias("next"))
+    own = F.col("own")  # a column of its own: inside the filter below each use would cut the text again
     picked = F.filter(F.array(F.try_element_at(own, F.lit(2)), F.try_element_at(own, F.lit(4)), F.try_element_at(own, F.lit(6)), F.col("next")), lambda s: s.isNotNull())
-    return spread(docs.join(following, "doc_id", "left").withColumn("summary", F.array_join(picked, " ")).drop("next"), docs)
+    rows = docs.join(following, "doc_id", "left").withColumn("own", F.slice(T.sentences(F.col("source_text"), 6), 1, 6))
+    return spread(rows.withColumn("summary", F.array_join(picked, " ")).drop("next", "own"), docs)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,22 @@ def test_thinking_and_fences(spark):
     got = one(spark, T.split_thinking, '<think>hm</think>\n```json\n{"a": 1}\n```')
     assert got.thinking == "hm" and got.answer == '{"a": 1}'
     assert one(spark, T.swatch, "ab") == (97 * 31 + 98) % 8 and one(spark, T.monogram, "deep sea news") == "DS"
+
+
+def test_only_the_sentences_and_words_that_are_asked_for_are_cut(spark):
+    from siltline.functions import text as T
+    from siltline.sources import tables as S
+
+    texts = ["", "   ", "One. Two! Three? Four. Five. Six. Seven. Eight.", " \n A. B. ", "no end", "A. B. C. ", ". . . .", "x  y\tz", " " + "w " * 383, " " + "w " * 384, "w " * 385, " " + "w " * 386 + " end  ", None, "Has 12 and 13.5. Not 7."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    t, whole = F.col("t"), F.split(F.trim(F.regexp_replace("t", r"^\s+|\s+$", "")), T.SENTENCE)
+    words = F.filter(F.split("t", r"\s+"), lambda x: x != "")
+    over = F.size(words) > 384
+    old = F.struct(F.when(over, F.array_join(F.slice(words, 1, 384), " ")).otherwise(t).alias("text"), over.alias("truncated"), F.least(F.size(words), F.lit(384)).alias("kept_words"))
+    for n in (1, 3, 6):
+        assert df.where(~F.array_join(F.slice(whole, 1, n), " ").eqNullSafe(T.lead(t, n))).count() == 0
+    assert df.where(t.isNotNull() & ~old.eqNullSafe(T.truncate_to_tokens(t, 500))).count() == 0
+    numbers = F.size(F.array_except(T.checkable_numbers(t), T.checkable_numbers(F.lit("13.50 and 8"))))
+    assert df.where(~numbers.eqNullSafe(T.unsupported_numbers(t, F.lit("13.50 and 8")))).count() == 0
+    assert df.select(F.max(F.size(T.sentences(t, 2)))).first()[0] == 3  # two sentences and what follows
+
