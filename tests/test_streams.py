@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltline.operators import ledger
 from siltline.sources.journal import PART, Journal
@@ -123,3 +124,22 @@ def test_observations_of_a_stream_equal_the_batch_and_states_expire(spark, tmp_p
         run((7, "f", "o", at(200)))  # moves the watermark, and the states of 1 to 6 go
         late_again = {i: o for i, t, o in run((1, "f", "o", at(201)), (7, "f", "o", at(201))) if t == at(201)}
         assert late_again == {"1": "first_run", "7": "unchanged"}
+
+
+def test_items_of_one_drawer_keep_their_own_states_and_times(spark, tmp_path):
+    """One drawer for all: some items expire, others stay, and an item that came again later stays too."""
+    source, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    schema = "k long, fingerprint string, output_digest string, t timestamp"
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        seen = observe.observed(spark.readStream.schema(schema).parquet(source), "k", "fingerprint", "output_digest", "t", timedelta(minutes=60), drawers=1)
+        seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        last = max(r[3] for r in rows)
+        return {i.item: i.observation for i in spark.read.schema("item string, at timestamp, observation string").parquet(out).where(F.col("at") == F.lit(last)).collect()}
+
+    with observe.rocksdb(spark):
+        run(*((k, "f", None if k == 3 else "o", at(0)) for k in range(1, 6)))
+        assert run((2, "f", "o", at(50)), (4, "g", "o", at(50))) == {"2": "unchanged", "4": "inputs_changed"}
+        run((9, "f", "o", at(70)))  # the states of 1, 3 and 5 go, those of 2 and 4 stay until 110
+        assert run(*((k, "g", "o", at(71)) for k in range(1, 6))) == {"1": "first_run", "2": "inputs_changed", "3": "first_run", "4": "unchanged", "5": "first_run"}
