@@ -12,6 +12,7 @@ encoder use it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -29,7 +30,9 @@ from siltline.functions import text as T
 
 Load = Callable[[], Callable[..., list]]
 CLASSES, HEX = 1 << 16, 4
-TOKEN = re.compile(T.WORD)
+TOKEN, TERM = re.compile(T.WORD), re.compile(T.WORD.encode())
+#: Words whose classes a task remembers.
+REMEMBERED = 1 << 18
 
 
 def _contained(model: Callable[..., list] | None, columns: list[list], check: Callable[[Any], bool]) -> list:
@@ -117,8 +120,14 @@ def overlap() -> Callable[[list[str], list[str]], list[float]]:
     return score
 
 
-def term_class(term: str) -> int:
-    return int(hashlib.md5(term.encode()).hexdigest()[:HEX], 16)
+def terms(text: str) -> set[bytes]:
+    """The different tokens of a text; words are ASCII, so bytes are cut and lowered, and what repeats is stripped once."""
+    return {w.strip(b".,") for w in set(TERM.findall(text.encode().lower()))}
+
+
+@functools.lru_cache(REMEMBERED)
+def term_class(term: str | bytes) -> int:
+    return int(hashlib.md5(term.encode() if isinstance(term, str) else term).hexdigest()[:HEX], 16)
 
 
 class TermWeights:
@@ -132,9 +141,17 @@ class TermWeights:
 
 
 def fit_terms(texts: DataFrame, text: str) -> TermWeights:
-    """Counts over all texts, null ones too; CLASSES rows at most come to the driver."""
-    own = F.array_distinct(F.transform(T.tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, HEX), 16, 10).cast("int")))
-    counts = texts.select(F.explode(own).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    """Counts over all texts, null ones too; a task sends its sums, and CLASSES rows at most come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                n[list({term_class(w) for w in terms(value.as_py() or "")})] += 1
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], names=["c", "n"])
+
+    counts = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     return TermWeights(texts.count(), {r["c"]: r["n"] for r in counts.collect()})
 
 
@@ -147,7 +164,7 @@ def weighted_overlap(weights: TermWeights) -> Load:
         def score(premises: list[str], hypotheses: list[str]) -> list[float]:
             out = []
             for p, h in zip(premises, hypotheses, strict=True):
-                own, there = sorted(set(tokens(h))), set(tokens(p))
+                own, there = terms(h), terms(p)
                 worth = [(w, known[term_class(w)]) for w in own]
                 total = math.fsum(x for _, x in worth)
                 out.append(math.fsum(x for w, x in worth if w in there) / total if total else 0.0)

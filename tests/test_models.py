@@ -96,3 +96,16 @@ def test_weights_and_vectors(spark, df):
     worth = lambda words: sum(known[models.term_class(w)] for w in words)
     want = {i: (worth(set(models.tokens(b)) & set(models.tokens(a))) / worth(set(models.tokens(b))) if models.tokens(b) else 0.0) if a is not None and b is not None else None for i, (a, b) in enumerate(zip(TEXTS, TEXTS[1:] + TEXTS[:1], strict=True))}
     assert share == pytest.approx(want)
+
+
+def test_terms_are_the_tokens_and_tasks_send_sums(spark):
+    texts = ["It's A.B., a 1,000. \u212a K k", "", None, "stra\u00dfe \u0130x A a. a,", "q " * 500]
+    for t in texts:
+        assert models.terms(t or "") == {w.encode() for w in models.tokens(t or "")}
+    df = spark.createDataFrame([(t,) for t in texts] * 20, "text string").repartition(3)
+    want = {}
+    for t in texts:
+        for c in {models.term_class(w.encode()) for w in models.tokens(t or "")}:
+            want[c] = want.get(c, 0) + 20
+    assert (models.fit_terms(df, "text")() == models.TermWeights(100, want)()).all()
+
