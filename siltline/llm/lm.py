@@ -52,8 +52,8 @@ SLICE = 12 << 20
 #: Groups of last signs that tell the open classes.
 ENDINGS = (b"e", b"s", b"n", b"r", b"t", b"d", b"y", b"l", b"a", b"i", b"o", b".", b",", b"!", b"0123456789")
 SHAPES = 2 * (len(ENDINGS) + 1)
-#: Bytes whose words are hashed in one step.
-STRIDE = 1 << 20
+#: Bytes whose words are hashed in one step, and words that are looked up in one: their arrays stay in a core's cache.
+STRIDE, LOOKED_UP = 1 << 15, 1 << 15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -191,17 +191,18 @@ class Vocabulary:
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Place of each among the kept keys or -1. A look into a drawer misses a core's cache once, halving among all kept keys many times."""
         shift, begins = self.drawers
-        drawer = keys >> shift
-        at, stop = begins[drawer], begins[drawer + 1]
         place = np.full(len(keys), -1, np.int32)
-        open_ = np.flatnonzero(at < stop)
-        at, stop, wanted = at[open_], stop[open_], keys[open_]
-        while len(open_):
-            hit = self.keys[at] == wanted
-            place[open_[hit]] = at[hit]
-            at += 1
-            more = ~hit & (at < stop)
-            open_, at, stop, wanted = open_[more], at[more], stop[more], wanted[more]
+        for a in range(0, len(keys), LOOKED_UP):
+            wanted = keys[a : a + LOOKED_UP]
+            at, stop = begins[wanted >> shift], begins[(wanted >> shift) + 1]
+            open_ = np.flatnonzero(at < stop)
+            at, stop, wanted = at[open_], stop[open_], wanted[open_]
+            while len(open_):
+                hit = self.keys[at] == wanted
+                place[a + open_[hit]] = at[hit]
+                at += 1
+                more = ~hit & (at < stop)
+                open_, at, stop, wanted = open_[more], at[more], stop[more], wanted[more]
         return place
 
     def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,6 +339,7 @@ class Trainer:
         self.rows = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ROWS}
         self.met = {"e": np.zeros(len(p["e"])), "class": np.zeros(len(edges) - 1)}
         self.mean, self.ones = np.full(HIDDEN, 1 / HIDDEN, np.float32), np.ones(int(np.diff(edges).max(initial=0)), np.float32)
+        self.small = np.uint16 if len(p["e"]) <= 1 << 16 else np.int32  # sixteen bits are sorted in linear time
         self.count, self.tokens = 0, 0
 
     def learn(self, tokens: np.ndarray) -> None:
@@ -358,7 +360,12 @@ class Trainer:
 
     def _window(self, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> np.ndarray:
         p, edges, h3 = self.p, self.edges, 3 * HIDDEN
-        kinds, back = np.unique(x, return_inverse=True)
+        by = np.argsort(x.reshape(-1).astype(self.small), kind="stable")
+        ordered = x.reshape(-1)[by]
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        kinds, met = ordered[begins], np.diff(begins, append=len(ordered))
+        back = np.empty(len(by), np.int64)
+        back[by] = np.repeat(np.arange(len(kinds)), met)
         own_table = p["e"][kinds] @ p["w"] + p["b"]
         own_table[:, : 2 * HIDDEN] *= 0.5
         u = p["u"].copy()
@@ -384,10 +391,11 @@ class Trainer:
             h = with_one[a : a + CACHED]
             d = h @ weights
             np.exp(d, out=d)
-            d *= (share / (d @ ones))[:, None]
-            d[np.arange(len(h)), own[a : a + CACHED]] -= share
-            outer += h.T @ d
-            np.matmul(d, back_weights, out=dh[a : a + CACHED])
+            total = d @ ones
+            d[np.arange(len(h)), own[a : a + CACHED]] -= total
+            scale = (share / total)[:, None]  # brings exp to slopes; put on the narrow side of both products
+            outer += (h * scale).T @ d
+            np.multiply(d @ back_weights, scale, out=dh[a : a + CACHED])
         slopes = {"wc": outer[:HIDDEN], "bc": outer[HIDDEN]}
         edge = np.searchsorted(own, np.arange(len(edges)))
         for c in np.flatnonzero(np.diff(edge)):
@@ -395,10 +403,11 @@ class Trainer:
             h = with_one[part]
             d = h @ with_bias(p["ww"][words].T, p["bw"][words])
             np.exp(d, out=d)
-            d *= (share / (d @ self.ones[: d.shape[1]]))[:, None]
-            d[np.arange(len(h)), token[part] - edges[c]] -= share
-            dh[part] += d @ p["ww"][words]
-            outer = d.T @ h
+            total = d @ self.ones[: d.shape[1]]
+            d[np.arange(len(h)), token[part] - edges[c]] -= total
+            scale = (share / total)[:, None]
+            dh[part] += (d @ p["ww"][words]) * scale
+            outer = d.T @ (h * scale)
             self._row_step("ww", words, outer[:, :HIDDEN])
             self._row_step("bw", words, outer[:, HIDDEN])
             self.met["class"][c] += len(h)
@@ -406,7 +415,7 @@ class Trainer:
         by_place[order] = dh
         dh = by_place.reshape(*x.shape, HIDDEN)
         dx = np.empty((*x.shape, h3), np.float32)
-        du, carry = np.zeros_like(u), np.zeros_like(state)
+        ups, carry = np.empty_like(dx), np.zeros_like(state)
         for t in range(len(x) - 1, -1, -1):
             start, gate, n, un = kept[t]
             z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
@@ -416,14 +425,13 @@ class Trainer:
             out[:, :HIDDEN] = one * (start - n) * z * (1 - z)
             out[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
             out[:, 2 * HIDDEN :] = dn
-            up = out.copy()
-            up[:, 2 * HIDDEN :] *= r
-            du += start.T @ up
+            up = ups[t]
+            up[:, : 2 * HIDDEN] = out[:, : 2 * HIDDEN]
+            np.multiply(dn, r, out=up[:, 2 * HIDDEN :])
             carry = (one * z + up @ p["u"].T) * live[t]
-        by = np.argsort(back.reshape(-1), kind="stable")
-        met = np.bincount(back.reshape(-1), minlength=len(kinds))
-        by_kind = np.add.reduceat(dx.reshape(-1, h3)[by], np.cumsum(met) - met)
-        slopes |= {"u": du, "w": p["e"][kinds].T @ by_kind, "b": by_kind.sum(0)}
+        by_kind = np.add.reduceat(dx.reshape(-1, h3)[by], begins)
+        starts = np.concatenate([start for start, *_ in kept])
+        slopes |= {"u": starts.T @ ups.reshape(-1, h3), "w": p["e"][kinds].T @ by_kind, "b": by_kind.sum(0)}
         self._row_step("e", kinds, by_kind @ p["w"].T)
         self.met["e"][kinds] += met
         self.count += 1
