@@ -233,3 +233,35 @@ def test_places_of_keys():
         known = {int(k): i for i, k in enumerate(keys)}
         assert vocabulary.places(asked).tolist() == [known.get(int(k), -1) for k in asked]
         assert vocabulary.drawers[1].max(initial=0) == len(keys) and "drawers" not in vocabulary.__getstate__()
+
+
+def test_texts_are_cut_once_and_learned_from_as_numbers(spark, docs):
+    rows = docs.select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.lit(True).alias("lesson")).coalesce(1)
+    vocabulary = lm.Vocabulary.of(lm.token_counts(rows))
+    coded = lm.encoded(rows, vocabulary).cache()
+    texts = [bytes(r.t) for r in rows.collect()]
+    keys, counts = lm.token_keys(texts)
+    assert [r.n_tokens for r in coded.collect()] == counts.tolist()
+    assert np.concatenate([np.frombuffer(r.tokens, vocabulary.kind) for r in coded.collect()]).tolist() == vocabulary.tokens(keys)[1].tolist()
+    by_texts, by_numbers = lm.fit(rows.select("t"), vocabulary), lm.fit(coded.select("turn", "tokens"), vocabulary)
+    for name, x in by_texts.items():
+        assert np.allclose(x, by_numbers[name], atol=1e-3), name
+
+
+def test_words_rows_move_together_and_not_class_by_class():
+    vocabulary = lm.Vocabulary(3000, 300, 1, np.arange(300) << 5, np.full(300, 10), np.arange(300, dtype=np.int32), np.arange(0, 301, 3), np.full(lm.SHAPES, 0.5))
+    trainer, calls = lm.Trainer(lm.new_weights(vocabulary), vocabulary.edges, 0), []
+    step = trainer._row_step
+    trainer._row_step = lambda name, rows, slope: calls.append(name) or step(name, rows, slope)
+    tokens = np.random.default_rng(7).integers(0, 300, (lm.UNROLL, 50))
+    trainer._window(tokens, tokens, np.zeros((50, lm.HIDDEN), np.float32))
+    assert sorted(calls) == ["bw", "e", "ww"] and trainer.met["class"].sum() == tokens.size
+
+
+def test_words_about_as_long_as_what_is_read_at_a_time():
+    words = [x * n for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 200) for x in (b"a", b"b", b"\0")] + [b"a\0", b"a\0\0", b"a" * 63 + b"b", b"b" + b"a" * 63, "é".encode() * 32, "é".encode() * 33]
+    keys = [lm.word_key(w) for w in words]
+    assert len(set(keys)) == len(words)
+    for before in range(9):
+        assert lm.token_keys([b"x" * before + b" " + b" ".join(words).upper()])[0].tolist()[bool(before) :] == [*keys, lm.END]
+    assert [k & 1 for k in keys] == [any(c >= 0x80 for c in w) for w in words]
