@@ -11,10 +11,11 @@ sums to one.
 
 All weights learn by truncated backpropagation in numpy from every learning text, read whole once:
 the texts are dealt by hash into ROUNDS parts, and in each round some tasks, the learners, each train
-on their share of the part, from the same weights. Texts are cut into tokens once, these are written. The learners' changes are averaged in Spark, those of a
+on their share of the part, from the same weights. Their changes are averaged in Spark, those of a
 word's row by how often the learner met the word or its class. A learner has at least PER_WEIGHT
 tokens for each weight, so what the learners send stays below the texts in size. The biases start
-from all counts. Scoring reads whole texts: windows of steps, the state carried from each to the next.
+from all counts. Once words are counted, texts are cut into tokens a last time, and these are written
+for learners and scores to read; more than 2 GB of tokens of one text raise. Scoring reads whole texts: windows of steps, the state carried from each to the next.
 
 What is broadcast is bounded by proof: a word whose count is at least N / PLACES can be one of at
 most PLACES. Every other word's count is joined. Null and empty texts are one end. A very long text
