@@ -9,10 +9,12 @@ from siltline.functions.runs import longest_common_run
 
 #: What counts as a word, a sentence end, a number and a capitalised run; measured rows must stay comparable.
 WORD = r"[A-Za-z0-9][A-Za-z0-9'.,-]*"
-SENTENCE = r"(?<=[.!?])\s+"
+SENTENCE = r"(?<=[.!?])[ \t\n\f\r]+"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 CAPITALISED = r"(?U)\b[A-Z][\w.&'-]*(?:\s+[A-Z][\w.&'-]*)*"
 NGRAM, LEAD_SENTENCES = 4, 3
+#: White space at the ends of a text, and the blanks of all scripts (category Zs) that go after it.
+SPACE, BLANKS = " \t\n\f\r", " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Words that open sentences more often than they name anything, and the calendar.
 NOT_AN_ENTITY = tuple(
     """a an and as at but by for from he her his however in it its meanwhile of on one she that the their then there
@@ -76,7 +78,7 @@ def split_words(text: Column, parts: int = -1) -> Column:
 
 def sentences(text: Column, first: int | None = None) -> Column:
     """All sentences, or the ``first`` ones and then what follows as one more: a text is not cut beyond what is asked for."""
-    return F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), SENTENCE, -1 if first is None else first + 1)
+    return F.split(F.btrim(F.btrim(text, F.lit(SPACE)), F.lit(BLANKS)), SENTENCE, -1 if first is None else first + 1)
 
 
 def lead(text: Column, n: int = LEAD_SENTENCES) -> Column:
